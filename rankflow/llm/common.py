@@ -41,3 +41,22 @@ def pruned_batches(batches, column: str, rows: int = 512):
         for start in range(0, batch.num_rows, rows):
             part = batch.slice(start, rows)
             yield part, part.column(column)
+
+
+class Memo(dict):
+    """compute(key) remembered for about 2 * size keys: a full generation becomes the old one, and what is used again
+    moves to the new one."""
+
+    def __init__(self, compute, size: int = 200_000):
+        super().__init__()
+        self.compute, self.size, self.old = compute, size, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        self[key] = value
+        return value
