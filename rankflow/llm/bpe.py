@@ -13,6 +13,7 @@ of any length is encoded whole, in time close to linear in its length. Unknown b
 from __future__ import annotations
 
 import base64
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -21,10 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from rankflow.llm.common import Memo
+
 #: Pieces of at most so many bytes are merged directly; longer ones are cut in halves.
 LEAF = 12
 #: Distinct pieces remembered by a Python worker at once.
 MEMO = 400_000
+#: The characters of Unicode's White_Space property, which `\\s` of the split patterns means.
+WHITE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_SEGMENTS = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
 
 
 class Merges:
@@ -98,18 +104,17 @@ class Merges:
         return self.tree(piece) if known is None else (known,)
 
 
-class _Memo(dict):
-    """Packed ids of each distinct match; bounded."""
+class _Segments:
+    """Packed ids of a text's segments. A segment is a run of white space and the run of other characters after it:
+    where white space stands only at the start of a pattern's matches, no match crosses from one to the next, and what
+    matches in a segment depends on it alone. Distinct segments and matches are remembered, within bounds."""
 
-    def __init__(self, merges: Merges):
-        super().__init__()
-        self.merges = merges
+    def __init__(self, merges: Merges, pattern: str):
+        import regex
 
-    def __missing__(self, match: str) -> bytes:
-        if len(self) > MEMO:
-            self.clear()
-        packed = self[match] = np.array(self.merges.piece(match.encode()), dtype="<u4").tobytes()
-        return packed
+        matches = regex.compile(pattern).findall
+        pieces = Memo(lambda match: np.array(merges.piece(match.encode()), dtype="<u4").tobytes(), MEMO // 2)
+        self.packed = Memo(lambda segment: b"".join([pieces[m] for m in matches(segment)]), MEMO // 2)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -118,10 +123,14 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(2)
-def _encoder(path: str, pattern: str):
-    import regex
+def _encoder(path: str, pattern: str) -> Memo:
+    return _Segments(Merges(read_ranks(path)), pattern).packed
+
 
-    return regex.compile(pattern).findall, _Memo(Merges(read_ranks(path)))
+def encode_text(text: str, path: str, pattern: str, blank_starts: bool = True) -> bytes:
+    """Packed ids of a text."""
+    packed = _encoder(path, pattern).__getitem__
+    return _concatenated(list(map(packed, _SEGMENTS.findall(text)))) if blank_starts else packed(text)
 
 
 @lru_cache(2)
@@ -136,15 +145,14 @@ def _concatenated(parts: list[bytes]) -> bytes:
     return b"".join(parts)
 
 
-def encode(text: Column, path: str, pattern: str) -> Column:
+def encode(text: Column, path: str, pattern: str, blank_starts: bool = True) -> Column:
     """Token ids of text as packed little-endian unsigned 32-bit integers (binary). path: a tiktoken rank file that
-    every executor has; pattern: the regular expression whose matches are encoded separately."""
+    every executor has; pattern: the regular expression whose matches are encoded separately; blank_starts: its matches
+    hold white space at their start only (otherwise texts are not cut into segments)."""
 
     @arrow_udf("binary")
     def ids(column: pa.Array) -> pa.Array:
-        matches, memo = _encoder(path, pattern)
-        at = memo.__getitem__
-        return pa.array([_concatenated(list(map(at, matches(x.as_py() or "")))) for x in column], pa.binary())
+        return pa.array([encode_text(x.as_py() or "", path, pattern, blank_starts) for x in column], pa.binary())
 
     return ids(text)
 

@@ -23,11 +23,9 @@ from __future__ import annotations
 
 import math
 import re
-import uuid
 from bisect import bisect_left
 from collections import Counter, defaultdict
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -191,33 +189,30 @@ def index_shards(benchmark: DataFrame, item_id: str, text: str, threshold: float
     counts = items.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     for k in range(shards):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
-        rows = own.select("item_id", "text").orderBy("item_id", "text").collect()  # a shard is bounded
+        rows = own.select(F.col("item_id").cast("string"), "text").orderBy("item_id", "text").collect()  # a shard is bounded
         df = own.select(F.explode(F.array_distinct("words")).alias("word")).distinct().join(counts, "word").collect()
         yield Index([(r.item_id, r.text) for r in rows], {r.word: r.df for r in df}, n, mean, threshold)
 
 
-_indexes: dict[str, Index] = {}
+_LEAK = pa.struct([("item_id", pa.string()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
 
 
-def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """df with leaks: array of struct<item_id, score, question_overlap, answer_overlap>, empty where nothing matches."""
-    kind = f"array<struct<item_id:{benchmark.schema[item_id].dataType.simpleString()},score:double,question_overlap:double,answer_overlap:double>>"
-    found = None
-    for index in index_shards(benchmark, item_id, item_text, threshold):
-        shared = df.sparkSession.sparkContext.broadcast(index)  # MAX_INDEX_BYTES of text at most
-
-        @arrow_udf(kind)
-        def leaks(column: pa.Array, shared=shared) -> pa.Array:
-            names = ("item_id", "score", "question_overlap", "answer_overlap")
-            return pa.array([[dict(zip(names, m)) for m in shared.value.matches(x.as_py())] for x in column], _arrow_type(kind))
+def _leaks(shared):
+    """Column function: the verified items of a broadcast index for each text."""
 
-        own = leaks(F.col(text))
-        found = own if found is None else F.concat(found, own)
-    return df.withColumn("leaks", F.array().cast(kind) if found is None else found)
+    @arrow_udf("array<struct<item_id:string,score:double,question_overlap:double,answer_overlap:double>>")
+    def leaks(column: pa.Array) -> pa.Array:
+        names = _LEAK.names
+        return pa.array([[dict(zip(names, m)) for m in shared.value.matches(x.as_py())] for x in column], pa.list_(_LEAK))
 
+    return leaks
 
-def _arrow_type(kind: str):
-    from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import _parse_datatype_string
 
-    return to_arrow_type(_parse_datatype_string(kind))
+def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """df with leaks: array of struct<item_id, score, question_overlap, answer_overlap>, empty where nothing matches."""
+    kind = f"array<struct<item_id:{benchmark.schema[item_id].dataType.simpleString()},score:double,question_overlap:double,answer_overlap:double>>"
+    found = [
+        _leaks(df.sparkSession.sparkContext.broadcast(index))(F.col(text))  # MAX_INDEX_BYTES of text at most
+        for index in index_shards(benchmark, item_id, item_text, threshold)
+    ]
+    return df.withColumn("leaks", (F.concat(*found) if found else F.array()).cast(kind))
