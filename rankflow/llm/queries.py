@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankflow.llm import bpe, decontaminate, langid, linededup, media, pii, tokencount, toxicity
+from rankflow.llm import bpe, decontaminate, langid, linededup, media, pii, substrings, tokencount, toxicity
 from rankflow.llm.common import table
 
 #: Key of the pseudonyms in op1_pii; production runs pass their own to pii.pseudonymise.
@@ -27,6 +27,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hidden.select("doc_id", F.col("private_text").alias("text"), F.size("private_spans").cast("long").alias("n_private"), F.transform("private_spans", lambda s: s.format).alias("formats"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeats(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = documents(spark, sf_dir, "lang"), public_tokenizers.path("piece_bpe_32k.model")
     model = langid.fit(docs.where(fold(3) != 1), path)
@@ -82,6 +87,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_langid": op3_langid,
     "op4_decontaminate": op4_decontaminate,
     "op5_media": op5_media,
