@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankflow.llm import bpe, decontaminate, langid, linededup, media, pii, substrings, tokencount, toxicity
+from rankflow.llm import bpe, decontaminate, jaccard, langid, linededup, media, pii, substrings, tokencount, toxicity
 from rankflow.llm.common import table
 
 #: Key of the pseudonyms in op1_pii; production runs pass their own to pii.pseudonymise.
@@ -66,6 +66,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_documents(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = linededup.dedup_lines(documents(spark, sf_dir))
     return kept.select("doc_id", F.col("kept_text").alias("text"), "n_lines", "n_removed")
@@ -92,6 +96,7 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_media": op5_media,
     "op6_toxicity": op6_toxicity,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_line_dedup": op8_line_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_bpe": op10_bpe,
