@@ -42,6 +42,7 @@ TASK_WEIGHT, DOC_WEIGHT = 500_000, 1000
 #: Hash functions tried for sets with empty parts.
 SALTS = 4
 
+_MASK = (1 << 64) - 1
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
@@ -56,7 +57,7 @@ def shingle_sets(texts: list, words: int) -> list[np.ndarray]:
 
 
 def set_hash(tokens: np.ndarray) -> np.uint64:
-    return fp.mix(np.add.reduce(fp.mix(tokens ^ _K[0]), dtype=np.uint64)[None] + np.uint64(len(tokens)) * _K[1])[0]
+    return fp.mix(np.add.reduce(fp.mix(tokens ^ _K[0]), dtype=np.uint64)[None] + np.uint64(len(tokens) * int(_K[1]) & _MASK))[0]
 
 
 class Parts:
@@ -106,13 +107,13 @@ class Parts:
                 part = ((values >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
                 first = np.flatnonzero(np.diff(part, prepend=np.uint64(parts)))
                 sums = np.add.reduceat(fp.mix(values), first)
-                tag = np.uint64(k * 16 + salt + 1) * _K[2]
+                tag = np.uint64((k * 16 + salt + 1) * int(_K[2]) & _MASK)
                 out.append(fp.mix(sums + part[first] * _K[1] + tag))
                 if len(first) > most:  # more parts with shingles than parts that can differ
                     break
             else:
                 empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[first])
-                out.append(fp.mix(empty * _K[1] + np.uint64(k * 16 + 15) * _K[3]))
+                out.append(fp.mix(empty * _K[1] + np.uint64((k * 16 + 15) * int(_K[3]) & _MASK)))
         return np.concatenate(out)
 
 
@@ -282,8 +283,9 @@ def _links_of_keys(large: DataFrame, members: DataFrame, texts: DataFrame, links
 
 
 def link_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """df with n_shingles (long) and component_id (least doc_id reachable by links)."""
-    added = ["n_shingles", "component_id"]
+    """df with n_shingles (long), component_id (least doc_id reachable by links) and component (long: the same number in
+    all documents of a component; documents with an empty set have no component: null)."""
+    added = ["n_shingles", "component_id", "component"]
     clean = df.drop(*(c for a in [*added, "__doc", "__key", "__set"] for c in same_name(df, a)))
     texts = clean.select(F.col(doc_id).alias("__doc"), F.xxhash64(text).alias("__key"), F.col(text).alias("text"))
     profile = _profile(words, percent)
@@ -302,7 +304,16 @@ def link_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id", wo
     sets = members.select("doc", "key", "node", "n").distinct().join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = sets.where("n > 0").groupBy("label").agg(F.min("doc").alias("least"))
     found = sets.join(least, "label", "left").select(
-        F.col("doc").alias("__doc"), F.col("key").alias("__key"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc")).alias("component_id")
-    )
+        F.col("doc").alias("__doc"), F.col("key").alias("__key"), F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc")).alias("component_id"), F.when(F.col("n") > 0, F.col("label")).alias("component")
+    )
     on = F.col(doc_id).eqNullSafe(F.col("__doc")) & (F.xxhash64(text).eqNullSafe(F.col("__key")))
     return clean.join(found, on, "left").drop("__doc", "__key")
+
+
+def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of df without near duplicates: of each component the one of the least doc_id stays, once; rows with an
+    empty set all stay."""
+    linked = link_documents(df, text, doc_id, words, percent)
+    first = linked.where(F.col("component").isNotNull() & F.col(doc_id).eqNullSafe(F.col("component_id"))).dropDuplicates(["component"])
+    return linked.where("component is null").unionByName(first).drop("n_shingles", "component_id", "component")
