@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+import importlib
+
+MODULES = ["swiss"]
+
+
+def _all(name: str) -> dict:
+    out: dict = {}
+    for module in MODULES:
+        out |= getattr(importlib.import_module(f"rankflow.plans.{module}"), name)
+    return out
+
 
 def queries() -> dict:
-    return {}
+    return _all("QUERIES")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _all("ORACLE")
