@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["swiss"]
+MODULES = ["swiss", "relational"]
 
 
 def _all(name: str) -> dict:
