@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["swiss", "relational"]
+MODULES = ["swiss", "relational", "sequences"]
 
 
 def _all(name: str) -> dict:
