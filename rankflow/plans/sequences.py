@@ -63,10 +63,10 @@ def wn06_ranks(spark, d):
     return ranked.join(least, "v").select("c_custkey", "average_rank", (F.col("average_rank") - (F.col("ties") - 1) / 2).cast("long").alias("least_rank"), "n")
 
 
-@query(f"WITH {SCORES_SQL} SELECT tournament, round, player, COUNT(*) OVER (PARTITION BY tournament, round) AS field, MAX(round) OVER (PARTITION BY tournament) AS n_rounds, ROUND(AVG(accuracy) OVER (PARTITION BY tournament, round), 4) AS field_accuracy FROM scores")
+@query(f"WITH {SCORES_SQL} SELECT tournament, round, player, COUNT(*) OVER (PARTITION BY tournament, round) AS field, MAX(round) OVER (PARTITION BY tournament) AS n_rounds, ROUND(SUM(accuracy) OVER (PARTITION BY tournament, round), 2) AS field_accuracy FROM scores")
 def wn07_group_broadcast(spark, d):
     field, event = Window.partitionBy("tournament", "round"), Window.partitionBy("tournament")
-    return player_game(spark, d).select(*KEY, F.count("*").over(field).alias("field"), F.max("round").over(event).alias("n_rounds"), F.round(F.avg("accuracy").over(field), 4).alias("field_accuracy"))
+    return player_game(spark, d).select(*KEY, F.count("*").over(field).alias("field"), F.max("round").over(event).alias("n_rounds"), F.round(F.sum("accuracy").over(field), 2).alias("field_accuracy"))
 
 
 @query("""WITH q AS (SELECT quantile_cont(c_acctbal, 0.01) AS lo, quantile_cont(c_acctbal, 0.99) AS hi FROM customer),
