@@ -159,7 +159,7 @@ def name_forms(text) -> Column:
     words = F.split(name, " ")
     first, last = F.element_at(words, 1), F.element_at(words, -1)
     forms = F.array(name, F.concat_ws(" ", first, last), F.concat_ws(" ", F.substring(first, 1, 1), last), F.concat_ws(" ", last, first), F.replace(name, F.lit(" "), F.lit("")))
-    return F.array_distinct(F.filter(forms, lambda x: x != ""))
+    return F.when(name.isNotNull(), F.array_distinct(F.filter(forms, lambda x: x != "")))
 
 
 def camel_words(text) -> Column:

@@ -11,11 +11,17 @@ from pyspark.sql import functions as F
 
 from rankflow.functions.scalar import clip, clock_seconds, flag
 
-GAME = Window.partitionBy("game_id").orderBy("ply")
-OWN = Window.partitionBy("game_id", "is_white_move").orderBy("ply")
 SIDE = ["game_id", "is_white_move"]
 
 
+def in_game():
+    return Window.partitionBy("game_id").orderBy("ply")
+
+
+def own_moves():
+    return Window.partitionBy(*SIDE).orderBy("ply")
+
+
 def mover_view(white: str | Column) -> Column:
     white = F.col(white) if isinstance(white, str) else white
     return F.when(F.col("is_white_move") == 1, white).otherwise(-white)
@@ -35,7 +41,7 @@ def evaluate_positions(moves: DataFrame, evaluate, key: str = "position") -> Dat
 
 def clock_before(base: Column) -> Column:
     """The mover's clock before the move: what the own last move left, else base."""
-    return F.coalesce(F.lag("time_after").over(OWN), base)
+    return F.coalesce(F.lag("time_after").over(own_moves()), base)
 
 
 def time_spent(before: Column, increment: Column, after: Column) -> Column:
@@ -109,7 +115,7 @@ def snapshots(moves: DataFrame, at: list[int]) -> DataFrame:
 def around_first_low(moves: DataFrame, threshold: int, before: int = 5, after: int = 5) -> DataFrame:
     """Mean loss of a side's moves before and from its first move begun at or under a clock threshold, and whether the
     clock was ever over it again."""
-    index = F.row_number().over(OWN)
+    index = F.row_number().over(own_moves())
     rows = moves.where("time_before IS NOT NULL").withColumn("__i", index)
     first = F.min(F.when(F.col("time_before") <= threshold, F.col("__i"))).over(Window.partitionBy(*SIDE))
     rows = rows.withColumn("__k", F.col("__i") - first).where("__k IS NOT NULL")
@@ -129,8 +135,8 @@ def rhythm(moves: DataFrame) -> DataFrame:
     """Adjacent moves of both sides, formed after moves without a clock are dropped: the other side's last thinking time
     and the loss of its answer; null where the neighbouring row is of the same side."""
     rows = moves.where("time_spent IS NOT NULL")
-    before, after = F.lag("is_white_move").over(GAME) != F.col("is_white_move"), F.lead("is_white_move").over(GAME) != F.col("is_white_move")
-    return rows.withColumn("opp_time", F.when(before, F.lag("time_spent").over(GAME))).withColumn("answer_loss", F.when(after, F.lead("cp_loss").over(GAME)))
+    before, after = F.lag("is_white_move").over(in_game()) != F.col("is_white_move"), F.lead("is_white_move").over(in_game()) != F.col("is_white_move")
+    return rows.withColumn("opp_time", F.when(before, F.lag("time_spent").over(in_game()))).withColumn("answer_loss", F.when(after, F.lead("cp_loss").over(in_game())))
 
 
 def state_at(moves: DataFrame, ply: int, columns: list[str]) -> DataFrame:

@@ -78,7 +78,7 @@ def _incomplete_beta(a: float, b: float, x: float) -> float:
         out *= c * d
         if abs(c * d - 1) < 1e-14:
             break
-    return front * out
+    return front * (out - 1)
 
 
 def t_p_value(t: float, df: float) -> float:
