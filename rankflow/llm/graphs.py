@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from rankflow.llm.common import written
 
 
-def _state(edges: DataFrame):
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+#: Edges for each task that writes them, about.
+TASK_EDGES = 50_000
+
+
+def _observed(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges written to the shared folder, and their number and hash sum, counted on the way."""
+    seen = Observation()
+    out = written(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")))
+    return out, (seen.get["n"], seen.get["sum"])
+
+
+def _turned(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,18 +30,16 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating star contraction: each node's larger neighbours, then its smaller ones, are tied to the least of its
     neighbourhood, until nothing changes; about log(nodes) rounds, each written to the shared folder. The least is a
     partial aggregate and the join that brings it back can be split, so a node with very many edges is no bottleneck."""
-    alone = edges.where("a = b").select("a").distinct()
-    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
-    while (now := _state(edges)) != before:
-        before = now
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    edges, now = _observed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    alone, edges, before = edges.where("a = b").select("a"), edges.where("a > b"), None
+    while now != before:
+        before, tasks = now, 1 + now[0] // TASK_EDGES
+        both = edges.unionByName(_turned(edges))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = written(large)
+        large = written(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(tasks))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        edges, now = _observed(small.where("a <> b").distinct().coalesce(tasks))
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    roots = edges.select(F.col("b").alias("node")).unionByName(alone.select(F.col("a").alias("node"))).distinct()
-    return stars.unionByName(roots.join(stars, "node", "left_anti").withColumn("label", F.col("node")))
+    roots = edges.select(F.col("b").alias("node")).unionByName(alone.select(F.col("a").alias("node")))
+    return stars.unionByName(roots.withColumn("label", F.col("node"))).groupBy("node").agg(F.min("label").alias("label"))
