@@ -208,7 +208,7 @@ def _chunks(weight) -> F.Column:
 
 
 def _links_of_regions(nodes: DataFrame, texts: DataFrame, weight: int, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) and nodes of large regions, from nodes (node, region, n, doc, key)."""
+    """Links (a, b) and nodes of large regions, from nodes (node, region, n) and their texts."""
     size = nodes.groupBy("region").agg(_chunks(F.sum(F.col("n") + DOC_WEIGHT)).alias("chunks"))
     nodes = written(nodes.join(size, "region"))
     tasks = max(1, -(-weight // TASK_WEIGHT))
@@ -216,9 +216,8 @@ def _links_of_regions(nodes: DataFrame, texts: DataFrame, weight: int, words: in
     now = nodes.withColumn("k", F.col("chunks"))
     while True:
         chunk = F.when(F.col("k") > 1, F.xxhash64("region", F.pmod(F.xxhash64("node"), "k"))).otherwise(F.col("region"))
-        now = now.select("node", "doc", "key", chunk.alias("region"), F.col("region").alias("whole"), (F.col("k") > 1).alias("large"))
-        rows = texts.join(now, F.col("doc").eqNullSafe(F.col("__doc")) & (F.col("key") == F.col("__key")))
-        rows = rows.select(
+        now = now.select("node", chunk.alias("region"), (F.col("k") > 1).alias("large"))
+        rows = texts.join(now, "node").select(
             F.when(F.col("large"), F.col("region")).otherwise(F.pmod(F.xxhash64("region"), F.lit(tasks))).alias("task"),
             "region", F.lit(0).alias("part"), "node", F.col("node").alias("label"), "large", "text",
         )
@@ -239,9 +238,8 @@ def _links_of_regions(nodes: DataFrame, texts: DataFrame, weight: int, words: in
 def _links_of_keys(large: DataFrame, members: DataFrame, texts: DataFrame, links: DataFrame, words: int, percent: int) -> DataFrame | None:
     """Links between nodes of large regions that share a key and are not connected by links; None if there are none."""
     labels = components(links)
-    sketches = members.join(large.select("node"), "node", "left_semi").groupBy("node").agg(F.min_by(F.struct("keys", "bitmap"), F.struct("doc", "key")).alias("own"))
-    sketches = large.join(sketches, "node").join(labels, "node", "left")
-    sketches = written(sketches.select("node", "n", "doc", "key", F.coalesce("label", "node").alias("label"), F.col("own.keys").alias("keys"), F.col("own.bitmap").alias("bitmap")))
+    sketches = members.select("node", "keys", "bitmap").join(large.select("node", "n"), "node").dropDuplicates(["node"])  # equal sets
+    sketches = written(sketches.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
     rows = sketches.select("node", "label", (F.col("n") + DOC_WEIGHT).alias("weight"), F.explode("keys").alias("shared"))
     groups = rows.groupBy("shared").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum("weight").alias("weight"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.count("*").alias("count"))
     groups = groups.where("lo < hi").groupBy("sum", "count").agg(F.min(F.struct("shared", "weight")).alias("one")).select("one.*")  # the same nodes once
@@ -267,9 +265,8 @@ def _links_of_keys(large: DataFrame, members: DataFrame, texts: DataFrame, links
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
 
     def side(name: str) -> DataFrame:
-        used = pairs.select(F.col(name).alias("node")).distinct().join(sketches.select("node", "doc", "key"), "node")
-        found = texts.join(used, F.col("doc").eqNullSafe(F.col("__doc")) & (F.col("key") == F.col("__key"))).select("node", "text")
-        return found.groupBy("node").agg(F.min("text").alias(f"text_{name}")).withColumnRenamed("node", name)
+        used = pairs.select(F.col(name).alias("node")).distinct()
+        return texts.join(used, "node").select(F.col("node").alias(name), F.col("text").alias(f"text_{name}"))
 
     @arrow_udf("boolean")
     def linked(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -293,12 +290,15 @@ def link_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id", wo
     rows = members.where("size(keys) > 0").select("node", F.explode("keys").alias("shared"))
     first = rows.groupBy("shared").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
     touching = rows.join(first.select("shared", "lo"), "shared").where("node <> lo").select(F.col("node").alias("a"), F.col("lo").alias("b"))
-    regions = components(touching)
-    one = members.groupBy("node").agg(F.max("n").alias("n"), F.min(F.struct("doc", "key")).alias("one"))
-    nodes = written(regions.join(one, "node").select("node", F.col("label").alias("region"), "n", "one.doc", "one.key"))
+    regions = written(components(touching))
+    one = members.join(regions, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc", "key", "n")).alias("one"))
+    nodes = written(regions.join(one, "node").select("node", F.col("label").alias("region"), "one.n", "one.doc", "one.key"))
     weight = nodes.agg(F.sum(F.col("n") + DOC_WEIGHT)).first()[0] or 0
-    links, large = _links_of_regions(nodes, texts, weight, words, percent)
-    if not large.isEmpty() and (more := _links_of_keys(large, members, texts, links, words, percent)) is not None:
+    own = F.col("doc").eqNullSafe(F.col("__doc")) & (F.col("key") == F.col("__key"))
+    # One plan at every size: the texts are dealt by document once (a row that repeats comes twice, which harms nothing).
+    own_texts = written(texts.join(nodes.hint("merge"), own).select("node", "text"))
+    links, large = _links_of_regions(nodes.select("node", "region", "n"), own_texts, weight, words, percent)
+    if not large.isEmpty() and (more := _links_of_keys(large, members, own_texts, links, words, percent)) is not None:
         links = written(links.unionByName(more))
     labels = components(links)
     sets = members.select("doc", "key", "node", "n").distinct().join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -307,8 +307,9 @@ def link_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id", wo
         F.col("doc").alias("__doc"), F.col("key").alias("__key"), F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc")).alias("component_id"), F.when(F.col("n") > 0, F.col("label")).alias("component")
     )
-    on = F.col(doc_id).eqNullSafe(F.col("__doc")) & (F.xxhash64(text).eqNullSafe(F.col("__key")))
-    return clean.join(found, on, "left").drop("__doc", "__key")
+    rows = clean.withColumn("__set", F.xxhash64(text))  # so that a text that the caller drops is not shuffled
+    on = F.col(doc_id).eqNullSafe(F.col("__doc")) & (F.col("__set") == F.col("__key"))
+    return rows.join(found, on, "left").drop("__doc", "__key", "__set")
 
 
 def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
@@ -317,3 +318,15 @@ def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words
     linked = link_documents(df, text, doc_id, words, percent)
     first = linked.where(F.col("component").isNotNull() & F.col(doc_id).eqNullSafe(F.col("component_id"))).dropDuplicates(["component"])
     return linked.where("component is null").unionByName(first).drop("n_shingles", "component_id", "component")
+
+
+ORACLE_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y USING (g) GROUP BY 1, 2),
+e AS (SELECT b.a, b.b FROM b JOIN n x ON x.doc_id = b.a JOIN n y ON y.doc_id = b.b WHERE 100 * common >= 90 * (x.n + y.n - common)),
+t(a, b) AS (SELECT a, b FROM e UNION SELECT t.a, e.b FROM t JOIN e ON e.a = t.b)
+SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, coalesce(min(t.b), w.doc_id) AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN t ON t.a = w.doc_id GROUP BY w.doc_id
+"""
