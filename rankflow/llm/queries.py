@@ -102,4 +102,4 @@ QUERIES = {
     "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_line_dedup": linededup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": substrings.ORACLE_SQL, "op7_jaccard_join": jaccard.ORACLE_SQL, "op8_line_dedup": linededup.ORACLE_SQL}

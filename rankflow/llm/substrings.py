@@ -195,3 +195,14 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
 
 _EXTENDED = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), *((n, pa.binary()) for n in ("hashes", "places", "starts", "ids", "keys"))])
 _SETTLED = pa.schema([("batch", pa.int64()), ("places", pa.binary())])
+
+ORACLE_SQL = """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS k FROM p) WHERE k > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM r),
+u AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM w),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS kept, count(*) AS n FROM u ANTI JOIN c USING (doc_id, j) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON k.doc_id = w.doc_id
+"""
