@@ -208,16 +208,13 @@ def _chunks(weight) -> F.Column:
 
 
 def _links_of_regions(nodes: DataFrame, texts: DataFrame, weight: int, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) and nodes of large regions, from nodes (node, region, n) and their texts."""
-    size = nodes.groupBy("region").agg(_chunks(F.sum(F.col("n") + DOC_WEIGHT)).alias("chunks"))
-    nodes = written(nodes.join(size, "region"))
+    """Links (a, b) and nodes of large regions, from nodes (node, region, n, chunks) and texts (those and text)."""
     tasks = max(1, -(-weight // TASK_WEIGHT))
     large, found = nodes.where("chunks > 1"), []
-    now = nodes.withColumn("k", F.col("chunks"))
+    rows, large_texts = texts.withColumn("k", F.col("chunks")), texts.where("chunks > 1").select("node", "region", "n", "text")
     while True:
         chunk = F.when(F.col("k") > 1, F.xxhash64("region", F.pmod(F.xxhash64("node"), "k"))).otherwise(F.col("region"))
-        now = now.select("node", chunk.alias("region"), (F.col("k") > 1).alias("large"))
-        rows = texts.join(now, "node").select(
+        rows = rows.select("node", chunk.alias("region"), (F.col("k") > 1).alias("large"), "text").select(
             F.when(F.col("large"), F.col("region")).otherwise(F.pmod(F.xxhash64("region"), F.lit(tasks))).alias("task"),
             "region", F.lit(0).alias("part"), "node", F.col("node").alias("label"), "large", "text",
         )
@@ -226,9 +223,8 @@ def _links_of_regions(nodes: DataFrame, texts: DataFrame, weight: int, words: in
         onward = result.where("kind = 1").select(F.col("a").alias("node")).distinct()
         if onward.isEmpty():
             break
-        now = large.join(onward, "node")
-        count = now.groupBy("region").agg(_chunks(F.sum(F.col("n") + DOC_WEIGHT)).alias("k"))
-        now = now.join(count, "region")
+        count = large.join(onward, "node").groupBy("region").agg(_chunks(F.sum(F.col("n") + DOC_WEIGHT)).alias("k"))
+        rows = large_texts.join(onward, "node").join(count, "region")
     links = found[0]
     for more in found[1:]:
         links = links.unionByName(more)
@@ -266,7 +262,7 @@ def _links_of_keys(large: DataFrame, members: DataFrame, texts: DataFrame, links
 
     def side(name: str) -> DataFrame:
         used = pairs.select(F.col(name).alias("node")).distinct()
-        return texts.join(used, "node").select(F.col("node").alias(name), F.col("text").alias(f"text_{name}"))
+        return texts.where("chunks > 1").join(used, "node").select(F.col("node").alias(name), F.col("text").alias(f"text_{name}"))
 
     @arrow_udf("boolean")
     def linked(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -293,11 +289,13 @@ def link_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id", wo
     regions = written(components(touching))
     one = members.join(regions, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc", "key", "n")).alias("one"))
     nodes = written(regions.join(one, "node").select("node", F.col("label").alias("region"), "one.n", "one.doc", "one.key"))
+    size = nodes.groupBy("region").agg(_chunks(F.sum(F.col("n") + DOC_WEIGHT)).alias("chunks"))
+    nodes = written(nodes.join(size, "region"))
     weight = nodes.agg(F.sum(F.col("n") + DOC_WEIGHT)).first()[0] or 0
     own = F.col("doc").eqNullSafe(F.col("__doc")) & (F.col("key") == F.col("__key"))
     # One plan at every size: the texts are dealt by document once (a row that repeats comes twice, which harms nothing).
-    own_texts = written(texts.join(nodes.hint("merge"), own).select("node", "text"))
-    links, large = _links_of_regions(nodes.select("node", "region", "n"), own_texts, weight, words, percent)
+    own_texts = written(texts.join(nodes.hint("merge"), own).select("node", "region", "n", "chunks", "text"))
+    links, large = _links_of_regions(nodes.select("node", "region", "n", "chunks"), own_texts, weight, words, percent)
     if not large.isEmpty() and (more := _links_of_keys(large, members, own_texts, links, words, percent)) is not None:
         links = written(links.unionByName(more))
     labels = components(links)
