@@ -24,13 +24,14 @@ from pyspark.sql.functions import arrow_udf
 
 from rankflow.llm.common import Memo
 
-#: Pieces of at most so many bytes are merged directly; longer ones are cut in halves.
-LEAF = 12
+#: Pieces of at most so many bytes are merged directly and remembered; longer ones are cut in halves.
+LEAF = 6
 #: Distinct pieces remembered by a Python worker at once.
 MEMO = 400_000
 #: The characters of Unicode's White_Space property, which `\\s` of the split patterns means.
 WHITE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _SEGMENTS = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
+_INNER_BLANK = re.compile(f"[{WHITE_SPACE}] ")
 
 
 class Merges:
@@ -94,7 +95,7 @@ class Merges:
     def tree(self, piece: bytes) -> tuple[int, ...]:
         """The encoding of a piece: that of its halves, joined."""
         if len(piece) <= LEAF:
-            return self.merge(piece)
+            return self.window(piece)
         half = len(piece) // 2
         return self.join(self.tree(piece[:half]), self.tree(piece[half:]))
 
@@ -113,8 +114,10 @@ class _Segments:
         import regex
 
         matches = regex.compile(pattern).findall
-        pieces = Memo(lambda match: np.array(merges.piece(match.encode()), dtype="<u4").tobytes(), MEMO // 2)
+        pack = [i.to_bytes(4, "little") for i in range(1 + max(merges.bytes_of, default=0))].__getitem__
+        pieces = Memo(lambda match: b"".join(map(pack, merges.piece(match.encode()))), MEMO // 2)
         self.packed = Memo(lambda segment: b"".join([pieces[m] for m in matches(segment)]), MEMO // 2)
+        self.after_blank = Memo(lambda rest: b"".join([pieces[m] for m in matches(" " + rest)]), MEMO // 2)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -123,19 +126,41 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(2)
-def _encoder(path: str, pattern: str) -> Memo:
-    return _Segments(Merges(read_ranks(path)), pattern).packed
+def _encoder(path: str, pattern: str) -> _Segments:
+    return _Segments(Merges(read_ranks(path)), pattern)
 
 
 def encode_text(text: str, path: str, pattern: str, blank_starts: bool = True) -> bytes:
     """Packed ids of a text."""
-    packed = _encoder(path, pattern).__getitem__
-    return _concatenated(list(map(packed, _SEGMENTS.findall(text)))) if blank_starts else packed(text)
+    encoder = _encoder(path, pattern)
+    if not blank_starts:
+        return encoder.packed[text]
+    if _INNER_BLANK.search(text):
+        return _concatenated(list(map(encoder.packed.__getitem__, _SEGMENTS.findall(text))))
+    first, *rest = text.split(" ")  # every blank begins a run of white space, so every one begins a segment
+    return _concatenated([encoder.packed[first], *map(encoder.after_blank.__getitem__, rest)])
 
 
 @lru_cache(2)
-def _pieces(path: str) -> dict[int, bytes]:
-    return {i: b for b, i in read_ranks(path).items()}
+def _pieces(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens' bytes one after another; where each id's begin; how many they are."""
+    ranks = read_ranks(path)
+    starts, sizes = np.zeros((2, 1 + max(ranks.values(), default=0)), np.int64)
+    for token, i in ranks.items():
+        sizes[i] = len(token)
+    order = sorted(ranks, key=ranks.__getitem__)
+    starts[1:] = np.cumsum(sizes)[:-1]
+    return np.frombuffer(b"".join(order), np.uint8), starts, sizes
+
+
+def decode_ids(ids: np.ndarray, path: str) -> bytes:
+    """The tokens' bytes concatenated, all at once: in the tree of decoded parts a join is plain concatenation."""
+    data, starts, sizes = _pieces(path)
+    own = sizes[ids]
+    if not own.all():
+        raise KeyError("an id without a token")
+    ends = np.cumsum(own)
+    return data[np.repeat(starts[ids] - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
 
 
 def _concatenated(parts: list[bytes]) -> bytes:
@@ -162,11 +187,7 @@ def decode(ids: Column, path: str) -> Column:
 
     @arrow_udf("binary")
     def decoded(column: pa.Array) -> pa.Array:
-        at = _pieces(path).__getitem__
-        return pa.array(
-            [None if not x.is_valid else b"".join(map(at, np.frombuffer(x.as_buffer(), "<u4").tolist())) for x in column],
-            pa.binary(),
-        )
+        return pa.array([decode_ids(np.frombuffer(x.as_buffer(), "<u4"), path) if x.is_valid else None for x in column], pa.binary())
 
     return decoded(ids)
 
