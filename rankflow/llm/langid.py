@@ -15,7 +15,6 @@ letters, in lower case; one longer than SLICE letters is scored by slices, so te
 
 from __future__ import annotations
 
-import math
 import re
 import uuid
 from collections import defaultdict
@@ -27,13 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from rankflow.llm.common import Memo, written
+from rankflow.llm.common import written
 from rankflow.llm.tokencount import BLANK, read_scores
 
 #: Documents that a fit reads at most, and rounds of expectation-maximisation.
 MAX_TRAIN_DOCS, ROUNDS = 3000, 3
 #: Added to each expected count; probability of a character outside the vocabulary; longest slice of a word.
 SMOOTH, UNKNOWN, SLICE = 0.05, 1e-9, 24
+#: Words whose scores a Python worker remembers.
+MEMO = 200_000
 
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -71,22 +72,41 @@ def _matches(piece_matches, word: str) -> list[list[tuple[int, int]]]:
     return ends
 
 
-def log_likelihood(word: str, probabilities: dict[int, list[float]], floor: list[float], path: str) -> list[float]:
-    """Of a word in each language, over all segmentations. floor: probabilities of pieces without an entry."""
+def log_likelihoods(words: list[str], probabilities: np.ndarray, path: str) -> np.ndarray:
+    """Of each word (rows) in each language (columns), over all segmentations: the forward algorithm on all words at
+    once, one step for each place. probabilities: a row for each piece, and the last one for unknown characters."""
     automaton, _ = _automaton(path)
-    total = [0.0] * len(floor)
-    unknown = [UNKNOWN] * len(floor)
-    for part in slices(word):
-        ends = _matches(automaton.iter, part)
-        alpha = [[1.0] * len(floor)]
-        for end in range(1, len(part) + 1):
-            sums = [0.0] * len(floor)
-            for start, number in ends[end]:
-                p = unknown if number < 0 else probabilities.get(number, floor)
-                sums = [s + a * x for s, a, x in zip(sums, alpha[start], p)]
-            alpha.append(sums)
-        total = [t + math.log(a) for t, a in zip(total, alpha[-1])]
-    return total
+    sizes, owners, part_of, starts, ends, numbers = [], [], [], [], [], []
+    for owner, word in enumerate(words):
+        for text in slices(word):
+            k = len(sizes)
+            sizes.append(len(text))
+            owners.append(owner)
+            for end, (length, number) in automaton.iter(text):
+                part_of.append(k)
+                starts.append(end + 1 - length)
+                ends.append(end + 1)
+                numbers.append(number)
+    out = np.zeros((len(words), probabilities.shape[1]))
+    if not words:
+        return out
+    sizes, part_of, starts, ends = (np.array(x, np.int64) for x in (sizes, part_of, starts, ends))
+    weights = probabilities[numbers] if numbers else np.zeros((0, probabilities.shape[1]))
+    forward = np.zeros((SLICE + 1, len(sizes), probabilities.shape[1]))
+    forward[0] = 1.0
+    order = np.argsort(ends, kind="stable")
+    edges = np.searchsorted(ends[order], np.arange(1, SLICE + 2))
+    known = np.zeros((SLICE + 1, len(sizes)), bool)  # characters that are a piece of their own
+    known[ends[ends - starts == 1], part_of[ends - starts == 1]] = True
+    for end in range(1, int(sizes.max()) + 1):
+        own = order[edges[end - 1] : edges[end]]
+        if len(own):
+            parts = part_of[own]
+            first = np.flatnonzero(np.diff(parts, prepend=-1))
+            forward[end, parts[first]] = np.add.reduceat(forward[starts[own], parts] * weights[own], first)
+        forward[end] += np.where(known[end], 0.0, UNKNOWN)[:, None] * forward[end - 1]
+    np.add.at(out, owners, np.log(forward[sizes, np.arange(len(sizes))]))
+    return out
 
 
 def _expected(word: str, p, path: str) -> dict[int, float]:
@@ -156,24 +176,51 @@ def fit(labelled: DataFrame, path: str, text: str = "text", lang: str = "lang",
     return {"languages": languages, "floor": floor, "probabilities": {k: [tables[x].get(k, f) for x, f in zip(languages, floor)] for k in used}}
 
 
-_scorers: dict[str, Memo] = {}
-
-
-def _scorer(model_id, model, path: str):
-    """One memo of word scores for each model in a Python worker: word -> row of a growing matrix."""
-    if model_id not in _scorers:
-        _scorers.clear()
-        _scorers[model_id] = Memo(lambda w: np.array(log_likelihood(w, model["probabilities"], model["floor"], path)), 150_000)
-    return _scorers[model_id]
-
-
-def predict_text(text: str | None, model: dict, memo) -> tuple[str, float]:
-    words = words_of(text)
-    if not words or not model["languages"]:
-        return "und", 0.0
-    total = np.add.reduce([memo[w] for w in words])
-    best = int(np.argmax(total))
-    return model["languages"][best], float(1.0 / np.exp(total - total[best]).sum())
+class Scorer:
+    """Log-likelihoods of the words that a Python worker has met, MEMO at most."""
+
+    def __init__(self, model: dict, path: str):
+        self.languages, self.path = model["languages"], path
+        _, size = _automaton(path)
+        self.probabilities = np.tile(np.array(model["floor"]), (size + 1, 1))
+        for number, own in model["probabilities"].items():
+            self.probabilities[number] = own
+        self.probabilities[size] = UNKNOWN
+        self.place: dict[str, int] = {}
+        self.rows = np.zeros((MEMO, len(self.languages)))
+
+    def learn(self, words: list[str]):
+        new = [w for w in dict.fromkeys(words) if w not in self.place]
+        if len(self.place) + len(new) > len(self.rows):
+            new = list(dict.fromkeys(words))
+            self.place.clear()
+            if len(new) > len(self.rows):
+                self.rows = np.zeros((len(new), len(self.languages)))
+        for start in range(0, len(new), 4096):
+            part = new[start : start + 4096]
+            at = len(self.place)
+            self.rows[at : at + len(part)] = log_likelihoods(part, self.probabilities, self.path)
+            self.place.update(zip(part, range(at, at + len(part))))
+
+    def predict(self, words: list[str]) -> tuple[str, float]:
+        """Of a text's words, learnt before."""
+        if not words or not self.languages:
+            return "und", 0.0
+        total = self.rows[[self.place[w] for w in words]].sum(axis=0)
+        best = int(np.argmax(total))
+        return self.languages[best], float(1.0 / np.exp(total - total[best]).sum())
+
+    def predict_all(self, texts: list[str | None], at_once: int = 64) -> list[tuple[str, float]]:
+        out = []
+        for start in range(0, len(texts), at_once):
+            split = [words_of(x) for x in texts[start : start + at_once]]
+            if self.languages:
+                self.learn([w for words in split for w in words])
+            out += map(self.predict, split)
+        return out
+
+
+_scorers: dict[str, Scorer] = {}
 
 
 def predict(df: DataFrame, model: dict, path: str, text: str = "text") -> DataFrame:
@@ -184,8 +231,10 @@ def predict(df: DataFrame, model: dict, path: str, text: str = "text") -> DataFr
 
     @arrow_udf("struct<lang:string,score:double>")
     def predicted(column: pa.Array) -> pa.Array:
-        memo = _scorer(key, shared.value, path)
-        out = [predict_text(x.as_py(), shared.value, memo) for x in column]
+        if key not in _scorers:  # one model in a worker at a time
+            _scorers.clear()
+            _scorers[key] = Scorer(shared.value, path)
+        out = _scorers[key].predict_all(column.to_pylist())
         return pa.StructArray.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], names=["lang", "score"])
 
     out = df.withColumn("__predicted", predicted(F.col(text)))
