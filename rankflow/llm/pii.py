@@ -4,7 +4,7 @@ A found value is validated, ranked within the values of its own format, permuted
 walking keeps it inside), and written back in its format: equal values get equal pseudonyms in every document, and the
 key undoes them. Formats, with their tests and what stays:
 
-card     13-19 digits, plain or in groups of four, Luhn    -> same length, same first digit, Luhn holds
+card     13-19 digits, plain, by fours, 4-6-5, 4-6-4; Luhn -> same length, same first digit, Luhn holds
 phone    +1 (NXX) NXX-XXXX and its common spellings         -> country code and punctuation stay, N in 2-9
 ssn      ddd-dd-dddd, area, group and serial valid          -> valid again
 iban     country, check digits, mod 97                      -> country and character classes stay, mod 97 holds
@@ -12,8 +12,9 @@ date     yyyy-mm-dd, dd/mm/yyyy, dd.mm.yyyy; 1900 to 2099   -> a date in the sam
 ipv4     four numbers up to 255, not zero-padded            -> four numbers up to 255
 email    local part @ domain                                -> letters and digits of the local part; the rest stays
 
-Where two formats could begin at one place the first in the order above wins; spans never overlap. Numbers that fail
-their test stay as they are, and so does every other character.
+Where two formats could begin at one place the first in the order above that passes its test wins; spans never overlap.
+Where none passes, the search goes on one group of letters or digits further. Numbers that fail their test stay as they
+are, and so does every other character.
 
 Cases: null text gives null text and no spans; empty texts stay; repeated rows and equal texts get equal results; a
 text of any length is read whole. The key is a parameter and never stored in the output.
@@ -163,22 +164,38 @@ def email(value: str, key: bytes, inverse: bool = False) -> str | None:
 
 FORMATS = {"card": card, "phone": phone, "ssn": ssn, "iban": iban, "date": date, "ipv4": ipv4, "email": email}
 
-#: One pass over the text: each format has its group. All but the last two begin at a digit, `+`, `(` or a country code.
-NUMBERS = re.compile(
-    r"(?<![\w.+@/-])(?:"
-    r"(?P<card>\d{13,19}(?!\w)|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}(?!\w))"
-    r"|(?P<phone>(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w))"
-    r"|(?P<ssn>\d{3}-\d\d-\d{4}(?![\w-]))"
-    r"|(?P<iban>[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
-    r"|(?P<date>\d{4}-\d\d-\d\d(?![\w-])|\d\d(?P<mark>[/.])\d\d(?P=mark)\d{4}(?![\w/]))"
-    r"|(?P<ipv4>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d))"
-    r")",
-    re.ASCII,
-)
+#: Spellings of each format, in the order in which they are tried at one place.
+SPELLINGS = [
+    ("card", r"\d{13,19}(?!\w)"),
+    ("card", r"\d{4}(?P<g1>[ -])\d{4}(?P=g1)\d{4}(?P=g1)\d{4}(?P=g1)\d{1,3}(?!\w|-\d)"),
+    ("card", r"\d{4}(?P<g2>[ -])\d{4}(?P=g2)\d{4}(?P=g2)\d{1,7}(?!\w)"),
+    ("card", r"\d{4}(?P<g3>[ -])\d{6}(?P=g3)\d{4,5}(?!\w)"),
+    ("phone", r"(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)"),
+    ("ssn", r"\d{3}-\d\d-\d{4}(?![\w-])"),
+    ("iban", r"[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
+    ("date", r"\d{4}-\d\d-\d\d(?![\w-])|\d\d(?P<mark>[/.])\d\d(?P=mark)\d{4}(?![\w/])"),
+    ("ipv4", r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d)"),
+]
+_EACH = [(name, re.compile(pattern, re.ASCII)) for name, pattern in SPELLINGS]
+#: What no value follows, but that a card may follow the hyphen behind another group of a failed candidate.
+_BEFORE = re.compile(r"[\w.+@/-]", re.ASCII)
+#: Places where a value may begin.
+NUMBERS = re.compile(rf"(?<!{_BEFORE.pattern})(?:{'|'.join(pattern for _, pattern in SPELLINGS)})", re.ASCII)
+_GROUP = re.compile(r"[A-Za-z0-9]+")
 EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}", re.ASCII)
 _DIGIT = re.compile(r"\d\D{0,3}\d\D{0,3}\d", re.ASCII)
 
 
+def _value_at(text: str, at: int, key: bytes, taken: list[tuple[int, int]], only: str | None = None) -> tuple[int, int, str, str] | None:
+    """The first format whose value begins there, passes its test and leaves the taken places alone."""
+    for name, pattern in _EACH:
+        m = pattern.match(text, at) if only in (None, name) else None
+        pseudonym = FORMATS[name](m[0], key) if m else None
+        if pseudonym is not None and not any(s < m.end() and at < e for s, e in taken):
+            return at, m.end(), name, pseudonym
+    return None
+
+
 def spans(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
     """(start, end, format, pseudonym) of every validated value, in order, without overlap."""
     found = []
@@ -186,11 +203,18 @@ def spans(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
         found += [(m.start(), m.end(), "email", email(m[0], key)) for m in EMAIL.finditer(text)]
     taken = [(s, e) for s, e, *_ in found]
     if _DIGIT.search(text):
-        for m in NUMBERS.finditer(text):
-            name = m.lastgroup if m.lastgroup in FORMATS else next(k for k in FORMATS if k != "email" and m[k] is not None)
-            pseudonym = FORMATS[name](m[0], key)
-            if pseudonym is not None and not any(s < m.end() and m.start() < e for s, e in taken):
-                found.append((m.start(), m.end(), name, pseudonym))
+        at = 0
+        while m := NUMBERS.search(text, at):
+            at, value = m.end(), _value_at(text, m.start(), key, taken)
+            for group in _GROUP.finditer(text, m.start(), m.end()) if value is None else ():
+                before = text[group.start() - 1] if group.start() > m.start() else "."
+                if before == "-" or not _BEFORE.match(before):
+                    value = _value_at(text, group.start(), key, taken, only="card" if before == "-" else None)
+                if value is not None:
+                    break
+            if value is not None:
+                found.append(value)
+                at = value[1]
     return sorted(found)
 
 

@@ -220,6 +220,20 @@ def test_invalid_values_stay(spark):
     assert a == b != "ann.lee@mail.org" and got[5].private_text.endswith(pii.date("2021-02-28", KEY))
 
 
+@pytest.mark.parametrize(
+    ("text", "values"),
+    [
+        ("in 2024 4111 1111 1111 1111 was", ["4111 1111 1111 1111"]), ("no 2024-4111-1111-1111-1111", ["4111-1111-1111-1111"]), ("3782 822463 10005.", ["3782 822463 10005"]),
+        ("3056 930902 5904", ["3056 930902 5904"]), ("2024 3782-822463-10005", ["3782-822463-10005"]), ("6304 0000 0000 0000 000", ["6304 0000 0000 0000 000"]),
+        ("4111 1111 1111 1111 124", ["4111 1111 1111 1111"]), ("AB12 4111 1111 1111 1111", ["4111 1111 1111 1111"]), ("1 2024 2024 4111 1111 1111 1111 219-09-9999", ["4111 1111 1111 1111", "219-09-9999"]),
+    ],
+)
+def test_values_after_failed_candidates(text, values):
+    found = pii.spans(text, KEY)
+    assert [text[s:e] for s, e, _, _ in found] == values
+    assert all(p == pii.FORMATS[f](text[s:e], KEY) for s, e, f, p in found)
+
+
 # -- toxicity
 
 
