@@ -41,19 +41,21 @@ def dense_panel(observed: DataFrame, left: DataFrame, right: DataFrame, value: s
     return left.distinct().crossJoin(right.distinct()).join(observed, keys, "left").fillna(0, subset=[value])
 
 
-def prefix_matches(left: DataFrame, right: DataFrame, left_text: str, right_text: str, on: list[str], least: int = 3, most: int = 8) -> DataFrame:
+def prefix_matches(left: DataFrame, right: DataFrame, left_text: str, right_text: str, on: list[str], least: int = 3) -> DataFrame:
     """Pairs of rows, equal in on, one of whose texts' words is a prefix of at least so many letters of a word of the
-    other side: prefixes are exploded and joined by equality."""
+    other side: the prefixes of each side's words, up to the whole word, are joined with the other side's words."""
 
-    def prefixes(df: DataFrame, column: str, name: str) -> DataFrame:
-        words = F.filter(F.split(F.lower(column), r"[^a-z]+"), lambda w: F.length(w) >= least)
-        word = df.select(*on, F.col(column).alias(name), F.explode(F.array_distinct(words)).alias("w"))
-        ends = F.sequence(F.lit(least), F.least(F.lit(most), F.length("w")))
-        return word.select(*on, name, F.explode(F.transform(ends, lambda k: F.substring("w", 1, k))).alias("p"), F.length("w").alias(f"{name}_n"))
+    def words(df: DataFrame, column: str, name: str) -> DataFrame:
+        own = F.filter(F.split(F.lower(column), r"[^a-z]+"), lambda w: F.length(w) >= least)
+        return df.select(*on, F.col(column).alias(name), F.explode(F.array_distinct(own)).alias("w"))
 
-    a, b = prefixes(left, left_text, "left_text"), prefixes(right, right_text, "right_text")
-    whole = (F.length("p") == F.col("left_text_n")) | (F.length("p") == F.col("right_text_n"))
-    return a.join(b, [*on, "p"]).where(whole).select(*on, "left_text", "right_text").distinct()
+    def prefixes(word: DataFrame, name: str) -> DataFrame:
+        ends = F.sequence(F.lit(least), F.length("w"))
+        return word.select(*on, name, F.explode(F.transform(ends, lambda k: F.substring("w", 1, k))).alias("w"))
+
+    a, b = words(left, left_text, "left_text"), words(right, right_text, "right_text")
+    pairs = [x.join(y, [*on, "w"]).select(*on, "left_text", "right_text") for x, y in ((prefixes(a, "left_text"), b), (a, prefixes(b, "right_text")))]
+    return pairs[0].unionByName(pairs[1]).distinct()
 
 
 def fill_blanks(main: DataFrame, other: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -166,6 +166,15 @@ def test_sources(spark, tmp_path):
     assert [(r.k, r.v) for r in files.read_json_lines(spark, str(tmp_path / "rows.jsonl"), "k long, v string", "k").where("k IS NOT NULL").collect()] == [(1, "a")]
 
 
+def test_prefix_matches_of_long_words(spark):
+    names = ["Kasimdzhanov R", "Kasimdzhanova R", "Kasimdzhanovic", "Nepomniachtchi", "nepomniachtchi ian", "Nepomnia", "Li Kas", "Kasimdzhan-Ali", None, ""]
+    df = spark.createDataFrame([(i % 2, x) for x in names for i in range(2)], "g int, name string")
+    got = {(r.g, r.left_text, r.right_text) for r in R.prefix_matches(df, df, "name", "name", ["g"]).collect()}
+    words = {x: [w for w in (x or "").lower().replace("-", " ").split() if len(w) >= 3] for x in names}
+    want = {(g, x, y) for g in range(2) for x in names for y in names if any(v.startswith(w) or w.startswith(v) for v in words[x] for w in words[y])}
+    assert got == want and (0, "Nepomniachtchi", "nepomniachtchi ian") in got
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, 0.5, "a"), (2, float("nan"), None), (3, -0.0000001, "c")], "k long, x double, s string")
     sinks.write_csv(df, f"{tmp_path}/out", ["k", "x", "s"])
