@@ -9,20 +9,27 @@ past blocks that can't reach it. Terms of few items are looked up first: passage
 that the frequent terms can add stay under the threshold have no result and need no cursors.
 
 Verification: a result counts if the item's question and its answer both have OVERLAP of their five-word shingles in
-the passage. The last sentence of an item is its answer, the rest its question; an item of one sentence is halved.
+the passage. The last sentence of an item is its answer, the rest its question; an item of one sentence is halved. A
+part of under SPAN words is verified together with its neighbours in the item, up to SPAN words (a short answer with the
+words before it, a short question with those after it), or, where that span falls short, alone. SPAN words have enough
+shingles for the loss of the one at the edge, so one altered word there decides nothing. An answer of one word is
+therefore not told from another one.
 
 The index is broadcast if the items' texts have at most MAX_INDEX_BYTES; more items are split into so many shards by
 hash, and each is queried against all passages. Document frequencies are counted over all items by Spark.
 
-Cases: null or empty texts and items match nothing; parts of under five words count as one shingle of their own
-length, an item of one word is all question; repeated items each get their rows; repeated documents too; ties in score
-keep the first passage. Words are lower-cased (A-Z) runs without white space; documents of any length are read whole.
+Cases: null or empty texts and items match nothing; items of under SPAN words are verified whole, those of under five
+words as one shingle of their own length; an item of one word is all question; repeated items each get their rows;
+repeated documents too; ties in score keep the first passage. Words are lower-cased (A-Z) runs without white space, less
+the punctuation around them (a word of nothing else stays); documents of any length are read whole.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import string
+import unicodedata
 from bisect import bisect_left
 from collections import Counter, defaultdict
 
@@ -36,6 +43,8 @@ from rankflow.llm.common import WORD
 K1, B = 1.2, 0.75
 BLOCK, PASSAGE, SHINGLE = 8, 256, 5
 THRESHOLD, OVERLAP = 0.6, 0.8
+#: Words of which one at the edge may differ: of SPAN - SHINGLE + 1 shingles OVERLAP are left without the last one.
+SPAN = SHINGLE - 1 + round(1 / (1 - OVERLAP))
 MAX_INDEX_BYTES = 32 << 20
 #: Terms of more than this share of the items count as frequent.
 FREQUENT = 0.05
@@ -45,8 +54,14 @@ _SENTENCES = re.compile(r"(?<=[.!?])\s+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: ASCII punctuation and symbols, and the punctuation of the other scripts.
+_EDGES = string.punctuation + "".join(c for c in map(chr, range(128, 1 << 16)) if unicodedata.category(c)[0] == "P")
+
+
 def words_of(text: str | None) -> list[str]:
-    return _WORDS.findall(text.translate(_LOWER)) if text else []
+    if not text:
+        return []
+    return [w if w[0].isalnum() and w[-1].isalnum() else w.strip(_EDGES) or w for w in _WORDS.findall(text.translate(_LOWER))]
 
 
 def shingles(words: list[str]) -> set[tuple[str, ...]]:
@@ -56,7 +71,8 @@ def shingles(words: list[str]) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)}
 
 
-def question_answer(text: str) -> tuple[list[str], list[str]]:
+def halves(text: str) -> tuple[list[str], list[str]]:
+    """Words of the question and of the answer."""
     sentences = [x for x in map(words_of, _SENTENCES.split(text)) if x]
     if len(sentences) > 1:
         return [w for x in sentences[:-1] for w in x], sentences[-1]
@@ -64,12 +80,19 @@ def question_answer(text: str) -> tuple[list[str], list[str]]:
     return words[: (len(words) + 1) // 2], words[(len(words) + 1) // 2 :]
 
 
+def question_answer(text: str) -> tuple[list[str], list[str]]:
+    """Words of the question and of the answer, a short one with its neighbours."""
+    question, answer = halves(text)
+    words = question + answer
+    return words[: max(len(question), SPAN)], words[-max(len(answer), SPAN) :] if answer else []
+
+
 class Index:
     """BM25 inverted index of items [(id, text)]; df and n are the whole benchmark's, so shards agree."""
 
     def __init__(self, items: list[tuple[object, str]], df: dict[str, int], n: int, mean_words: float, threshold: float):
         self.ids, self.threshold = [i for i, _ in items], threshold
-        self.parts = [tuple(map(shingles, question_answer(text))) for _, text in items]
+        self.parts = [list(zip(map(shingles, question_answer(text)), map(shingles, halves(text)))) for _, text in items]
         postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
         self.longest = 1
         for number, (_, text) in enumerate(items):
@@ -169,7 +192,10 @@ class Index:
             if found:
                 grams = {k: {tuple(part[i : i + k]) for i in range(len(part) - k + 1)} for k in range(1, SHINGLE + 1)}
                 for item, score in found:
-                    shares = [len(x & grams[len(next(iter(x)))]) / len(x) if x else 1.0 for x in self.parts[item]]
+                    shares = []
+                    for tests in self.parts[item]:
+                        span, own = (len(x & grams[len(next(iter(x)))]) / len(x) if x else 1.0 for x in tests)
+                        shares.append(span if span >= OVERLAP else max(span, own))
                     if min(shares) >= OVERLAP and (item not in best or score > best[item][1]):
                         best[item] = (self.ids[item], score, *shares)
         return [best[i] for i in sorted(best)]

@@ -113,6 +113,21 @@ def test_decontamination(spark):
     assert none.where("size(leaks) > 0").count() == 0
 
 
+def test_decontamination_with_noise_at_the_edges(spark):
+    """One altered word at the edge of a passage decides nothing, nor do the marks around words."""
+    question = "Which of the seven rivers of the northern plain was the first to carry ships to the sea"
+    items = [(1, f"{question}? Az volt heti."), (2, "It was built by nobody at all they say? Quite."), (3, "Short? By the old people of the little mill town under the hill.")]
+    docs = [
+        (1, f"before {question}? Az volt heti.*** after"), (2, f"before {question}? Az volt hetx after"), (3, f"before {question}; nothing of it after"),
+        (4, "so it was built by nobody at all they say? Quirk. after"), (5, "before (It was built by nobody at all they say?) 'Quite' after"), (6, "short? by the old people of the little mill town under the hall"),
+        (7, "shirt? by the old people of the little mill town under the hill"), (8, f"before {question}? Az"),
+        (9, f"before {question.replace('ships', 'boats')}? Az volt heti. after"),
+    ]
+    got = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.doc_id: [x.item_id for x in r.leaks] for r in got.collect()} == {1: [1], 2: [1], 3: [], 4: [2], 5: [2], 6: [3], 7: [3], 8: [], 9: []}
+    assert decontaminate.words_of("«Ha» (b) *** c-d e's") == ["ha", "b", "***", "c-d", "e's"]
+
+
 # -- token counts
 
 
