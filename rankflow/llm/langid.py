@@ -6,15 +6,18 @@ over its words. Probabilities come from expectation-maximisation over the words
 Spark job that sums expected piece counts (forward-backward) by language and piece, and only this table, bounded by
 languages x vocabulary, reaches the driver.
 
-The fit uses at most `max_train_docs` labelled documents, those of the smallest text hashes.
+The fit uses at most `max_train_docs` labelled documents (or one for each language, if there are more languages):
+distinct pairs of text and language with a letter, those of the smallest hashes, as many of each language as of any
+other while it has some.
 
 Cases: a null text or one without a letter is `und` with score 0; so is every text if nothing is labelled. Ties go to
 the first language in alphabetical order. Letters of no piece cost the same in every language. Words are runs of
-letters, in lower case; one longer than SLICE letters is scored by slices, so texts of any length stay linear.
+letters, in lower case, of any length; those of SLICE letters or more are summed one by one, in logarithms.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 from collections import defaultdict
@@ -22,7 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -31,12 +34,14 @@ from rankflow.llm.tokencount import BLANK, read_scores
 
 #: Documents that a fit reads at most, and rounds of expectation-maximisation.
 MAX_TRAIN_DOCS, ROUNDS = 3000, 3
-#: Added to each expected count; probability of a character outside the vocabulary; longest slice of a word.
+#: Added to each expected count; probability of a character outside the vocabulary; longest word summed in a batch.
 SMOOTH, UNKNOWN, SLICE = 0.05, 1e-9, 24
 #: Words whose scores a Python worker remembers.
 MEMO = 200_000
 
 LETTERS = re.compile(r"[^\W\d_]+")
+#: The same letters for Spark.
+LETTER = r"[\p{L}\p{Nl}\p{No}]"
 
 
 @lru_cache(2)
@@ -56,11 +61,6 @@ def words_of(text: str | None) -> list[str]:
     return LETTERS.findall(text.lower()) if text else []
 
 
-def slices(word: str) -> list[str]:
-    word = BLANK + word
-    return [word[i : i + SLICE] for i in range(0, len(word), SLICE)]
-
-
 def _matches(piece_matches, word: str) -> list[list[tuple[int, int]]]:
     """For each end, (start, piece number); a character without a match of its own has number -1."""
     ends: list[list[tuple[int, int]]] = [[] for _ in range(len(word) + 1)]
@@ -72,23 +72,38 @@ def _matches(piece_matches, word: str) -> list[list[tuple[int, int]]]:
     return ends
 
 
+def _long_log_likelihood(text: str, probabilities: np.ndarray, automaton) -> np.ndarray:
+    """The forward algorithm in logarithms, which no length of a word makes vanish."""
+    ends = _matches(automaton.iter, text)
+    longest = max(end - start for end, own in enumerate(ends) for start, _ in own)
+    forward = {0: np.zeros(probabilities.shape[1])}
+    for end in range(1, len(text) + 1):
+        own = [forward[s] + (np.log(probabilities[k]) if k >= 0 else math.log(UNKNOWN)) for s, k in ends[end]]
+        forward[end] = np.logaddexp.reduce(own)
+        forward.pop(end - longest, None)
+    return forward[len(text)]
+
+
 def log_likelihoods(words: list[str], probabilities: np.ndarray, path: str) -> np.ndarray:
     """Of each word (rows) in each language (columns), over all segmentations: the forward algorithm on all words at
     once, one step for each place. probabilities: a row for each piece, and the last one for unknown characters."""
     automaton, _ = _automaton(path)
     sizes, owners, part_of, starts, ends, numbers = [], [], [], [], [], []
-    for owner, word in enumerate(words):
-        for text in slices(word):
-            k = len(sizes)
-            sizes.append(len(text))
-            owners.append(owner)
-            for end, (length, number) in automaton.iter(text):
-                part_of.append(k)
-                starts.append(end + 1 - length)
-                ends.append(end + 1)
-                numbers.append(number)
     out = np.zeros((len(words), probabilities.shape[1]))
-    if not words:
+    for owner, word in enumerate(words):
+        text = BLANK + word
+        if len(text) > SLICE:
+            out[owner] = _long_log_likelihood(text, probabilities, automaton)
+            continue
+        k = len(sizes)
+        sizes.append(len(text))
+        owners.append(owner)
+        for end, (length, number) in automaton.iter(text):
+            part_of.append(k)
+            starts.append(end + 1 - length)
+            ends.append(end + 1)
+            numbers.append(number)
+    if not sizes:
         return out
     sizes, part_of, starts, ends = (np.array(x, np.int64) for x in (sizes, part_of, starts, ends))
     weights = probabilities[numbers] if numbers else np.zeros((0, probabilities.shape[1]))
@@ -105,7 +120,7 @@ def log_likelihoods(words: list[str], probabilities: np.ndarray, path: str) -> n
             first = np.flatnonzero(np.diff(parts, prepend=-1))
             forward[end, parts[first]] = np.add.reduceat(forward[starts[own], parts] * weights[own], first)
         forward[end] += np.where(known[end], 0.0, UNKNOWN)[:, None] * forward[end - 1]
-    np.add.at(out, owners, np.log(forward[sizes, np.arange(len(sizes))]))
+    out[owners] = np.log(forward[sizes, np.arange(len(sizes))])
     return out
 
 
@@ -113,34 +128,64 @@ def _expected(word: str, p, path: str) -> dict[int, float]:
     """Expected uses of each piece in a word under probabilities p (a function of the piece number)."""
     automaton, _ = _automaton(path)
     out: dict[int, float] = defaultdict(float)
-    for part in slices(word):
-        ends, n = _matches(automaton.iter, part), len(part)
-        alpha, beta = [1.0] + [0.0] * n, [0.0] * n + [1.0]
-        for end in range(1, n + 1):
-            alpha[end] = sum(alpha[s] * (UNKNOWN if k < 0 else p(k)) for s, k in ends[end])
-        for end in range(n, 0, -1):
-            for s, k in ends[end]:
-                beta[s] += beta[end] * (UNKNOWN if k < 0 else p(k))
-        for end in range(1, n + 1):
-            for s, k in ends[end]:
-                if k >= 0:
-                    out[k] += alpha[s] * p(k) * beta[end] / alpha[n]
+    text = BLANK + word
+    ends, n = _matches(automaton.iter, text), len(text)
+    if n > SLICE:
+        return _long_expected(ends, p)
+    alpha, beta = [1.0] + [0.0] * n, [0.0] * n + [1.0]
+    for end in range(1, n + 1):
+        alpha[end] = sum(alpha[s] * (UNKNOWN if k < 0 else p(k)) for s, k in ends[end])
+    for end in range(n, 0, -1):
+        for s, k in ends[end]:
+            beta[s] += beta[end] * (UNKNOWN if k < 0 else p(k))
+    for end in range(1, n + 1):
+        for s, k in ends[end]:
+            if k >= 0:
+                out[k] += alpha[s] * p(k) * beta[end] / alpha[n]
+    return out
+
+
+def _log_sum(values: list[float]) -> float:
+    most = max(values)
+    return most + math.log(sum(math.exp(x - most) for x in values))
+
+
+def _long_expected(ends: list[list[tuple[int, int]]], p) -> dict[int, float]:
+    """The same in logarithms."""
+    n, out = len(ends) - 1, defaultdict(float)
+    cost = lambda k: math.log(UNKNOWN if k < 0 else p(k))
+    alpha, onward = [0.0] * (n + 1), [[] for _ in range(n + 1)]
+    for end in range(1, n + 1):
+        alpha[end] = _log_sum([alpha[s] + cost(k) for s, k in ends[end]])
+        for s, k in ends[end]:
+            onward[s].append((end, k))
+    beta = [0.0] * (n + 1)
+    for start in range(n - 1, -1, -1):
+        beta[start] = _log_sum([beta[end] + cost(k) for end, k in onward[start]])
+        for end, k in onward[start]:
+            if k >= 0:
+                out[k] += math.exp(alpha[start] + cost(k) + beta[end] - alpha[n])
     return out
 
 
 def fit(labelled: DataFrame, path: str, text: str = "text", lang: str = "lang", max_train_docs: int = MAX_TRAIN_DOCS):
     """Model {languages, probabilities by piece, floor} from rows with text and lang (nulls are left out)."""
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
-    picked = rows.select(F.xxhash64("text", "lang").alias("h")).orderBy("h").limit(max_train_docs)
-    edge = picked.agg(F.max("h")).first()[0]
-    if edge is None:
+    rows = rows.where(F.col("text").rlike(LETTER)).withColumn("h", F.xxhash64("text", "lang"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # cut in every task before the exchange
+    placed = rows.select("lang", "h").distinct().withColumn("place", place).where(F.col("place") <= max_train_docs)
+    placed = written(placed)
+    picked = placed.orderBy("place", "h").limit(max_train_docs).union(placed.where("place = 1"))
+    edges = picked.groupBy("lang").agg(F.max("h").alias("edge"))
+    if not edges.head(1):
         return {"languages": [], "probabilities": {}, "floor": []}
 
     @arrow_udf("array<string>")
     def split(column: pa.Array) -> pa.Array:
         return pa.array([words_of(x.as_py()) for x in column], pa.list_(pa.string()))
 
-    sample = rows.where(F.xxhash64("text", "lang") <= edge).dropDuplicates(["text", "lang"])
+    # A row for each language at most, as in the model.
+    sample = rows.join(F.broadcast(edges), "lang").where("h <= edge").dropDuplicates(["text", "lang"])
     words = sample.select("lang", F.explode(split("text")).alias("word")).groupBy("lang", "word").count()
     words = written(words)
     tables: dict[str, dict[int, float]] = {}

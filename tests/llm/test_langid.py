@@ -61,3 +61,43 @@ def test_held_out_texts(spark):
 def test_no_labels(spark):
     model = langid.fit(corpus(spark).where("lang = 'none'"), PATH)
     assert {r.lang_pred for r in langid.predict(corpus(spark), model, PATH).collect()} == {"und"}
+
+
+def test_copies_and_blank_texts_leave_room_for_every_language(spark):
+    """Copies count once and blank texts not at all, and no language takes the room of another."""
+    rows = [(t, lang) for lang, text in TEXTS.items() for t in (f"{text} {chr(97 + i)}" for i in range(3))]
+    rows += [(" ".join(["the house and", chr(97 + i // 26), chr(97 + i % 26)]), "en") for i in range(300)]
+    rows += [(t, lang) for lang in TEXTS for t in ("", " 12 .", "copied text of this place") for _ in range(200)]
+    for limit in (3, 6, 9):
+        model = langid.fit(spark.createDataFrame(rows, "text string, lang string"), PATH, max_train_docs=limit)
+        assert model["languages"] == ["de", "en", "fr"]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"), PATH, max_train_docs=1)
+    assert model["languages"] == ["de", "en", "fr"]  # one text of each, at least
+    held = spark.createDataFrame([("der garten dieser stadt",), ("le jardin de cette ville",)], "text string")
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"), PATH, max_train_docs=12)
+    assert [r.lang_pred for r in langid.predict(held, model, PATH).collect()] == ["de", "fr"]
+
+
+def test_long_words_are_summed_whole():
+    automaton, size = langid._automaton(PATH)
+    vocabulary = {piece: number for piece, (_, number) in automaton.items()}
+    table = np.random.default_rng(2).random((size + 1, 2)) * 1e-3
+    table[size] = langid.UNKNOWN
+    for word in ("donaudampfschifffahrtsgesellschaft", "a" * 23, "a" * 24, "Ω" * 30 + "house"):
+        forward = np.zeros((len(word) + 2, 2))
+        forward[0], text = 1.0, "▁" + word
+        for end in range(1, len(text) + 1):
+            for start in range(end):
+                if text[start:end] in vocabulary:
+                    forward[end] += forward[start] * table[vocabulary[text[start:end]]]
+            if text[end - 1] not in vocabulary:
+                forward[end] += forward[end - 1] * langid.UNKNOWN
+        got = langid.log_likelihoods(["the", word, "of"], table, PATH)
+        assert got[1] == pytest.approx(np.log(forward[len(text)]))
+        assert got[[0, 2]] == pytest.approx(langid.log_likelihoods(["the", "of"], table, PATH))
+    p = lambda k: float(table[k, 0])
+    short, ends = "gesellschaft", langid._matches(automaton.iter, "▁gesellschaft")
+    assert dict(langid._long_expected(ends, p)) == pytest.approx(dict(langid._expected(short, p, PATH)))
+    used = langid._expected("ab" * 3000, p, PATH)
+    length = {number: len(piece) for piece, number in vocabulary.items()}
+    assert sum(n * length[k] for k, n in used.items()) == pytest.approx(6001)
