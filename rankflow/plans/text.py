@@ -39,6 +39,12 @@ def st03_folded(spark, d):
     return table(spark, d, "documents").select("doc_id", S.folded(F.substring("text", 1, 200)).alias("folded"))
 
 
+@query(f"SELECT doc_id, {FOLD_SQL.format(x='text')} AS folded FROM documents")
+def st03_folded_whole(spark, d):
+    """ST03 on whole texts."""
+    return table(spark, d, "documents").select("doc_id", S.folded("text").alias("folded"))
+
+
 @query(None)
 def st04_transliterated(spark, d):
     """Readings of names in Cyrillic letters, made from customers' nations."""
