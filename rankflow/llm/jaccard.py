@@ -7,10 +7,14 @@ n-word shingles; shorter documents have one shingle, the whole sequence. Two doc
 
 1. Equal sets are one node, known by a 64-bit hash of size and shingles (two of N different sets share it with a
    probability of N * N / 2**65). Copies cost one row each and are never paired.
-2. Keys: sets of a and b shingles that link differ in at most (a + b) (100 - percent) / (100 + percent) of them. Cut the
-   hash range into more parts than that, and one part is the same in both sets: its hash is a key. A set with so many
-   empty parts that this could fail also takes the parts of other hash functions, and last its empty parts as keys, so
-   no pair is lost. Nodes that share keys, directly or by others, form regions: the tops of the signature trees.
+2. Keys: sets of a and b shingles that link differ in at most d = (a + b) (100 - percent) / (100 + percent) of them. Cut
+   the hash range into more parts than that, and order a set's parts with shingles by how many they have: of the first
+   d + 1 of each set one is the same in both, and its hash is a key. (With at most d differing parts, each set's first
+   d + 1 hold a common one; the earlier of the two is in both.) Parts with many shingles are seldom equal by chance. A
+   set with too few parts also takes the parts of other hash functions, and last its empty parts as keys, so no pair is
+   lost. A task sends each key once for each BATCH_BYTES of text, so a key that a third of all documents have is a few
+   rows a task. Nodes that share keys, directly or by others, form regions: the tops of the signature trees. (One tree
+   over all documents has tops whose OR-ed bitmaps are full and prune nothing.)
 3. Trees: a region (many small ones together, large ones cut by hash into chunks of TASK_WEIGHT) is searched in one
    task by dual traversal (see sigtree), with exact intersections at the end. Of each chunk of a large region, one
    document of the largest component goes on to a next pass, until one chunk is left.
@@ -25,9 +29,12 @@ length are read whole; other columns pass through.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -41,6 +48,10 @@ WORDS, PERCENT = 3, 90
 TASK_WEIGHT, DOC_WEIGHT = 500_000, 1000
 #: Hash functions tried for sets with empty parts.
 SALTS = 4
+#: Parts of a set for each shingle that may differ: the more, the more of the parts with few shingles are passed over.
+SPARE = 1.5
+#: Bytes of text whose keys are put together.
+BATCH_BYTES = 16 << 20
 
 _MASK = (1 << 64) - 1
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
@@ -73,72 +84,124 @@ class Parts:
         """Most shingles that only one of two linked sets of these sizes has."""
         return (a + b) * (100 - self.percent) // (100 + self.percent)
 
+    @lru_cache(None)
+    def edge(self, k: int) -> int:
+        """Least size of class k. Classes begin at 1, each at twice the one before, or beyond its largest partner."""
+        return 1 if k == 0 else max(2 * self.edge(k - 1), self.largest_partner(self.edge(k - 1)) + 1)
+
     def size_class(self, n: int) -> int:
-        """Classes begin at 1, 2, 3 and so on, each at 1.5 times the one before, or at percent / 100 of the next."""
-        k, edge = 0, 1
-        while (after := max(edge + 1, edge * 3 // 2, self.largest_partner(edge) + 1)) <= n:
-            k, edge = k + 1, after
+        k = 0
+        while self.edge(k + 1) <= n:
+            k += 1
         return k
 
-    def count(self, k: int) -> tuple[int, int]:
-        """Most differing shingles of pairs whose larger set is of class k; number of its parts."""
-        edge = 1
-        for _ in range(k + 1):
-            edge = max(edge + 1, edge * 3 // 2, self.largest_partner(edge) + 1)
-        top = edge - 1
-        most = self.differing(top, top)
-        parts = most + 1
-        for _ in range(4):  # room for the empty parts that sets of this class have
-            empty = parts * float(np.exp(-top / parts))
-            parts = most + 1 + int(empty + 2 * empty**0.5)
-        return most, parts
-
     def keys(self, tokens: np.ndarray) -> np.ndarray:
-        """Keys of a set: every other set that links with it, but for equal ones, has one of them."""
+        """Keys of a set: every other set that links with it, but for equal ones, has one of them. A pair's class is
+        that of its larger set, so a set has keys of its own class and of its largest partner's."""
         n, out = len(tokens), []
         partner = self.largest_partner(n)
         if n == 0 or self.differing(n, partner) == 0:
             return np.zeros(0, np.uint64)
         for k in sorted({self.size_class(n), self.size_class(partner)}):
-            most, parts = self.count(k)
-            most = min(most, self.differing(n, partner))
+            top = self.edge(k + 1) - 1
+            parts = int(SPARE * (self.differing(top, top) + 1)) + 1
+            most = self.differing(n, min(partner, top))
             for salt in range(SALTS):
                 values = tokens if salt == 0 else np.sort(fp.mix(tokens ^ _K[salt]))
                 part = ((values >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
                 first = np.flatnonzero(np.diff(part, prepend=np.uint64(parts)))
                 sums = np.add.reduceat(fp.mix(values), first)
                 tag = np.uint64((k * 16 + salt + 1) * int(_K[2]) & _MASK)
-                out.append(fp.mix(sums + part[first] * _K[1] + tag))
+                own = fp.mix(sums + part[first] * _K[1] + tag)
                 if len(first) > most:  # more parts with shingles than parts that can differ
+                    out.append(own[np.lexsort((part[first], -np.diff(first, append=n)))[: most + 1]])
                     break
+                out.append(own)
             else:
                 empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[first])
                 out.append(fp.mix(empty * _K[1] + np.uint64((k * 16 + 15) * int(_K[3]) & _MASK)))
         return np.concatenate(out)
 
 
+def _byte_batches(batches, column: int, size: int):
+    """Arrow batches put together, or cut, to about `size` bytes of a text column."""
+    held, held_bytes = [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, before + size - held_bytes)))
+            held.append(batch.slice(start, end - start))
+            held_bytes += int(ends[held[-1].num_rows + start - 1]) - before
+            start += held[-1].num_rows
+            if held_bytes >= size:
+                yield pa.Table.from_batches(held)
+                held, held_bytes = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _shared_within(nodes: np.ndarray, keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of some documents, with the least node of each; and distinct pairs (other node, that node)."""
+    nodes, at = np.unique(nodes, return_index=True)
+    owner = np.repeat(np.arange(len(at), dtype=np.uint32), [len(keys[i]) for i in at])
+    values = np.concatenate([keys[i] for i in at]) if len(at) else np.zeros(0, np.uint64)
+    order = np.argsort(values, kind="stable")  # owners stay in order within a key
+    values, owner = values[order], owner[order]
+    new = np.diff(values, prepend=values[:1] ^ np.uint64(1)) != 0
+    first = np.flatnonzero(new)
+    least = np.repeat(owner[first], np.diff(first, append=len(values)))
+    pair = np.unique((owner[~new].astype(np.uint64) << np.uint64(32)) | least[~new])
+    pair = pair[(pair >> np.uint64(32)) != (pair & np.uint64(0xFFFFFFFF))]
+    return values[first], nodes[owner[first]], nodes[(pair >> np.uint64(32)).astype(np.int64)], nodes[(pair & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+
+
 def _profile(words: int, percent: int):
-    """Column function: struct<n, node, keys, bitmap> of a text."""
+    """Function of batches (doc, key, text): kind 0, a row (doc, key, node, n) for each document; kind 1, (node, other)
+    with a key of the node; kind 2, (node, other) of nodes that share a key."""
+    parts = Parts(percent)
+
+    def profile(batches):
+        for table in _byte_batches(batches, 2, BATCH_BYTES):
+            sizes, nodes, keys = [], [], []
+            texts = table.column(2)
+            for start in range(0, len(texts), 256):
+                for tokens in shingle_sets(texts.slice(start, 256).to_pylist(), words):
+                    sizes.append(len(tokens))
+                    nodes.append(set_hash(tokens).view(np.int64))
+                    keys.append(parts.keys(tokens))
+            nodes = np.array(nodes, np.int64)
+            docs = [table.column(0).combine_chunks(), table.column(1).combine_chunks(), pa.array(nodes), pa.array(sizes, pa.int64())]
+            yield from _kind(0, *docs, pa.nulls(len(nodes), pa.int64()))
+            shared, least, a, b = _shared_within(nodes, keys)
+            for kind, node, other in ((1, least, shared.view(np.int64)), (2, a, b)):
+                yield from _kind(kind, pa.nulls(len(node), table.column(0).type), pa.nulls(len(node), pa.int64()), pa.array(node), pa.nulls(len(node), pa.int64()), pa.array(other))
+
+    return profile
+
+
+def _kind(kind: int, *columns: pa.Array):
+    if rows := len(columns[0]):
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, kind, np.int32)), *columns], names=["kind", "doc", "key", "node", "n", "other"])
+
+
+def _sketch(words: int, percent: int):
+    """Column function: struct<keys, bitmap> of a text."""
     parts = Parts(percent)
 
-    @arrow_udf("struct<n:long,node:long,keys:array<long>,bitmap:binary>")
-    def profile(column: pa.Array) -> pa.Array:
-        sizes, nodes, keys, bitmaps = [], [], [], []
+    @arrow_udf("struct<keys:array<long>,bitmap:binary>")
+    def sketch(column: pa.Array) -> pa.Array:
+        keys, bitmaps = [], []
         for start in range(0, len(column), 256):
             for tokens in shingle_sets(column.slice(start, 256).to_pylist(), words):
-                own = parts.keys(tokens)
-                sizes.append(len(tokens))
-                nodes.append(set_hash(tokens).view(np.int64))
-                keys.append(own.view(np.int64))
-                bitmaps.append(sigtree.bitmap(tokens, sigtree.bits_for(len(tokens))).tobytes() if len(own) else b"")
+                keys.append(parts.keys(tokens).view(np.int64))
+                bitmaps.append(sigtree.bitmap(tokens, sigtree.bits_for(len(tokens))).tobytes())
         offsets = np.concatenate(([0], np.cumsum([len(x) for x in keys]))).astype(np.int32)
         values = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-        return pa.StructArray.from_arrays(
-            [pa.array(sizes, pa.int64()), pa.array(np.array(nodes, np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(bitmaps, pa.binary())],
-            names=["n", "node", "keys", "bitmap"],
-        )
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(bitmaps, pa.binary())], names=["keys", "bitmap"])
 
-    return profile
+    return sketch
 
 
 def _same_bits(bitmaps: list[np.ndarray]) -> np.ndarray:
@@ -231,11 +294,12 @@ def _links_of_regions(nodes: DataFrame, texts: DataFrame, weight: int, words: in
     return links, large
 
 
-def _links_of_keys(large: DataFrame, members: DataFrame, texts: DataFrame, links: DataFrame, words: int, percent: int) -> DataFrame | None:
+def _links_of_keys(texts: DataFrame, links: DataFrame, words: int, percent: int) -> DataFrame | None:
     """Links between nodes of large regions that share a key and are not connected by links; None if there are none."""
     labels = components(links)
-    sketches = members.select("node", "keys", "bitmap").join(large.select("node", "n"), "node").dropDuplicates(["node"])  # equal sets
-    sketches = written(sketches.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    sketches = texts.where("chunks > 1").select("node", "n", _sketch(words, percent)("text").alias("set")).select("node", "n", "set.*")
+    sketches = sketches.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sketches = written(sketches.dropDuplicates(["node"]))  # rows that repeat
     rows = sketches.select("node", "label", (F.col("n") + DOC_WEIGHT).alias("weight"), F.explode("keys").alias("shared"))
     groups = rows.groupBy("shared").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum("weight").alias("weight"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.count("*").alias("count"))
     groups = groups.where("lo < hi").groupBy("sum", "count").agg(F.min(F.struct("shared", "weight")).alias("one")).select("one.*")  # the same nodes once
@@ -281,13 +345,15 @@ def link_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id", wo
     added = ["n_shingles", "component_id", "component"]
     clean = df.drop(*(c for a in [*added, "__doc", "__key", "__set"] for c in same_name(df, a)))
     texts = clean.select(F.col(doc_id).alias("__doc"), F.xxhash64(text).alias("__key"), F.col(text).alias("text"))
-    profile = _profile(words, percent)
-    members = written(texts.select(F.col("__doc").alias("doc"), F.col("__key").alias("key"), profile("text").alias("set")).select("doc", "key", "set.*"))
-    rows = members.where("size(keys) > 0").select("node", F.explode("keys").alias("shared"))
-    first = rows.groupBy("shared").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    touching = rows.join(first.select("shared", "lo"), "shared").where("node <> lo").select(F.col("node").alias("a"), F.col("lo").alias("b"))
-    regions = written(components(touching))
-    one = members.join(regions, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc", "key", "n")).alias("one"))
+    rows = texts.select(F.col("__doc").alias("doc"), F.col("__key").alias("key"), "text")
+    doc = rows.schema["doc"].dataType
+    profiles = written(rows.mapInArrow(_profile(words, percent), f"kind int, doc {doc.simpleString()}, key long, node long, n long, other long"))
+    members = profiles.where("kind = 0").select("doc", "key", "node", "n")
+    same_key = Window.partitionBy("other").orderBy("node")  # a row for each BATCH_BYTES of text at most
+    chains = profiles.where("kind = 1").select(F.col("node").alias("a"), F.lag("node").over(same_key).alias("b"))
+    touching = chains.where("a <> b").unionByName(profiles.where("kind = 2").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    regions = components(touching.distinct())
+    one = members.where("n > 0").groupBy("node").agg(F.min(F.struct("doc", "key", "n")).alias("one"))
     nodes = written(regions.join(one, "node").select("node", F.col("label").alias("region"), "one.n", "one.doc", "one.key"))
     size = nodes.groupBy("region").agg(_chunks(F.sum(F.col("n") + DOC_WEIGHT)).alias("chunks"))
     nodes = written(nodes.join(size, "region"))
@@ -296,11 +362,11 @@ def link_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id", wo
     # One plan at every size: the texts are dealt by document once (a row that repeats comes twice, which harms nothing).
     own_texts = written(texts.join(nodes.hint("merge"), own).select("node", "region", "n", "chunks", "text"))
     links, large = _links_of_regions(nodes.select("node", "region", "n", "chunks"), own_texts, weight, words, percent)
-    if not large.isEmpty() and (more := _links_of_keys(large, members, own_texts, links, words, percent)) is not None:
+    if not large.isEmpty() and (more := _links_of_keys(own_texts, links, words, percent)) is not None:
         links = written(links.unionByName(more))
     labels = components(links)
     sets = members.select("doc", "key", "node", "n").distinct().join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = sets.where("n > 0").groupBy("label").agg(F.min("doc").alias("least"))
+    least = written(sets.where("n > 0").groupBy("label").agg(F.min("doc").alias("least")))
     found = sets.join(least, "label", "left").select(
         F.col("doc").alias("__doc"), F.col("key").alias("__key"), F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc")).alias("component_id"), F.when(F.col("n") > 0, F.col("label")).alias("component")
