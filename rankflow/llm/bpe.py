@@ -4,7 +4,7 @@ Encoded texts form a monoid: the join of two encoded neighbours is the encoding
 re-encodes a window around the boundary and grows it until the tokens outside provably stay: a token list is the BPE
 encoding of its bytes exactly if each two adjacent tokens, re-encoded together, give themselves. So a join is final once
 the window's outer tokens are compatible with their neighbours outside. Matches of the split pattern never merge with
-each other, so above them the join is plain concatenation.
+each other, so above them, where a text's segments are joined by halves, the join is plain concatenation.
 
 Cases: null text encodes as empty; an empty text has no ids and decodes to no bytes; equal texts get equal ids; a text
 of any length is encoded whole, in time close to linear in its length. Unknown bytes raise KeyError.
@@ -27,7 +27,9 @@ from rankflow.llm.common import Memo
 #: Pieces of at most so many bytes are merged directly and remembered; longer ones are cut in halves.
 LEAF = 6
 #: Distinct pieces remembered by a Python worker at once.
-MEMO = 400_000
+MEMO = 300_000
+#: Encoded segments, and ids, of a leaf of the upper tree.
+LEAF_SEGMENTS, LEAF_IDS = 16, 4096
 #: The characters of Unicode's White_Space property, which `\\s` of the split patterns means.
 WHITE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _SEGMENTS = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
@@ -115,9 +117,16 @@ class _Segments:
 
         matches = regex.compile(pattern).findall
         pack = [i.to_bytes(4, "little") for i in range(1 + max(merges.bytes_of, default=0))].__getitem__
-        pieces = Memo(lambda match: b"".join(map(pack, merges.piece(match.encode()))), MEMO // 2)
-        self.packed = Memo(lambda segment: b"".join([pieces[m] for m in matches(segment)]), MEMO // 2)
-        self.after_blank = Memo(lambda rest: b"".join([pieces[m] for m in matches(" " + rest)]), MEMO // 2)
+        pieces = Memo(lambda match: b"".join(map(pack, merges.piece(match.encode()))), MEMO // 4)
+
+        def packed(segment: str) -> bytes:
+            found = matches(segment)
+            if len(found) == 1:  # remembered as a segment
+                return b"".join(map(pack, merges.piece(found[0].encode())))
+            return b"".join([pieces[m] for m in found])
+
+        self.packed = Memo(packed, MEMO // 4)
+        self.after_blank = Memo(lambda rest: packed(" " + rest), MEMO // 2)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -136,9 +145,9 @@ def encode_text(text: str, path: str, pattern: str, blank_starts: bool = True) -
     if not blank_starts:
         return encoder.packed[text]
     if _INNER_BLANK.search(text):
-        return _concatenated(list(map(encoder.packed.__getitem__, _SEGMENTS.findall(text))))
+        return _joined(list(map(encoder.packed.__getitem__, _SEGMENTS.findall(text))))
     first, *rest = text.split(" ")  # every blank begins a run of white space, so every one begins a segment
-    return _concatenated([encoder.packed[first], *map(encoder.after_blank.__getitem__, rest)])
+    return _joined([encoder.packed[first], *map(encoder.after_blank.__getitem__, rest)])
 
 
 @lru_cache(2)
@@ -154,7 +163,10 @@ def _pieces(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def decode_ids(ids: np.ndarray, path: str) -> bytes:
-    """The tokens' bytes concatenated, all at once: in the tree of decoded parts a join is plain concatenation."""
+    """The bytes of ids: those of their halves, concatenated up the tree; a leaf's tokens are gathered at once."""
+    if len(ids) > LEAF_IDS:
+        half = len(ids) // 2
+        return decode_ids(ids[:half], path) + decode_ids(ids[half:], path)
     data, starts, sizes = _pieces(path)
     own = sizes[ids]
     if not own.all():
@@ -163,11 +175,13 @@ def decode_ids(ids: np.ndarray, path: str) -> bytes:
     return data[np.repeat(starts[ids] - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
 
 
-def _concatenated(parts: list[bytes]) -> bytes:
-    """The upper levels of the tree: neighbours joined by pairs, nothing to re-encode at a match's edge."""
-    while len(parts) > 1024:
-        parts = [b"".join(parts[i : i + 1024]) for i in range(0, len(parts), 1024)]
-    return b"".join(parts)
+def _joined(parts: list[bytes]) -> bytes:
+    """The upper levels of the tree: a text's encoding is that of the halves of its segments, joined; at the edge of a
+    match nothing is encoded again, so a join is concatenation."""
+    if len(parts) <= LEAF_SEGMENTS:
+        return b"".join(parts)
+    half = len(parts) // 2
+    return _joined(parts[:half]) + _joined(parts[half:])
 
 
 def encode(text: Column, path: str, pattern: str, blank_starts: bool = True) -> Column:

@@ -43,20 +43,26 @@ def pruned_batches(batches, column: str, rows: int = 512):
             yield part, part.column(column)
 
 
+#: Longest key that a Memo remembers.
+LONGEST_KEY = 64
+
+
 class Memo(dict):
-    """compute(key) remembered for about 2 * size keys: a full generation becomes the old one, and what is used again
-    moves to the new one."""
+    """compute(key) remembered for about 2 * size keys of at most LONGEST_KEY characters: a full generation becomes the
+    old one, and what is used again moves to the new one."""
 
     def __init__(self, compute, size: int = 200_000):
         super().__init__()
         self.compute, self.size, self.old = compute, size, {}
 
     def __missing__(self, key):
-        if len(self) >= self.size:
-            self.old = dict(self)
-            self.clear()
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
+            if len(key) > LONGEST_KEY:
+                return value
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
         self[key] = value
         return value
