@@ -9,7 +9,7 @@ smallest hashes; the `features` hashed terms that separate the labels most (by a
 counts, counted by Spark over all of these documents) enter the machine. Both bounds also bound what reaches the driver.
 
 Cases: null and empty texts have no terms and get the machine's constant as score; a document labelled twice counts as
-toxic if one label says so; null labels are left out; with no labels, or only one class of them, every score is the share
+toxic if one label says so, and any label above 0 does; null labels are left out; with no labels, or only one class of them, every score is the share
 of toxic labels (0 without any). Equal texts get equal scores; texts of any length are scored whole.
 """
 
@@ -32,6 +32,9 @@ BITS, PREFIX = 20, 6
 #: Documents, hashed terms and factors of a fit; steps of its optimiser.
 MAX_TRAIN_DOCS, FEATURES, FACTORS, STEPS = 20_000, 1500, 4, 60
 
+#: Distinct words that a Python worker remembers, twice this many at most.
+MEMO = 60_000
+
 _WORDS = re.compile(r"\w+")
 
 
@@ -55,7 +58,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", doc_id: s
     def term_list(column: pa.Array) -> pa.Array:
         return pa.array([sorted(text_terms(x.as_py())) for x in column], pa.list_(pa.int32()))
 
-    sample = written(labelled.select(F.col(label).cast("int").alias("y"), term_list(F.col(text)).alias("terms")).where("y is not null"))
+    sample = written(labelled.select((F.col(label) > 0).cast("int").alias("y"), term_list(F.col(text)).alias("terms")).where("y is not null"))
     positive, total = sample.agg(F.sum("y"), F.count("*")).first()
     positive = positive or 0
     share = positive / total if total else 0.0
@@ -82,7 +85,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", doc_id: s
 def sampled(df: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS, doc_id: str = "doc_id", label: str = "toxic") -> DataFrame:
     """The labelled documents a fit reads: those of the smallest hashes of doc_id, at most max_train_docs."""
     own = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("toxic")).where("doc_id is not null and toxic is not null")
-    own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_docs)
+    own = own.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_docs)
     docs = df.select(F.col(doc_id).alias("doc_id"), "text")
     return docs.join(F.broadcast(own), "doc_id")  # max_train_docs rows of two numbers
 
@@ -109,7 +112,7 @@ def score(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
         own = shared.value
         if key not in _memos:
             _memos.clear()
-            _memos[key] = Memo(lambda w: tuple(own["terms"][t] for t in terms(w) if t in own["terms"]), 300_000)
+            _memos[key] = Memo(lambda w: tuple(own["terms"][t] for t in terms(w) if t in own["terms"]), MEMO)
         return pa.array([score_text(x.as_py(), own, _memos[key]) for x in column], pa.float64())
 
     return df.withColumn("score", scores(F.col(text)))

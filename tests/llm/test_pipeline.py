@@ -2,7 +2,7 @@ import hashlib
 
 import corpus_pipeline
 from rankflow.llm import bpe
-from rankflow.llm.common import table
+from rankflow.llm.common import table, written
 
 BASE = " ".join(f"word{i}" for i in range(60))
 ITEM = "What is the name of the river that runs by the old mill town? It is the long grey river of the north."
@@ -53,3 +53,31 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, path).count() == 0
+
+
+def test_clashing_columns_pass_through(spark, tmp_path):
+    path = str(tmp_path)
+    corpus(spark, path)
+    names = ["Score", "N_Lines", "n_removed", "kept_text", "Component", "component_id", "n_shingles", "Leaks", "bpe_ids", "doc", "key", "node", "label", "h"]
+    docs = table(spark, path, "documents").drop("n_chars").where("doc_id < 20")
+    for i, name in enumerate(names):
+        docs = docs.selectExpr("*", f"concat('{i}:', doc_id) AS `{name}`")
+    columns = docs.columns
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        docs = written(stage(spark, docs, path))
+        assert docs.columns == columns
+        for row in docs.collect():
+            assert all(row[name] == f"{i}:{row.doc_id}" for i, name in enumerate(names))
+    last = corpus_pipeline.tokenise(spark, docs.selectExpr("*", "'x' AS N_Tokens", "1 AS token_IDS"), path)
+    assert last.columns == [*columns, "n_tokens", "token_ids", "decoded_sha256"] and all(isinstance(r.n_tokens, int) and r.Score == f"0:{r.doc_id}" for r in last.collect())
+
+
+def test_labels_of_one_class_and_texts_without_words(spark, tmp_path):
+    path = str(tmp_path)
+    corpus(spark, path)
+    docs = table(spark, path, "documents")
+    spark.createDataFrame([(i, 1) for i in range(100, 140)], "doc_id long, toxic int").write.parquet(f"{path}/one/labels.parquet")
+    assert corpus_pipeline.drop_toxic(spark, docs, f"{path}/one").count() == docs.count()
+    spark.createDataFrame([(100 + i, int(i != 0)) for i in range(40)], "doc_id long, toxic int").write.parquet(f"{path}/most/labels.parquet")
+    blank = spark.createDataFrame([(1, None), (2, ""), (3, " !? ")], "doc_id long, text string")
+    assert corpus_pipeline.drop_toxic(spark, docs.select("doc_id", "text").unionByName(blank), f"{path}/most").where("doc_id < 4 and (text is null or length(text) < 5)").count() == 3
