@@ -16,7 +16,8 @@ shingles for the loss of the one at the edge, so one altered word there decides
 therefore not told from another one.
 
 The index is broadcast if the items' texts have at most MAX_INDEX_BYTES; more items are split into so many shards by
-hash, and each is queried against all passages. Document frequencies are counted over all items by Spark.
+hash, and each is queried against all passages, one after the other, with its results written. Document frequencies,
+mean and longest lengths are those of all items, counted by Spark, so the number of shards changes no result.
 
 Cases: null or empty texts and items match nothing; items of under SPAN words are verified whole, those of under five
 words as one shingle of their own length; an item of one word is all question; repeated items each get their rows;
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from rankflow.llm.common import WORD
+from rankflow.llm.common import Memo, same_name, written
 
 K1, B = 1.2, 0.75
 BLOCK, PASSAGE, SHINGLE = 8, 256, 5
@@ -49,19 +50,30 @@ MAX_INDEX_BYTES = 32 << 20
 #: Terms of more than this share of the items count as frequent.
 FREQUENT = 0.05
 
-_WORDS = re.compile(WORD)
 _SENTENCES = re.compile(r"(?<=[.!?])\s+")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 #: ASCII punctuation and symbols, and the punctuation of the other scripts.
 _EDGES = string.punctuation + "".join(c for c in map(chr, range(128, 1 << 16)) if unicodedata.category(c)[0] == "P")
 
 
+def _without_marks(word: bytes) -> bytes:
+    w = word.decode()
+    return word if w[0].isalnum() and w[-1].isalnum() else w.strip(_EDGES).encode() or word
+
+
+_bare = Memo(_without_marks, 50_000)
+
+
+def _raw_words(text: str) -> list[bytes]:
+    """bytes.lower and bytes.split know ASCII letters and the six ASCII blanks only, which is what is wanted."""
+    return text.encode().lower().split()
+
+
+def _byte_words(raw) -> list[bytes]:
+    return [w if w.isalnum() else _bare[w] for w in raw]
+
+
 def words_of(text: str | None) -> list[str]:
-    if not text:
-        return []
-    return [w if w[0].isalnum() and w[-1].isalnum() else w.strip(_EDGES) or w for w in _WORDS.findall(text.translate(_LOWER))]
+    return [w.decode() for w in _byte_words(_raw_words(text))] if text else []
 
 
 def shingles(words: list[str]) -> set[tuple[str, ...]]:
@@ -88,16 +100,16 @@ def question_answer(text: str) -> tuple[list[str], list[str]]:
 
 
 class Index:
-    """BM25 inverted index of items [(id, text)]; df and n are the whole benchmark's, so shards agree."""
+    """BM25 inverted index of items [(id, text)]; df, n, mean_words and longest (words of an item) are the whole
+    benchmark's, so shards agree."""
 
-    def __init__(self, items: list[tuple[object, str]], df: dict[str, int], n: int, mean_words: float, threshold: float):
+    def __init__(self, items: list[tuple[object, str]], df: dict[str, int], n: int, mean_words: float, longest: int, threshold: float):
         self.ids, self.threshold = [i for i, _ in items], threshold
+        self.passage = max(PASSAGE, 2 * longest)
         self.parts = [list(zip(map(shingles, question_answer(text)), map(shingles, halves(text)))) for _, text in items]
         postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
-        self.longest = 1
         for number, (_, text) in enumerate(items):
             words = words_of(text)
-            self.longest = max(self.longest, len(words))
             norm = K1 * (1 - B + B * len(words) / mean_words) if mean_words else K1
             impact = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + norm) for w, tf in Counter(words).items()}
             own = sum(impact.values())
@@ -108,7 +120,7 @@ class Index:
         self.most = {w: max(x) for w, x in self.impacts.items()}
         self.block_most: dict[str, dict[int, float]] = {}
         frequent_sum = [0.0] * len(items)
-        self.rare: dict[str, list[tuple[int, float]]] = {}
+        self.rare: dict[bytes, list[tuple[int, float]]] = {}
         for w, own in postings.items():
             blocks: dict[int, float] = {}
             for i, x in own:
@@ -118,12 +130,11 @@ class Index:
                 for i, x in own:
                     frequent_sum[i] += x
             else:
-                self.rare[w] = own
+                self.rare[w.encode()] = own
         #: By block, the most that frequent terms can add to one of its items.
         self.frequent_most = [max(frequent_sum[i : i + BLOCK]) for i in range(0, len(items), BLOCK)]
-        self.passage = max(PASSAGE, 2 * self.longest)
 
-    def may_hold(self, words: set[str]) -> bool:
+    def may_hold(self, words: set[bytes]) -> bool:
         """Whether rare terms, with all that frequent ones could add, let an item reach the threshold."""
         bound, sums = self.threshold - 1e-9, defaultdict(float)
         for w in self.rare.keys() & words:
@@ -179,16 +190,16 @@ class Index:
     def matches(self, text: str | None) -> list[tuple[object, float, float, float]]:
         """(item id, score, question overlap, answer overlap) of each item verified in a passage of the text; an item's
         best passage counts."""
-        words = words_of(text)
-        if not words or not self.ids or not self.may_hold(set(words)):
+        raw = _raw_words(text) if text else []
+        if not raw or not self.ids or not self.may_hold(set(_byte_words(set(raw)))):
             return []
-        best: dict[int, tuple] = {}
+        words, best = _byte_words(raw), {}
         for start in range(0, max(1, len(words) - self.passage // 2), self.passage // 2):
             part = words[start : start + self.passage]
-            distinct = set(part)
-            if not self.may_hold(distinct):
+            if not self.may_hold(set(part)):
                 continue
-            found = self.wand(distinct)
+            part = [w.decode() for w in part]
+            found = self.wand(set(part))
             if found:
                 grams = {k: {tuple(part[i : i + k]) for i in range(len(part) - k + 1)} for k in range(1, SHINGLE + 1)}
                 for item, score in found:
@@ -202,7 +213,7 @@ class Index:
 
 
 def index_shards(benchmark: DataFrame, item_id: str, text: str, threshold: float):
-    """An Index for each shard of the items: of at most about MAX_INDEX_BYTES of text each."""
+    """An Index for each shard of the items, of at most about MAX_INDEX_BYTES of text each; the number of shards."""
 
     @arrow_udf("array<string>")
     def split(column: pa.Array) -> pa.Array:
@@ -210,14 +221,14 @@ def index_shards(benchmark: DataFrame, item_id: str, text: str, threshold: float
 
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).where("text is not null")
     items = items.withColumn("words", split("text")).where("size(words) > 0")
-    n, size, mean = items.agg(F.count("*"), F.sum(F.octet_length("text")), F.avg(F.size("words"))).first()
+    n, size, mean, longest = items.agg(F.count("*"), F.sum(F.octet_length("text")), F.avg(F.size("words")), F.max(F.size("words"))).first()
     shards = -(-(size or 0) // MAX_INDEX_BYTES)
     counts = items.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     for k in range(shards):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
         rows = own.select(F.col("item_id").cast("string"), "text").orderBy("item_id", "text").collect()  # a shard is bounded
         df = own.select(F.explode(F.array_distinct("words")).alias("word")).distinct().join(counts, "word").collect()
-        yield Index([(r.item_id, r.text) for r in rows], {r.word: r.df for r in df}, n, mean, threshold)
+        yield Index([(r.item_id, r.text) for r in rows], {r.word: r.df for r in df}, n, mean, longest, threshold), shards
 
 
 _LEAK = pa.struct([("item_id", pa.string()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
@@ -237,8 +248,20 @@ def _leaks(shared):
 def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """df with leaks: array of struct<item_id, score, question_overlap, answer_overlap>, empty where nothing matches."""
     kind = f"array<struct<item_id:{benchmark.schema[item_id].dataType.simpleString()},score:double,question_overlap:double,answer_overlap:double>>"
-    found = [
-        _leaks(df.sparkSession.sparkContext.broadcast(index))(F.col(text))  # MAX_INDEX_BYTES of text at most
-        for index in index_shards(benchmark, item_id, item_text, threshold)
-    ]
-    return df.withColumn("leaks", (F.concat(*found) if found else F.array()).cast(kind))
+    context, found = df.sparkSession.sparkContext, None
+    key = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
+    for index, shards in index_shards(benchmark, item_id, item_text, threshold):
+        shared = context.broadcast(index)  # MAX_INDEX_BYTES of text at most
+        own = _leaks(shared)(F.col(text)).cast(kind)
+        if shards == 1:
+            return df.withColumn("leaks", own)
+        # One shard is on the driver and in the workers at a time; what it finds is written, once for each text.
+        hits = written(df.select(key.alias("__key"), own.alias("__own")).where("size(__own) > 0").dropDuplicates(["__key"]))
+        shared.destroy()
+        found = hits if found is None else found.unionByName(hits)
+    clean = df.drop(*same_name(df, "leaks"))
+    if found is None:
+        return clean.withColumn("leaks", F.array().cast(kind))
+    found = found.groupBy("__key").agg(F.flatten(F.collect_list("__own")).alias("leaks"))
+    joined = clean.withColumn("__key", key).join(found, "__key", "left").drop("__key")
+    return joined.withColumn("leaks", F.coalesce("leaks", F.array().cast(kind)))

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import uuid
 from collections import defaultdict
 from functools import lru_cache
@@ -39,9 +40,11 @@ SMOOTH, UNKNOWN, SLICE = 0.05, 1e-9, 24
 #: Words whose scores a Python worker remembers.
 MEMO = 200_000
 
-LETTERS = re.compile(r"[^\W\d_]+")
-#: The same letters for Spark.
-LETTER = r"[\p{L}\p{Nl}\p{No}]"
+#: Characters that \w has besides letters, decimal digits and the underscore: fractions, roman numerals and the like.
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+#: A letter, for Spark.
+LETTER = r"\p{L}"
 
 
 @lru_cache(2)

@@ -113,6 +113,26 @@ def test_decontamination(spark):
     assert none.where("size(leaks) > 0").count() == 0
 
 
+def test_shards_change_no_result(spark, monkeypatch):
+    """Passages are as long as the whole benchmark's longest item wants, in every shard; rows and items may repeat."""
+    pick = random.Random(4)
+    sentence = lambda n: " ".join(f"w{pick.randint(0, 400)}" for _ in range(n)) + ". "
+    items = [(i, sentence(8) + sentence(5)) for i in range(20)] + [(20, sentence(150) + sentence(60)), (3, "Seven words that stand in no document. No.")]
+    items += items[:1]
+    docs = [(i, sentence(90) + items[i % 21][1] + sentence(120) + sentence(60), "mine") for i in range(25)]
+    docs += [(7, docs[7][1], "mine"), (30, None, "mine"), (31, "", "mine")]
+    df, benchmark = spark.createDataFrame(docs, "doc_id long, text string, Leaks string"), spark.createDataFrame(items, "item_id long, text string")
+
+    def found():
+        rows = decontaminate.find_leaks(df, benchmark).collect()
+        return sorted((r.doc_id, sorted((x.item_id, round(x.score, 9), x.question_overlap, x.answer_overlap) for x in r.leaks)) for r in rows)
+
+    whole = found()
+    assert len(whole) == len(docs) and sum(len(x) for _, x in whole) >= 26
+    monkeypatch.setattr(decontaminate, "MAX_INDEX_BYTES", 700)
+    assert found() == whole
+
+
 def test_decontamination_with_noise_at_the_edges(spark):
     """One altered word at the edge of a passage decides nothing, nor do the marks around words."""
     question = "Which of the seven rivers of the northern plain was the first to carry ships to the sea"
