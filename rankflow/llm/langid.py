@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import math
 import re
-import sys
 import uuid
 from collections import defaultdict
 from functools import lru_cache
@@ -40,9 +39,8 @@ SMOOTH, UNKNOWN, SLICE = 0.05, 1e-9, 24
 #: Words whose scores a Python worker remembers.
 MEMO = 200_000
 
-#: Characters that \w has besides letters, decimal digits and the underscore: fractions, roman numerals and the like.
-_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-LETTERS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+#: \w has fractions, roman numerals and the like besides letters, decimal digits and the underscore.
+_WORDS = re.compile(r"[^\W\d_]+")
 #: A letter, for Spark.
 LETTER = r"\p{L}"
 
@@ -60,8 +58,21 @@ def _automaton(path: str):
     return automaton, len(pieces)
 
 
+@lru_cache(2)
+def _lengths(path: str) -> np.ndarray:
+    """Characters of each piece."""
+    automaton, size = _automaton(path)
+    out = np.zeros(size, np.int64)
+    for length, number in automaton.values():
+        out[number] = length
+    return out
+
+
 def words_of(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+    words = _WORDS.findall(text.lower()) if text else []
+    if all(map(str.isalpha, words)):
+        return words
+    return [w for word in words for w in "".join(c if c.isalpha() else " " for c in word).split()]
 
 
 def _matches(piece_matches, word: str) -> list[list[tuple[int, int]]]:
@@ -87,46 +98,91 @@ def _long_log_likelihood(text: str, probabilities: np.ndarray, automaton) -> np.
     return forward[len(text)]
 
 
-def log_likelihoods(words: list[str], probabilities: np.ndarray, path: str) -> np.ndarray:
-    """Of each word (rows) in each language (columns), over all segmentations: the forward algorithm on all words at
-    once, one step for each place. probabilities: a row for each piece, and the last one for unknown characters."""
-    automaton, _ = _automaton(path)
-    sizes, owners, part_of, starts, ends, numbers = [], [], [], [], [], []
-    out = np.zeros((len(words), probabilities.shape[1]))
-    for owner, word in enumerate(words):
-        text = BLANK + word
-        if len(text) > SLICE:
-            out[owner] = _long_log_likelihood(text, probabilities, automaton)
-            continue
-        k = len(sizes)
-        sizes.append(len(text))
-        owners.append(owner)
-        for end, (length, number) in automaton.iter(text):
-            part_of.append(k)
-            starts.append(end + 1 - length)
-            ends.append(end + 1)
-            numbers.append(number)
-    if not sizes:
+class _Trellis:
+    """All pieces in some words of fewer than SLICE letters: forward and backward sums over all words at once, one step
+    for each place. Weights are a row for each piece found and a column for each table of probabilities."""
+
+    def __init__(self, words: list[str], path: str):
+        automaton, _ = _automaton(path)
+        hits, counts = [], []
+        for word in words:
+            before = len(hits)
+            hits.extend(automaton.iter(BLANK + word))
+            counts.append(len(hits) - before)
+        self.sizes = np.array([len(word) + 1 for word in words], np.int64)
+        self.ends, self.numbers = (np.array(x, np.int64) for x in ([end + 1 for end, _ in hits], [match[1] for _, match in hits]))
+        self.starts, self.owner = self.ends - _lengths(path)[self.numbers], np.repeat(np.arange(len(words)), counts)
+        self.known = np.zeros((SLICE + 1, len(words)), bool)  # characters that are a piece of their own, by their ends
+        single = self.ends - self.starts == 1
+        self.known[self.ends[single], self.owner[single]] = True
+
+    def _steps(self, places: np.ndarray):
+        """For each place, the pieces there by owner, and where each owner's begin."""
+        order = np.argsort(places, kind="stable")
+        edges = np.searchsorted(places[order], np.arange(SLICE + 2))
+        for place in range(SLICE + 1):
+            own = order[edges[place] : edges[place + 1]]
+            yield place, own, np.flatnonzero(np.diff(self.owner[own], prepend=-1))
+
+    def forward(self, weights: np.ndarray) -> np.ndarray:
+        """By place, word and column: the sum over all segmentations of what stands before the place."""
+        out = np.zeros((SLICE + 1, len(self.sizes), weights.shape[1]))
+        out[0] = 1.0
+        for place, own, first in self._steps(self.ends):
+            if len(own):
+                owner = self.owner[own]
+                out[place, owner[first]] = np.add.reduceat(out[self.starts[own], owner] * weights[own], first)
+            if place:
+                out[place] += np.where(self.known[place], 0.0, UNKNOWN)[:, None] * out[place - 1]
+        return out
+
+    def backward(self, weights: np.ndarray) -> np.ndarray:
+        """The same of what stands after the place."""
+        out = np.zeros((SLICE + 1, len(self.sizes), weights.shape[1]))
+        out[self.sizes, np.arange(len(self.sizes))] = 1.0
+        for place, own, first in reversed(list(self._steps(self.starts))):
+            if len(own):
+                owner = self.owner[own]
+                out[place, owner[first]] += np.add.reduceat(out[self.ends[own], owner] * weights[own], first)
+            if place < SLICE:
+                out[place] += np.where(self.known[place + 1], 0.0, UNKNOWN)[:, None] * out[place + 1]
         return out
-    sizes, part_of, starts, ends = (np.array(x, np.int64) for x in (sizes, part_of, starts, ends))
-    weights = probabilities[numbers] if numbers else np.zeros((0, probabilities.shape[1]))
-    forward = np.zeros((SLICE + 1, len(sizes), probabilities.shape[1]))
-    forward[0] = 1.0
-    order = np.argsort(ends, kind="stable")
-    edges = np.searchsorted(ends[order], np.arange(1, SLICE + 2))
-    known = np.zeros((SLICE + 1, len(sizes)), bool)  # characters that are a piece of their own
-    known[ends[ends - starts == 1], part_of[ends - starts == 1]] = True
-    for end in range(1, int(sizes.max()) + 1):
-        own = order[edges[end - 1] : edges[end]]
-        if len(own):
-            parts = part_of[own]
-            first = np.flatnonzero(np.diff(parts, prepend=-1))
-            forward[end, parts[first]] = np.add.reduceat(forward[starts[own], parts] * weights[own], first)
-        forward[end] += np.where(known[end], 0.0, UNKNOWN)[:, None] * forward[end - 1]
-    out[owners] = np.log(forward[sizes, np.arange(len(sizes))])
+
+    def last(self, forward: np.ndarray) -> np.ndarray:
+        return forward[self.sizes, np.arange(len(self.sizes))]
+
+
+def _short(words: list[str]) -> np.ndarray:
+    return np.array([len(word) < SLICE for word in words], bool)
+
+
+def log_likelihoods(words: list[str], probabilities: np.ndarray, path: str) -> np.ndarray:
+    """Of each word (rows) in each language (columns), over all segmentations. probabilities: a row for each piece, and
+    the last one for unknown characters."""
+    short, out = _short(words), np.zeros((len(words), probabilities.shape[1]))
+    trellis = _Trellis([w for w, x in zip(words, short) if x], path)
+    out[short] = np.log(trellis.last(trellis.forward(probabilities[trellis.numbers])))
+    for i in np.flatnonzero(~short):
+        out[i] = _long_log_likelihood(BLANK + words[i], probabilities, _automaton(path)[0])
     return out
 
 
+def add_expected(sums: np.ndarray, words: list[str], languages: np.ndarray, counts: np.ndarray, probabilities: np.ndarray, path: str) -> None:
+    """Add to sums (language x piece) the expected uses of pieces in words that came `counts` times; probabilities:
+    language x piece."""
+    short = _short(words)
+    trellis, own, n = _Trellis([w for w, x in zip(words, short) if x], path), languages[short], counts[short]
+    weights = probabilities[own[trellis.owner], trellis.numbers][:, None]
+    forward, backward = trellis.forward(weights), trellis.backward(weights)
+    used = forward[trellis.starts, trellis.owner] * weights * backward[trellis.ends, trellis.owner] / trellis.last(forward)[trellis.owner]
+    place = own[trellis.owner] * sums.shape[1] + trellis.numbers
+    sums += np.bincount(place, used[:, 0] * n[trellis.owner], sums.size).reshape(sums.shape)
+    for i in np.flatnonzero(~short):
+        table = probabilities[languages[i]]
+        for k, x in _expected(words[i], table.__getitem__, path).items():
+            sums[languages[i], k] += counts[i] * x
+
+
 def _expected(word: str, p, path: str) -> dict[int, float]:
     """Expected uses of each piece in a word under probabilities p (a function of the piece number)."""
     automaton, _ = _automaton(path)
@@ -191,37 +247,28 @@ def fit(labelled: DataFrame, path: str, text: str = "text", lang: str = "lang",
     sample = rows.join(F.broadcast(edges), "lang").where("h <= edge").dropDuplicates(["text", "lang"])
     words = sample.select("lang", F.explode(split("text")).alias("word")).groupBy("lang", "word").count()
     words = written(words)
-    tables: dict[str, dict[int, float]] = {}
-    _, size = _automaton(path)
+    languages = sorted(row.lang for row in edges.select("lang").collect())
+    place, (_, size) = {x: i for i, x in enumerate(languages)}, _automaton(path)
+    probabilities = np.full((len(languages), size), 1.0 / size)
     for _ in range(ROUNDS):
-        now = dict(tables)
+        shared = labelled.sparkSession.sparkContext.broadcast(probabilities)  # languages x vocabulary
 
-        def expect(batches, now=now):
+        def expect(batches, shared=shared):
+            sums = np.zeros((len(place), size))
             for batch in batches:
-                sums: dict[tuple[str, int], float] = defaultdict(float)
-                for language, word, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                    known = now.get(language)
-                    p = (lambda k: 1.0 / size) if known is None else (lambda k, known=known: known.get(k, known[-1]))
-                    for k, x in _expected(word, p, path).items():
-                        sums[language, k] += n * x
-                keys = list(sums)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array(list(sums.values()), pa.float64())],
-                    names=["lang", "piece", "n"],
-                )
-
-        counts = words.mapInArrow(expect, "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
-        gathered: dict[str, dict[int, float]] = defaultdict(dict)
-        for row in counts.collect():  # languages x vocabulary rows at most
-            gathered[row.lang][row.piece] = row.n
-        tables = {}
-        for language, own in gathered.items():
-            whole = sum(own.values()) + SMOOTH * size
-            tables[language] = {k: (n + SMOOTH) / whole for k, n in own.items()} | {-1: SMOOTH / whole}
-    languages = sorted(tables)
-    floor = [tables[x][-1] for x in languages]
-    used = {k for x in languages for k in tables[x]} - {-1}
-    return {"languages": languages, "floor": floor, "probabilities": {k: [tables[x].get(k, f) for x, f in zip(languages, floor)] for k in used}}
+                for start in range(0, batch.num_rows, 4096):
+                    lang, word, n = (batch.column(i).slice(start, 4096) for i in range(3))
+                    add_expected(sums, word.to_pylist(), np.array([place[x] for x in lang.to_pylist()]), n.to_numpy(), shared.value, path)
+            language, piece = np.nonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(language, pa.int32()), pa.array(piece, pa.int32()), pa.array(sums[language, piece])], names=["language", "piece", "n"])
+
+        counts = words.mapInArrow(expect, "language int, piece int, n double").groupBy("language", "piece").agg(F.sum("n").alias("n"))
+        gathered = counts.toPandas()  # languages x vocabulary rows at most
+        found = np.zeros_like(probabilities)
+        found[gathered["language"], gathered["piece"]] = gathered["n"]
+        probabilities = (found + SMOOTH) / (found.sum(axis=1, keepdims=True) + SMOOTH * size)
+    floor = (SMOOTH / (found.sum(axis=1) + SMOOTH * size)).tolist()
+    return {"languages": languages, "floor": floor, "probabilities": {int(k): probabilities[:, k].tolist() for k in np.flatnonzero(found.any(axis=0))}}
 
 
 class Scorer:

@@ -101,3 +101,28 @@ def test_long_words_are_summed_whole():
     used = langid._expected("ab" * 3000, p, PATH)
     length = {number: len(piece) for piece, number in vocabulary.items()}
     assert sum(n * length[k] for k, n in used.items()) == pytest.approx(6001)
+
+
+def test_expected_counts_of_many_words_at_once():
+    automaton, size = langid._automaton(PATH)
+    table = np.random.default_rng(3).random((2, size)) * 1e-3
+    words = ["the", "gesellschaft", "Ωa", "中a文", "a", "donaudampfschifffahrtsgesellschaft", "the"]
+    languages, counts, got, want = np.array([0, 1, 1, 0, 0, 1, 1]), np.array([3, 1, 2, 1, 1, 5, 4]), np.zeros((2, size)), np.zeros((2, size))
+    langid.add_expected(got, words, languages, counts, table, PATH)
+    for word, x, n in zip(words, languages, counts):
+        for k, used in langid._expected(word, lambda k, x=x: table[x, k], PATH).items():
+            want[x, k] += n * used
+    assert got == pytest.approx(want)
+    langid.add_expected(got, [], languages[:0], counts[:0], table, PATH)
+    assert got == pytest.approx(want)
+
+
+def test_texts_without_a_letter(spark):
+    model = langid.fit(corpus(spark), PATH)
+    texts = ["½ ²", "①", "Ⅷ", "三½", "x²y", "½"]
+    assert langid.words_of("x²y Ⅷ") == ["x", "y"]
+    got = langid.predict(spark.createDataFrame([(t,) for t in texts], "text string"), model, PATH).collect()
+    assert [r.lang_pred == "und" for r in got] == [True, True, True, False, False, True]
+    assert langid.predict(spark.createDataFrame([], "text string"), model, PATH).count() == 0
+    blank = langid.fit(spark.createDataFrame([("½", "en")], "text string, lang string"), PATH)
+    assert blank["languages"] == []
