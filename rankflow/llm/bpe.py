@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from rankflow.llm.common import Memo
+from rankflow.llm.common import Memo, held
 
 #: Pieces of at most so many bytes are merged directly and remembered; longer ones are cut in halves.
 LEAF = 6
@@ -42,7 +42,8 @@ class Merges:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self._pair: dict[tuple[int, int], bool] = {}
+        self._fit: set[int] = set()
+        self._unfit: set[int] = set()
         self._window: dict[bytes, tuple[int, ...]] = {}
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
@@ -65,20 +66,24 @@ class Merges:
     def window(self, piece: bytes) -> tuple[int, ...]:
         found = self._window.get(piece)
         if found is None:
-            if len(self._window) > MEMO:
+            if len(self._window) > MEMO // 2:
                 self._window.clear()
             found = self._window[piece] = self.merge(piece)
         return found
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the two tokens, re-encoded together, give themselves."""
-        found = self._pair.get((left, right))
-        if found is None:
-            if len(self._pair) > MEMO:
-                self._pair.clear()
-            both = self.merge(self.bytes_of[left] + self.bytes_of[right])
-            found = self._pair[left, right] = both == (left, right)
-        return found
+        pair = left << 32 | right
+        if pair in self._fit:
+            return True
+        if pair in self._unfit:
+            return False
+        fits = self.merge(self.bytes_of[left] + self.bytes_of[right]) == (left, right)
+        known = self._fit if fits else self._unfit
+        if len(known) > MEMO // 2:
+            known.clear()
+        known.add(pair)
+        return fits
 
     def join(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[int, ...]:
         if not a or not b:
@@ -134,9 +139,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
 
 
-@lru_cache(2)
 def _encoder(path: str, pattern: str) -> _Segments:
-    return _Segments(Merges(read_ranks(path)), pattern)
+    return held(("bpe", path, pattern), lambda: _Segments(Merges(read_ranks(path)), pattern))
 
 
 def encode_text(text: str, path: str, pattern: str, blank_starts: bool = True) -> bytes:

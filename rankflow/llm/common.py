@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Words are runs of anything but blank and the five ASCII white-space controls 0x09 to 0x0D.
@@ -47,6 +48,19 @@ def pruned_batches(batches, column: str, rows: int = 512):
 LONGEST_KEY = 64
 
 
+_held: dict = {}
+
+
+def held(key, make):
+    """make(), remembered in this Python worker until it is asked for something else: a worker that Spark uses again for
+    another operator doesn't keep what the one before had remembered."""
+    if key not in _held:
+        _held.clear()
+        pa.default_memory_pool().release_unused()
+        _held[key] = make()
+    return _held[key]
+
+
 class Memo(dict):
     """compute(key) remembered for about 2 * size keys of at most LONGEST_KEY characters: a full generation becomes the
     old one, and what is used again moves to the new one."""

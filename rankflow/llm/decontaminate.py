@@ -60,7 +60,7 @@ def _without_marks(word: bytes) -> bytes:
     return word if w[0].isalnum() and w[-1].isalnum() else w.strip(_EDGES).encode() or word
 
 
-_bare = Memo(_without_marks, 50_000)
+_bare = Memo(_without_marks, 20_000)
 
 
 def _raw_words(text: str) -> list[bytes]:

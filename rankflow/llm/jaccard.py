@@ -339,15 +339,16 @@ def _links_of_keys(texts: DataFrame, links: DataFrame, words: int, percent: int)
     return pairs.join(side("a"), "a").join(side("b"), "b").where(linked("text_a", "text_b")).select("a", "b")
 
 
-def link_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """df with n_shingles (long), component_id (least doc_id reachable by links) and component (long: the same number in
-    all documents of a component; documents with an empty set have no component: null)."""
-    added = ["n_shingles", "component_id", "component"]
-    clean = df.drop(*(c for a in [*added, "__doc", "__key", "__set"] for c in same_name(df, a)))
-    texts = clean.select(F.col(doc_id).alias("__doc"), F.xxhash64(text).alias("__key"), F.col(text).alias("text"))
-    rows = texts.select(F.col("__doc").alias("doc"), F.col("__key").alias("key"), "text")
-    doc = rows.schema["doc"].dataType
-    profiles = written(rows.mapInArrow(_profile(words, percent), f"kind int, doc {doc.simpleString()}, key long, node long, n long, other long"))
+def _row_keys(df: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """df with __doc and __key (long, never null), by which rows and results meet."""
+    return df.withColumn("__doc", F.xxhash64(doc_id)).withColumn("__key", F.xxhash64(text))
+
+
+def _results(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """__doc, __key, doc, n, least, component of each distinct row of texts (doc, key, text); component is null for an
+    empty set."""
+    kind = texts.schema["doc"].dataType.simpleString()
+    profiles = written(texts.mapInArrow(_profile(words, percent), f"kind int, doc {kind}, key long, node long, n long, other long"))
     members = profiles.where("kind = 0").select("doc", "key", "node", "n")
     same_key = Window.partitionBy("other").orderBy("node")  # a row for each BATCH_BYTES of text at most
     chains = profiles.where("kind = 1").select(F.col("node").alias("a"), F.lag("node").over(same_key).alias("b"))
@@ -358,30 +359,41 @@ def link_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id", wo
     size = nodes.groupBy("region").agg(_chunks(F.sum(F.col("n") + DOC_WEIGHT)).alias("chunks"))
     nodes = written(nodes.join(size, "region"))
     weight = nodes.agg(F.sum(F.col("n") + DOC_WEIGHT)).first()[0] or 0
-    own = F.col("doc").eqNullSafe(F.col("__doc")) & (F.col("key") == F.col("__key"))
     # One plan at every size: the texts are dealt by document once (a row that repeats comes twice, which harms nothing).
-    own_texts = written(texts.join(nodes.hint("merge"), own).select("node", "region", "n", "chunks", "text"))
+    dealt = texts.select(F.xxhash64("doc").alias("__doc"), F.col("key").alias("__key"), "text")
+    chosen = nodes.withColumn("__doc", F.xxhash64("doc")).withColumnRenamed("key", "__key").hint("merge")
+    own_texts = written(dealt.join(chosen, ["__doc", "__key"]).select("node", "region", "n", "chunks", "text"))
     links, large = _links_of_regions(nodes.select("node", "region", "n", "chunks"), own_texts, weight, words, percent)
     if not large.isEmpty() and (more := _links_of_keys(own_texts, links, words, percent)) is not None:
         links = written(links.unionByName(more))
-    labels = components(links)
-    sets = members.select("doc", "key", "node", "n").distinct().join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = written(sets.where("n > 0").groupBy("label").agg(F.min("doc").alias("least")))
-    found = sets.join(least, "label", "left").select(
-        F.col("doc").alias("__doc"), F.col("key").alias("__key"), F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc")).alias("component_id"), F.when(F.col("n") > 0, F.col("label")).alias("component")
-    )
-    rows = clean.withColumn("__set", F.xxhash64(text))  # so that a text that the caller drops is not shuffled
-    on = F.col(doc_id).eqNullSafe(F.col("__doc")) & (F.col("__set") == F.col("__key"))
-    return rows.join(found, on, "left").drop("__doc", "__key", "__set")
+    sets = members.distinct().join(components(links), "node", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("label", "node")))
+    least = written(sets.where("n > 0").groupBy("component").agg(F.min("doc").alias("least")))
+    return sets.join(least, "component", "left").select(F.xxhash64("doc").alias("__doc"), F.col("key").alias("__key"), "doc", "n", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc")).alias("least"), "component")
+
+
+def _texts(df: DataFrame, text: str, doc_id: str) -> DataFrame:
+    return df.select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
+
+
+def link_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """df with n_shingles (long), component_id (least doc_id reachable by links) and component (long: the same number in
+    all documents of a component; documents with an empty set have no component: null)."""
+    clean = df.drop(*(c for a in ("n_shingles", "component_id", "component", "__doc", "__key") for c in same_name(df, a)))
+    found = _results(_texts(clean, text, doc_id), words, percent)
+    found = found.select("__doc", "__key", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"), "component")
+    return _row_keys(clean, text, doc_id).join(found, ["__doc", "__key"], "left").drop("__doc", "__key")
 
 
 def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of df without near duplicates: of each component the one of the least doc_id stays, once; rows with an
-    empty set all stay."""
-    linked = link_documents(df, text, doc_id, words, percent)
-    first = linked.where(F.col("component").isNotNull() & F.col(doc_id).eqNullSafe(F.col("component_id"))).dropDuplicates(["component"])
-    return linked.where("component is null").unionByName(first).drop("n_shingles", "component_id", "component")
+    """The rows of df without near duplicates: of each component one row of the least doc_id stays (of several texts
+    with that doc_id, the one of the least hash); rows with an empty set all stay."""
+    found = written(_results(_texts(df, text, doc_id), words, percent))
+    least = found.where(F.col("component").isNotNull() & F.col("doc").eqNullSafe(F.col("least")))
+    least = least.groupBy("component").agg(F.min(F.struct("__doc", "__key")).alias("one")).select("one.*")
+    stay = least.withColumn("__once", F.lit(True)).unionByName(found.where("component is null").select("__doc", "__key", F.lit(False).alias("__once")))
+    rows = _row_keys(df, text, doc_id).join(stay, ["__doc", "__key"])
+    copy = F.row_number().over(Window.partitionBy("__doc", "__key").orderBy("__once"))  # rows that repeat meet in the join
+    return rows.withColumn("__copy", copy).where("__copy = 1 or not __once").select(*df.columns)
 
 
 ORACLE_SQL = """

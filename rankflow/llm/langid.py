@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from rankflow.llm.common import written
+from rankflow.llm.common import held, written
 from rankflow.llm.tokencount import BLANK, read_scores
 
 #: Documents that a fit reads at most, and rounds of expectation-maximisation.
@@ -315,9 +315,6 @@ class Scorer:
         return out
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def predict(df: DataFrame, model: dict, path: str, text: str = "text") -> DataFrame:
     """df with lang_pred (a learned language or `und`) and score (posterior of lang_pred, languages equally likely)."""
     spark = df.sparkSession
@@ -326,10 +323,7 @@ def predict(df: DataFrame, model: dict, path: str, text: str = "text") -> DataFr
 
     @arrow_udf("struct<lang:string,score:double>")
     def predicted(column: pa.Array) -> pa.Array:
-        if key not in _scorers:  # one model in a worker at a time
-            _scorers.clear()
-            _scorers[key] = Scorer(shared.value, path)
-        out = _scorers[key].predict_all(column.to_pylist())
+        out = held(("langid", key), lambda: Scorer(shared.value, path)).predict_all(column.to_pylist())
         return pa.StructArray.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], names=["lang", "score"])
 
     out = df.withColumn("__predicted", predicted(F.col(text)))

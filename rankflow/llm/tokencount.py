@@ -17,14 +17,13 @@ Cases: null and empty texts have 0 tokens; equal texts get equal counts; long te
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from rankflow.llm.common import Memo
+from rankflow.llm.common import Memo, held
 
 BLANK = "▁"
 #: Below the lowest score: what a character outside the vocabulary costs more.
@@ -77,10 +76,13 @@ def read_scores(path: str) -> dict[str, float]:
     }
 
 
-@lru_cache(2)
 def _counter(path: str):
+    return held(("tokens", path), lambda: _new_counter(path))
+
+
+def _new_counter(path: str):
     vocabulary = Vocabulary(read_scores(path))
-    memo = Memo(lambda stretch: vocabulary.viterbi(stretch)[1], 300_000)
+    memo = Memo(lambda stretch: vocabulary.viterbi(stretch)[1], 200_000)
     cut = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+" if vocabulary.stretches else r"(?s:.+)").findall
     return cut, memo
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from rankflow.llm.common import Memo, written
+from rankflow.llm.common import Memo, held, written
 
 BITS, PREFIX = 20, 6
 #: Documents, hashed terms and factors of a fit; steps of its optimiser.
@@ -90,9 +90,6 @@ def sampled(df: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DO
     return docs.join(F.broadcast(own), "doc_id")  # max_train_docs rows of two numbers
 
 
-_memos: dict[str, Memo] = {}
-
-
 def score_text(text: str | None, model: dict, memo) -> float:
     if model["w0"] is None:
         return model["share"]
@@ -110,9 +107,7 @@ def score(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
     @arrow_udf("double")
     def scores(column: pa.Array) -> pa.Array:
         own = shared.value
-        if key not in _memos:
-            _memos.clear()
-            _memos[key] = Memo(lambda w: tuple(own["terms"][t] for t in terms(w) if t in own["terms"]), MEMO)
-        return pa.array([score_text(x.as_py(), own, _memos[key]) for x in column], pa.float64())
+        memo = held(("toxicity", key), lambda: Memo(lambda w: tuple(own["terms"][t] for t in terms(w) if t in own["terms"]), MEMO))
+        return pa.array([score_text(x.as_py(), own, memo) for x in column], pa.float64())
 
     return df.withColumn("score", scores(F.col(text)))
