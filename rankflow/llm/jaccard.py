@@ -18,9 +18,10 @@ n-word shingles; shorter documents have one shingle, the whole sequence. Two doc
 3. Trees: a region (many small ones together, large ones cut by hash into chunks of TASK_WEIGHT) is searched in one
    task by dual traversal (see sigtree), with exact intersections at the end. Of each chunk of a large region, one
    document of the largest component goes on to a next pass, until one chunk is left.
-4. Keys of large regions whose nodes are still in several components are searched again: small groups by trees of
-   their bitmaps; in a larger one, all documents outside its largest component, in chunks, against all chunks. Pairs
-   that the bitmaps allow are joined with their texts and tested exactly.
+4. In large regions keys are chosen again, now of the parts that fewest nodes there have, so that a passage that many
+   documents share makes none. Keys whose nodes are still in several components are searched again: the nodes of a key
+   with few in one tree; of keys with many, all nodes outside the largest component there, in chunks, against this
+   component and each other, once for all keys with the same largest component.
 
 Cases: null texts and texts without words have an empty set, link with nothing and are a component of their own; rows
 that repeat are documents of one component; the least doc_id ignores nulls (null if there is no other); texts of any
@@ -51,7 +52,9 @@ SALTS = 4
 #: Parts of a set for each shingle that may differ: the more, the more of the parts with few shingles are passed over.
 SPARE = 1.5
 #: Bytes of text whose keys are put together.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
+#: Rows of a batch that goes back to Spark.
+OUT_ROWS = 50_000
 
 _MASK = (1 << 64) - 1
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
@@ -95,13 +98,13 @@ class Parts:
             k += 1
         return k
 
-    def keys(self, tokens: np.ndarray) -> np.ndarray:
-        """Keys of a set: every other set that links with it, but for equal ones, has one of them. A pair's class is
-        that of its larger set, so a set has keys of its own class and of its largest partner's."""
+    def slots(self, tokens: np.ndarray) -> list[tuple[np.ndarray, int]]:
+        """Lists of part hashes, those of the fullest parts first, and how many of each list are enough as keys. A
+        pair's class is that of its larger set, so a set has lists for its own class and for its largest partner's."""
         n, out = len(tokens), []
         partner = self.largest_partner(n)
         if n == 0 or self.differing(n, partner) == 0:
-            return np.zeros(0, np.uint64)
+            return out
         for k in sorted({self.size_class(n), self.size_class(partner)}):
             top = self.edge(k + 1) - 1
             parts = int(SPARE * (self.differing(top, top) + 1)) + 1
@@ -112,15 +115,18 @@ class Parts:
                 first = np.flatnonzero(np.diff(part, prepend=np.uint64(parts)))
                 sums = np.add.reduceat(fp.mix(values), first)
                 tag = np.uint64((k * 16 + salt + 1) * int(_K[2]) & _MASK)
-                own = fp.mix(sums + part[first] * _K[1] + tag)
-                if len(first) > most:  # more parts with shingles than parts that can differ
-                    out.append(own[np.lexsort((part[first], -np.diff(first, append=n)))[: most + 1]])
+                own = fp.mix(sums + part[first] * _K[1] + tag)[np.lexsort((part[first], -np.diff(first, append=n)))]
+                out.append((own, min(len(own), most + 1)))
+                if len(own) > most:  # more parts with shingles than parts that can differ
                     break
-                out.append(own)
             else:
                 empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[first])
-                out.append(fp.mix(empty * _K[1] + np.uint64((k * 16 + 15) * int(_K[3]) & _MASK)))
-        return np.concatenate(out)
+                out.append((fp.mix(empty * _K[1] + np.uint64((k * 16 + 15) * int(_K[3]) & _MASK)), len(empty)))
+        return out
+
+    def keys(self, tokens: np.ndarray) -> np.ndarray:
+        """Keys of a set: every other set that links with it, but for equal ones, has one of them."""
+        return np.concatenate([own[:enough] for own, enough in self.slots(tokens)] or [np.zeros(0, np.uint64)])
 
 
 def _byte_batches(batches, column: int, size: int):
@@ -182,40 +188,39 @@ def _profile(words: int, percent: int):
 
 
 def _kind(kind: int, *columns: pa.Array):
-    if rows := len(columns[0]):
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, kind, np.int32)), *columns], names=["kind", "doc", "key", "node", "n", "other"])
+    for start in range(0, len(columns[0]), OUT_ROWS):
+        part = [c.slice(start, OUT_ROWS) for c in columns]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), kind, np.int32)), *part], names=["kind", "doc", "key", "node", "n", "other"])
 
 
-def _sketch(words: int, percent: int):
-    """Column function: struct<keys, bitmap> of a text."""
+def _slots(words: int, percent: int):
+    """Column function: all part hashes of a text, the list of each and how many of that list are enough."""
     parts = Parts(percent)
 
-    @arrow_udf("struct<keys:array<long>,bitmap:binary>")
-    def sketch(column: pa.Array) -> pa.Array:
-        keys, bitmaps = [], []
+    @arrow_udf("array<struct<shared:long,slot:int,enough:int>>")
+    def slots(column: pa.Array) -> pa.Array:
+        sizes, shared, slot, enough = [], [], [], []
         for start in range(0, len(column), 256):
             for tokens in shingle_sets(column.slice(start, 256).to_pylist(), words):
-                keys.append(parts.keys(tokens).view(np.int64))
-                bitmaps.append(sigtree.bitmap(tokens, sigtree.bits_for(len(tokens))).tobytes())
-        offsets = np.concatenate(([0], np.cumsum([len(x) for x in keys]))).astype(np.int32)
-        values = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(bitmaps, pa.binary())], names=["keys", "bitmap"])
-
-    return sketch
-
+                own = parts.slots(tokens)
+                sizes.append(sum(len(x) for x, _ in own))
+                shared += [x.view(np.int64) for x, _ in own]
+                slot += [np.full(len(x), i, np.int32) for i, (x, _) in enumerate(own)]
+                enough += [np.full(len(x), n, np.int32) for x, n in own]
+        columns = [np.concatenate([np.zeros(0, kind), *x]) for x, kind in ((shared, np.int64), (slot, np.int32), (enough, np.int32))]
+        values = pa.StructArray.from_arrays([pa.array(x) for x in columns], names=["shared", "slot", "enough"])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes], dtype=np.int32)), values)
 
-def _same_bits(bitmaps: list[np.ndarray]) -> np.ndarray:
-    bits = min(64 * len(x) for x in bitmaps)
-    return np.vstack([x if 64 * len(x) == bits else sigtree.folded(x, bits) for x in bitmaps])
+    return slots
 
 
 _PAIRS = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
 
-def _search(words: int, percent: int, exact: bool):
-    """Function of the rows of a task (region, part, node, label, large, and text or bitmap and n): kind 0, nodes a and b
-    that link (exact) or may link; kind 1, for each large region a node (a) of its largest component and the region (b).
-    Rows of part 0 are searched among themselves, or, where part 1 has rows, against those."""
+def _search(words: int, percent: int):
+    """Function of the rows of a task (region, part, node, label, large, text): kind 0, nodes a and b that link; kind 1,
+    for each large region a node (a) of its largest component and the region (b). Rows of part 0 are searched among
+    themselves, or, where part 1 has rows, against those."""
 
     def search(table: pa.Table) -> pa.Table:
         table = table.sort_by([("region", "ascending"), ("part", "ascending"), ("node", "ascending")])
@@ -223,40 +228,31 @@ def _search(words: int, percent: int, exact: bool):
         keep = np.ones(len(node), bool)
         keep[1:] = (region[1:] != region[:-1]) | (part[1:] != part[:-1]) | (node[1:] != node[:-1])
         table, region, part, node, label = table.filter(pa.array(keep)), region[keep], part[keep], node[keep], label[keep]
-        large = table.column("large").to_pylist()
+        large, texts = table.column("large").to_pylist(), table.column("text")
         edges = np.concatenate((np.flatnonzero(np.diff(region, prepend=region[:1] - 1)), [len(region)]))
         out = []
         for start, end in zip(edges[:-1].tolist(), edges[1:].tolist()):
             half = int((part[start:end] == 0).sum())
             if half == 0:  # no document of the other side fell in this chunk
                 continue
-            if exact:
-                sets = shingle_sets(table.column("text").slice(start, end - start).to_pylist(), words)
-                bits = sigtree.bits_for(min(map(len, sets)))
-                sizes, bitmaps = np.array([len(x) for x in sets]), np.vstack([sigtree.bitmap(x, bits) for x in sets])
-                order = np.lexsort((sizes, np.array([x[0] if len(x) else 0 for x in sets], np.uint64), part[start:end]))
-            else:
-                sizes = table.column("n").slice(start, end - start).to_numpy()
-                bitmaps = _same_bits([np.frombuffer(x, np.uint64) for x in table.column("bitmap").slice(start, end - start).to_pylist()])
-                order = np.lexsort((bitmaps[:, 0], sizes, part[start:end]))
+            sets = shingle_sets(texts.slice(start, end - start).to_pylist(), words)
+            bits = sigtree.bits_for(min(map(len, sets)))
+            sizes, bitmaps = np.array([len(x) for x in sets]), np.vstack([sigtree.bitmap(x, bits) for x in sets])
+            order = np.lexsort((sizes, np.array([x[0] if len(x) else 0 for x in sets], np.uint64), part[start:end]))
             sizes, bitmaps, nodes, labels = sizes[order], bitmaps[order], node[start:end][order], label[start:end][order].copy()
-            if exact:
-                sets = [sets[i] for i in order]
+            sets = [sets[i] for i in order]
             crossing = half < end - start
             x = sigtree.Tree(bitmaps[:half], sizes[:half]) if crossing else sigtree.Tree(bitmaps, sizes)
             y = sigtree.Tree(bitmaps[half:], sizes[half:]) if crossing else x
             shift = half if crossing else 0
 
-            def visit(i: int, j: int, sets=sets if exact else None, nodes=nodes, labels=labels, sizes=sizes, shift=shift):
+            def visit(i: int, j: int, sets=sets, nodes=nodes, labels=labels, sizes=sizes, shift=shift):
                 j += shift
-                if not exact:
-                    out.append((0, int(nodes[i]), int(nodes[j])))
-                elif sigtree.similar(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), int(sizes[i]), int(sizes[j]), percent):
+                if sigtree.similar(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), int(sizes[i]), int(sizes[j]), percent):
                     out.append((0, int(nodes[i]), int(nodes[j])))
                     labels[labels == labels[j]] = labels[i]
 
-            own = labels[: len(x.sizes)]
-            sigtree.traverse(x, y, own, labels[shift:], percent, visit)
+            sigtree.traverse(x, y, labels[: len(x.sizes)], labels[shift:], percent, visit)
             if large[start]:
                 values, counts = np.unique(labels, return_counts=True)
                 out.append((1, int(nodes[labels == values[counts.argmax()]].min()), int(region[start])))
@@ -281,7 +277,7 @@ def _links_of_regions(nodes: DataFrame, texts: DataFrame, weight: int, words: in
             F.when(F.col("large"), F.col("region")).otherwise(F.pmod(F.xxhash64("region"), F.lit(tasks))).alias("task"),
             "region", F.lit(0).alias("part"), "node", F.col("node").alias("label"), "large", "text",
         )
-        result = written(rows.groupBy("task").applyInArrow(_search(words, percent, True), "kind int, a long, b long"))
+        result = written(rows.groupBy("task").applyInArrow(_search(words, percent), "kind int, a long, b long"))
         found.append(result.where("kind = 0").select("a", "b"))
         onward = result.where("kind = 1").select(F.col("a").alias("node")).distinct()
         if onward.isEmpty():
@@ -296,47 +292,39 @@ def _links_of_regions(nodes: DataFrame, texts: DataFrame, weight: int, words: in
 
 def _links_of_keys(texts: DataFrame, links: DataFrame, words: int, percent: int) -> DataFrame | None:
     """Links between nodes of large regions that share a key and are not connected by links; None if there are none."""
-    labels = components(links)
-    sketches = texts.where("chunks > 1").select("node", "n", _sketch(words, percent)("text").alias("set")).select("node", "n", "set.*")
-    sketches = sketches.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    sketches = written(sketches.dropDuplicates(["node"]))  # rows that repeat
-    rows = sketches.select("node", "label", (F.col("n") + DOC_WEIGHT).alias("weight"), F.explode("keys").alias("shared"))
+    texts = texts.where("chunks > 1").select("node", "n", "text")
+    keyed = texts.select("node", (F.col("n") + DOC_WEIGHT).alias("weight"), _slots(words, percent)("text").alias("parts"))
+    keyed = keyed.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    keyed = written(keyed.dropDuplicates(["node"]))  # rows that repeat
+    parts = keyed.select("node", "label", "weight", F.explode("parts").alias("part")).select("node", "label", "weight", "part.*")
+    often = parts.groupBy("shared").agg(F.count("*").alias("often"))
+    rarest = F.row_number().over(Window.partitionBy("node", "slot").orderBy("often", "shared"))  # the parts of one text
+    rows = parts.join(often, "shared").withColumn("place", rarest).where("place <= enough and often > 1")
+    rows = written(rows.select("node", "label", "weight", "shared"))
     groups = rows.groupBy("shared").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum("weight").alias("weight"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.count("*").alias("count"))
     groups = groups.where("lo < hi").groupBy("sum", "count").agg(F.min(F.struct("shared", "weight")).alias("one")).select("one.*")  # the same nodes once
-    groups = written(groups)
-    total = groups.agg(F.sum("weight")).first()[0]
-    if total is None:
+    groups = written(groups.withColumn("chunks", _chunks(F.col("weight"))))
+    total = groups.where("chunks = 1").agg(F.sum("weight")).first()[0]
+    if groups.isEmpty():
         return None
-    tasks = -(-total // TASK_WEIGHT)
-    own = rows.drop("weight").join(groups.withColumn("k", _chunks(F.col("weight"))), "shared")
-    small = own.where("k = 1").select(F.pmod(F.xxhash64("shared"), F.lit(tasks)).alias("task"), F.col("shared").alias("region"), F.lit(0).alias("part"), "node", "label")
-    hot = own.where("k > 1")
-    by_label = hot.groupBy("shared", "label").agg(F.count("*").alias("size"))
+    tasks = -(-(total or 0) // TASK_WEIGHT) or 1
+    small = rows.join(groups.where("chunks = 1").select("shared"), "shared")
+    small = small.select(F.pmod(F.xxhash64("shared"), F.lit(tasks)).alias("task"), F.col("shared").alias("region"), F.lit(0).alias("part"), "node", "label")
+    # Keys with many nodes: counted by label first, so that only nodes outside the largest component are listed by key.
+    by_label = rows.groupBy("shared", "label").agg(F.count("*").alias("size")).join(groups.where("chunks > 1").select("shared"), "shared")
     main = by_label.groupBy("shared").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
-    hot = hot.join(main, "shared")
-    rest = hot.where("label <> main").groupBy("shared").agg(_chunks(F.count("*") * DOC_WEIGHT).alias("r"))
-    hot = hot.join(rest, "shared").withColumn("i", F.pmod(F.xxhash64("node"), "r")).withColumn("j", F.pmod(F.xxhash64("node"), "k"))
-    outside = hot.where("label <> main").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("part", F.lit(0))
-    every = hot.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("r") - 1))).withColumn("part", F.lit(1))
-    pair = F.xxhash64("shared", "i", "j")
-    crossing = outside.unionByName(every).select(pair.alias("task"), pair.alias("region"), "part", "node", "label")
-    candidates = small.unionByName(crossing).join(sketches.select("node", "n", "bitmap"), "node").withColumn("large", F.lit(False))
-    pairs = candidates.groupBy("task").applyInArrow(_search(words, percent, False), "kind int, a long, b long")
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
-
-    def side(name: str) -> DataFrame:
-        used = pairs.select(F.col(name).alias("node")).distinct()
-        return texts.where("chunks > 1").join(used, "node").select(F.col("node").alias(name), F.col("text").alias(f"text_{name}"))
-
-    @arrow_udf("boolean")
-    def linked(left: pa.Array, right: pa.Array) -> pa.Array:
-        out = []
-        for x, y in zip(left, right):
-            a, b = shingle_sets([x.as_py(), y.as_py()], words)
-            out.append(sigtree.similar(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b), percent))
-        return pa.array(out, pa.bool_())
-
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(linked("text_a", "text_b")).select("a", "b")
+    outside = rows.join(main, (rows["shared"] == main["shared"]) & (rows["label"] != main["main"])).select("main", "node", "label", "weight").distinct()
+    outside = written(outside)
+    inside = keyed.join(outside.select(F.col("main").alias("label")).distinct(), "label").select(F.col("label").alias("main"), "node", "label", "weight")
+    every = inside.unionByName(outside)
+    count = every.groupBy("main").agg(_chunks(F.sum("weight")).alias("k")).join(outside.groupBy("main").agg(_chunks(F.sum("weight")).alias("r")), "main")
+    x = outside.join(count, "main").select("*", F.pmod(F.xxhash64("node"), "r").alias("i"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"), F.lit(0).alias("part"))
+    y = every.join(count, "main").select("*", F.pmod(F.xxhash64("node"), "k").alias("j"), F.explode(F.sequence(F.lit(0), F.col("r") - 1)).alias("i"), F.lit(1).alias("part"))
+    pair = F.xxhash64("main", "i", "j")
+    crossing = x.unionByName(y).select(pair.alias("task"), pair.alias("region"), "part", "node", "label")
+    tried = small.unionByName(crossing).join(texts.dropDuplicates(["node"]).select("node", "text"), "node").withColumn("large", F.lit(False))
+    found = tried.groupBy("task").applyInArrow(_search(words, percent), "kind int, a long, b long")
+    return written(found.select("a", "b").where("a <> b").distinct())
 
 
 def _row_keys(df: DataFrame, text: str, doc_id: str) -> DataFrame:
