@@ -18,8 +18,9 @@ n-word shingles; shorter documents have one shingle, the whole sequence. Two doc
 3. Trees: a region (many small ones together, large ones cut by hash into chunks of TASK_WEIGHT) is searched in one
    task by dual traversal (see sigtree), with exact intersections at the end. Of each chunk of a large region, one
    document of the largest component goes on to a next pass, until one chunk is left.
-4. In large regions keys are chosen again, now of the parts that fewest nodes there have, so that a passage that many
-   documents share makes none. Keys whose nodes are still in several components are searched again: the nodes of a key
+4. In large regions keys are chosen again, now the parts that came least often there, as far as the COMMON_PARTS most
+   frequent ones are known, so that a passage that many documents share makes none. (Any order of parts that all sets
+   agree on loses no pair.) Keys whose nodes are still in several components are searched again: the nodes of a key
    with few in one tree; of keys with many, all nodes outside the largest component there, in chunks, against this
    component and each other, once for all keys with the same largest component.
 
@@ -53,6 +54,8 @@ SALTS = 4
 SPARE = 1.5
 #: Bytes of text whose keys are put together.
 BATCH_BYTES = 8 << 20
+#: Part hashes whose number of nodes is known when keys of large regions are chosen. Any number gives the same links.
+COMMON_PARTS = 100_000
 #: Rows of a batch that goes back to Spark.
 OUT_ROWS = 50_000
 
@@ -124,9 +127,16 @@ class Parts:
                 out.append((fp.mix(empty * _K[1] + np.uint64((k * 16 + 15) * int(_K[3]) & _MASK)), len(empty)))
         return out
 
-    def keys(self, tokens: np.ndarray) -> np.ndarray:
-        """Keys of a set: every other set that links with it, but for equal ones, has one of them."""
-        return np.concatenate([own[:enough] for own, enough in self.slots(tokens)] or [np.zeros(0, np.uint64)])
+    def keys(self, tokens: np.ndarray, common: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """Keys of a set: every other set that links with it, but for equal ones, has one of them. common: part hashes
+        (sorted) and how often they came; parts that came often are keys only where the others are not enough."""
+        out = [np.zeros(0, np.uint64)]
+        for own, enough in self.slots(tokens):
+            if common is not None and len(common[0]):
+                at = np.minimum(np.searchsorted(common[0], own), len(common[0]) - 1)
+                own = own[np.argsort(np.where(common[0][at] == own, common[1][at], 0), kind="stable")]
+            out.append(own[:enough])
+        return np.concatenate(out)
 
 
 def _byte_batches(batches, column: int, size: int):
@@ -193,25 +203,28 @@ def _kind(kind: int, *columns: pa.Array):
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), kind, np.int32)), *part], names=["kind", "doc", "key", "node", "n", "other"])
 
 
-def _slots(words: int, percent: int):
-    """Column function: all part hashes of a text, the list of each and how many of that list are enough."""
-    parts = Parts(percent)
+def _parts_of(words: int, chosen):
+    """Column function: chosen(set) of a text, an array of hashes."""
 
-    @arrow_udf("array<struct<shared:long,slot:int,enough:int>>")
-    def slots(column: pa.Array) -> pa.Array:
-        sizes, shared, slot, enough = [], [], [], []
+    @arrow_udf("array<long>")
+    def parts_of(column: pa.Array) -> pa.Array:
+        out = []
         for start in range(0, len(column), 256):
-            for tokens in shingle_sets(column.slice(start, 256).to_pylist(), words):
-                own = parts.slots(tokens)
-                sizes.append(sum(len(x) for x, _ in own))
-                shared += [x.view(np.int64) for x, _ in own]
-                slot += [np.full(len(x), i, np.int32) for i, (x, _) in enumerate(own)]
-                enough += [np.full(len(x), n, np.int32) for x, n in own]
-        columns = [np.concatenate([np.zeros(0, kind), *x]) for x, kind in ((shared, np.int64), (slot, np.int32), (enough, np.int32))]
-        values = pa.StructArray.from_arrays([pa.array(x) for x in columns], names=["shared", "slot", "enough"])
-        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes], dtype=np.int32)), values)
+            out += [chosen(tokens).view(np.int64) for tokens in shingle_sets(column.slice(start, 256).to_pylist(), words)]
+        return pa.array(out, pa.list_(pa.int64()))
+
+    return parts_of
 
-    return slots
+
+def _common_parts(texts: DataFrame, words: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The COMMON_PARTS part hashes that come most often in the texts, sorted, and how often."""
+    slots = Parts(percent).slots
+    every = _parts_of(words, lambda tokens: np.concatenate([np.zeros(0, np.uint64), *(own for own, _ in slots(tokens))]))
+    counts = texts.select(F.explode(every("text")).alias("shared")).groupBy("shared").count().where("count > 1")
+    top = counts.orderBy(F.desc("count"), "shared").limit(COMMON_PARTS).toPandas()
+    shared, count = top["shared"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int64)
+    order = np.argsort(shared)
+    return shared[order], count[order]
 
 
 _PAIRS = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
@@ -293,14 +306,13 @@ def _links_of_regions(nodes: DataFrame, texts: DataFrame, weight: int, words: in
 def _links_of_keys(texts: DataFrame, links: DataFrame, words: int, percent: int) -> DataFrame | None:
     """Links between nodes of large regions that share a key and are not connected by links; None if there are none."""
     texts = texts.where("chunks > 1").select("node", "n", "text")
-    keyed = texts.select("node", (F.col("n") + DOC_WEIGHT).alias("weight"), _slots(words, percent)("text").alias("parts"))
+    common = texts.sparkSession.sparkContext.broadcast(_common_parts(texts, words, percent))  # COMMON_PARTS pairs at most
+    parts = Parts(percent)
+    keys = _parts_of(words, lambda tokens: parts.keys(tokens, common.value))
+    keyed = texts.select("node", (F.col("n") + DOC_WEIGHT).alias("weight"), keys("text").alias("keys"))
     keyed = keyed.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
     keyed = written(keyed.dropDuplicates(["node"]))  # rows that repeat
-    parts = keyed.select("node", "label", "weight", F.explode("parts").alias("part")).select("node", "label", "weight", "part.*")
-    often = parts.groupBy("shared").agg(F.count("*").alias("often"))
-    rarest = F.row_number().over(Window.partitionBy("node", "slot").orderBy("often", "shared"))  # the parts of one text
-    rows = parts.join(often, "shared").withColumn("place", rarest).where("place <= enough and often > 1")
-    rows = written(rows.select("node", "label", "weight", "shared"))
+    rows = keyed.select("node", "label", "weight", F.explode("keys").alias("shared"))
     groups = rows.groupBy("shared").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum("weight").alias("weight"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.count("*").alias("count"))
     groups = groups.where("lo < hi").groupBy("sum", "count").agg(F.min(F.struct("shared", "weight")).alias("one")).select("one.*")  # the same nodes once
     groups = written(groups.withColumn("chunks", _chunks(F.col("weight"))))
