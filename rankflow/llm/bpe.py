@@ -27,7 +27,9 @@ from rankflow.llm.common import Memo, held
 #: Pieces of at most so many bytes are merged directly and remembered; longer ones are cut in halves.
 LEAF = 6
 #: Distinct pieces remembered by a Python worker at once.
-MEMO = 300_000
+MEMO = 200_000
+#: Texts whose Python values are held at once.
+AT_ONCE = 256
 #: Encoded segments, and ids, of a leaf of the upper tree.
 LEAF_SEGMENTS, LEAF_IDS = 16, 4096
 #: The characters of Unicode's White_Space property, which `\\s` of the split patterns means.
@@ -188,6 +190,11 @@ def _joined(parts: list[bytes]) -> bytes:
     return _joined(parts[:half]) + _joined(parts[half:])
 
 
+def _binary(column: pa.Array, value) -> pa.Array:
+    parts = [pa.array([value(x) for x in column.slice(i, AT_ONCE)], pa.binary()) for i in range(0, len(column), AT_ONCE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
+
+
 def encode(text: Column, path: str, pattern: str, blank_starts: bool = True) -> Column:
     """Token ids of text as packed little-endian unsigned 32-bit integers (binary). path: a tiktoken rank file that
     every executor has; pattern: the regular expression whose matches are encoded separately; blank_starts: its matches
@@ -195,7 +202,7 @@ def encode(text: Column, path: str, pattern: str, blank_starts: bool = True) ->
 
     @arrow_udf("binary")
     def ids(column: pa.Array) -> pa.Array:
-        return pa.array([encode_text(x.as_py() or "", path, pattern, blank_starts) for x in column], pa.binary())
+        return _binary(column, lambda x: encode_text(x.as_py() or "", path, pattern, blank_starts))
 
     return ids(text)
 
@@ -205,7 +212,7 @@ def decode(ids: Column, path: str) -> Column:
 
     @arrow_udf("binary")
     def decoded(column: pa.Array) -> pa.Array:
-        return pa.array([decode_ids(np.frombuffer(x.as_buffer(), "<u4"), path) if x.is_valid else None for x in column], pa.binary())
+        return _binary(column, lambda x: decode_ids(np.frombuffer(x.as_buffer(), "<u4"), path) if x.is_valid else None)
 
     return decoded(ids)
 
