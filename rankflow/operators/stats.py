@@ -252,17 +252,19 @@ def rif(df: DataFrame, column: str, tau: float, name: str) -> DataFrame:
 
 
 def inverse_propensity(df: DataFrame, treated: str, features: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """propensity (logit, clipped) and weight: 1 / p for the treated, 1 / (1 - p) for the others."""
+    """propensity (logit, clipped) and weight: 1 / p for the treated, 1 / (1 - p) for the others. Rows with a null
+    feature or treatment are left out of the fit; their propensity, or their weight, is null."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    rows = VectorAssembler(inputCols=features, outputCol="__features").transform(df)
-    rows = rows.withColumn("__label", F.col(treated).cast("double"))
-    fitted = LogisticRegression(featuresCol="__features", labelCol="__label", probabilityCol="__p", rawPredictionCol="__raw", predictionCol="__hat", maxIter=50).fit(rows).transform(rows)
-    p = F.least(F.greatest(F.get(vector_to_array("__p"), F.lit(1)), F.lit(low)), F.lit(high))
-    out = fitted.withColumn("propensity", p).drop("__features", "__label", "__p", "__raw", "__hat")
-    return out.withColumn("weight", F.when(F.col(treated) == 1, 1 / F.col("propensity")).otherwise(1 / (1 - F.col("propensity"))))
+
+    own = df.select(F.col(treated).cast("double").alias("label"), *(F.col(x).cast("double").alias(f"x{i}") for i, x in enumerate(features))).dropna()
+    rows = VectorAssembler(inputCols=own.columns[1:], outputCol="features").transform(own)
+    fitted = LogisticRegression(maxIter=50).fit(rows.select("label", "features"))
+    score = sum((F.lit(float(b)) * F.col(x) for b, x in zip(fitted.coefficients, features)), F.lit(float(fitted.intercept)))
+    p = 1 / (1 + F.exp(-score))
+    out = df.withColumn("propensity", F.when(p.isNotNull(), F.least(F.greatest(p, F.lit(low)), F.lit(high))))
+    weight = F.when(F.col(treated) == 1, 1 / F.col("propensity")).when(F.col(treated).isNotNull(), 1 / (1 - F.col("propensity")))
+    return out.withColumn("weight", weight)
 
 
 def calibrate(df: DataFrame, moments: list[str], targets: list[float], cap: float = 0.995, rounds: int = 50) -> DataFrame:

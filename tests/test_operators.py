@@ -186,3 +186,21 @@ def test_sinks(spark, tmp_path):
     assert '"rows": 3' in sinks.write_with_summary(df, f"{tmp_path}/s", {"p": 1})
     assert sinks.rewrite_columns(df, {"s": F.lit("n")}, "k").columns == ["k", "s", "x"]
     assert sinks.markdown_table(df.limit(1)).splitlines()[2] == "| 1 | 0.5000 | a |"
+
+
+def test_inverse_propensity_against_numpy(spark):
+    """The logit's weights by Newton steps; rows with nulls stay and get nulls."""
+    pick = np.random.default_rng(6)
+    x = pick.normal(size=(300, 2)).round(6)
+    y = (pick.random(300) < 1 / (1 + np.exp(-(0.3 + x @ [0.8, -0.5])))).astype(int)
+    rows = [(i, int(t), float(a), float(b)) for i, (t, (a, b)) in enumerate(zip(y, x))]
+    got = stats.inverse_propensity(spark.createDataFrame([*rows, (900, 1, None, 0.0), (901, None, 0.0, 0.0)], "id long, treated int, a double, b double"), "treated", ["a", "b"])
+    design, beta = np.column_stack([np.ones(300), x]), np.zeros(3)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-design @ beta))
+        beta += np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]), design.T @ (y - p))
+    p = np.clip(1 / (1 + np.exp(-design @ beta)), 0.01, 0.99)
+    rows = {r.id: r for r in got.collect()}
+    assert [rows[i].propensity for i in range(300)] == pytest.approx(p.tolist(), abs=1e-4)
+    assert [rows[i].weight for i in range(300)] == pytest.approx(np.where(y == 1, 1 / p, 1 / (1 - p)).tolist(), rel=1e-3)
+    assert rows[900].propensity is None and rows[900].weight is None and rows[901].propensity is not None and rows[901].weight is None
