@@ -34,6 +34,14 @@ from pyspark.sql.functions import arrow_udf
 ROUNDS = 10
 
 
+def _noise(message: bytes, key: bytes, size: int) -> bytes:
+    """size keyed pseudo-random bytes of a message: one digest, or as many numbered ones as are needed."""
+    if size <= 64:
+        return hashlib.blake2b(message, key=key, digest_size=size).digest()
+    seed = hashlib.blake2b(message, key=key).digest()
+    return b"".join(hashlib.blake2b(seed + k.to_bytes(4, "big"), key=key).digest() for k in range(-(-size // 64)))
+
+
 def feistel(value: int, size: int, key: bytes, format_name: str, inverse: bool = False) -> int:
     """Keyed permutation of range(size): a balanced Feistel network over the next even number of bits, walked on while
     the result lies outside."""
@@ -47,8 +55,7 @@ def feistel(value: int, size: int, key: bytes, format_name: str, inverse: bool =
         left, right = value >> half, value & mask
         for i in order:
             seen = left if inverse else right
-            noise = hashlib.blake2b(tag + bytes([i]) + seen.to_bytes(width, "big"), key=key, digest_size=min(64, width + 8)).digest()
-            mixed = int.from_bytes(noise, "big") & mask
+            mixed = int.from_bytes(_noise(tag + bytes([i]) + seen.to_bytes(width, "big"), key, width + 8), "big") & mask
             left, right = (right ^ mixed, left) if inverse else (right, left ^ mixed)
         value = left << half | right
         if value < size:

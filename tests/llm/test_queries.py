@@ -286,3 +286,14 @@ def test_toxicity_learns_a_pair(spark):
     odd = toxicity.score(spark.createDataFrame([(1, None), (2, ""), (3, "w1 " * 30_000)], "doc_id long, text string"), model).collect()
     assert all(0 <= r.score <= 1 for r in odd)
     assert toxicity.fit(df.where("toxic = 0"))["share"] == 0.0
+
+
+def test_long_values_are_permuted_whole():
+    """Every part of a long value changes, its leading one too, and the key gives it back."""
+    for letters in (40, 230, 300, 2000):
+        size, value = 26**letters, int("1" * letters, 26)
+        hidden = pii.feistel(value, size, b"key", "letters")
+        assert pii.feistel(hidden, size, b"key", "letters", inverse=True) == value and hidden != value
+        other = pii.feistel(value + 1, size, b"key", "letters")
+        parts = [[(x >> shift) & 0xFFFFFFFF for shift in range(0, size.bit_length() - 40, 32)] for x in (value, hidden, other)]
+        assert not any(a == b for a, b in zip(parts[0], parts[1])) and not any(a == b for a, b in zip(parts[1], parts[2]))
