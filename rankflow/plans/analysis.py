@@ -200,12 +200,12 @@ def ml10_components(spark, d):
     return out.select("mover", *(F.round(F.col("components")[k], 4).alias(f"component_{k + 1}") for k in range(2)))
 
 
-@query("""WITH l AS (SELECT label, 'd' || i AS feature, embedding[i + 1]::DOUBLE AS value FROM embeddings, (SELECT unnest(range(0, 6)) AS i)),
+@query("""WITH l AS (SELECT label, 'd' || i AS feature, embedding[i + 1]::DOUBLE AS value FROM embeddings, (SELECT unnest(range(0, 64)) AS i)),
  w AS (SELECT feature, AVG(value) AS m, stddev_samp(value) AS sd FROM l GROUP BY 1), p AS (SELECT label, feature, AVG(value) AS mean, COUNT(*) AS n FROM l GROUP BY 1, 2)
  SELECT label, feature, ROUND(mean, 5) AS mean, n, ROUND((mean - m) / sd, 5) AS difference, place FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY label ORDER BY abs((mean - m) / sd) DESC, feature) AS place FROM p JOIN w USING (feature)) WHERE place <= 3""")
 def ml11_cluster_profiles(spark, d):
-    wide = table(spark, d, "embeddings").select("label", *(F.col("embedding")[k].cast("double").alias(f"d{k}") for k in range(6)))
-    out = style.cluster_profiles(wide, "label", [f"d{k}" for k in range(6)], 3)
+    wide = table(spark, d, "embeddings").select("label", *(F.col("embedding")[k].cast("double").alias(f"d{k}") for k in range(64)))
+    out = style.cluster_profiles(wide, "label", [f"d{k}" for k in range(64)], 3)
     return out.select("label", "feature", F.round("mean", 5).alias("mean"), "n", F.round("difference", 5).alias("difference"), "place")
 
 

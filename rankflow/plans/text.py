@@ -34,9 +34,9 @@ def st01_url_parts(spark, d):
 FOLD_SQL = f"trim(regexp_replace(translate(lower({{x}}), '{S.ACCENTED}', '{S.PLAIN}'), '[^a-z0-9]+', ' ', 'g'))"
 
 
-@query(f"SELECT doc_id, {FOLD_SQL.format(x='text[1:200]')} AS folded FROM documents")
+@query(f"SELECT doc_id, {FOLD_SQL.format(x='text')} AS folded FROM documents")
 def st03_folded(spark, d):
-    return table(spark, d, "documents").select("doc_id", S.folded(F.substring("text", 1, 200)).alias("folded"))
+    return table(spark, d, "documents").select("doc_id", S.folded("text").alias("folded"))
 
 
 @query(f"SELECT doc_id, {FOLD_SQL.format(x='text')} AS folded FROM documents")
@@ -171,7 +171,7 @@ def jn16_tiers(spark, d):
 
 
 @query("""WITH a AS (SELECT DISTINCT p_size, p_name, unnest(split(lower(p_name), ' ')) AS w FROM part WHERE p_partkey % 2 = 0), b AS (SELECT DISTINCT p_size, p_name, unnest(split(lower(p_name), ' ')) AS w FROM part WHERE p_partkey % 2 = 1)
- SELECT DISTINCT a.p_size, a.p_name AS left_text, b.p_name AS right_text FROM a JOIN b ON a.p_size = b.p_size AND least(len(a.w), len(b.w)) BETWEEN 3 AND 8 AND (starts_with(a.w, b.w) OR starts_with(b.w, a.w))""")
+ SELECT DISTINCT a.p_size, a.p_name AS left_text, b.p_name AS right_text FROM a JOIN b ON a.p_size = b.p_size AND least(len(a.w), len(b.w)) >= 3 AND (starts_with(a.w, b.w) OR starts_with(b.w, a.w))""")
 def jn17_prefix_match(spark, d):
     parts = table(spark, d, "part").select("p_partkey", "p_size", "p_name")
     return R.prefix_matches(parts.where("p_partkey % 2 = 0"), parts.where("p_partkey % 2 = 1"), "p_name", "p_name", ["p_size"])
@@ -183,11 +183,12 @@ def er01_upsert_requests(spark, d):
     return E.upsert_requests(table(spark, d, "part").withColumn("brand", brand), "p_name", "p_partkey", ["brand"])
 
 
-@query("""WITH c AS (SELECT p_name, COUNT(DISTINCT p_type) AS n, MIN(p_type) AS v, COUNT(DISTINCT CASE WHEN p_size > 40 THEN p_type END) AS m, MIN(CASE WHEN p_size > 40 THEN p_type END) AS pv FROM part WHERE p_partkey % 7 = 0 GROUP BY 1)
- SELECT p_name, CASE WHEN n = 1 THEN v WHEN m = 1 THEN pv END AS value, CASE WHEN n = 1 THEN 'unique' WHEN m = 1 THEN 'preferred' ELSE 'ambiguous:' || n END AS status FROM c""")
+@query("""WITH c AS (SELECT p_name || '/' || p_brand || '/' || p_size AS listing, COUNT(DISTINCT p_type) AS n, MIN(p_type) AS v, COUNT(DISTINCT CASE WHEN p_retailprice > 1500 THEN p_type END) AS m, MIN(CASE WHEN p_retailprice > 1500 THEN p_type END) AS pv FROM part GROUP BY 1)
+ SELECT listing, CASE WHEN n = 1 THEN v WHEN m = 1 THEN pv END AS value, CASE WHEN n = 1 THEN 'unique' WHEN m = 1 THEN 'preferred' ELSE 'ambiguous:' || n END AS status FROM c""")
 def er02_resolve_unique(spark, d):
     """ER02 and ER03."""
-    return E.resolve_unique(table(spark, d, "part").where("p_partkey % 7 = 0"), "p_name", "p_type", F.col("p_size") > 40)
+    part = table(spark, d, "part").withColumn("listing", F.concat_ws("/", "p_name", "p_brand", "p_size"))
+    return E.resolve_unique(part, "listing", "p_type", F.col("p_retailprice") > 1500)
 
 
 @query("""WITH p AS (SELECT a.p_partkey, lower(a.p_name) AS x, lower(b.p_name) AS y FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1)
