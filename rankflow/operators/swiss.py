@@ -80,9 +80,12 @@ def ranks(df: DataFrame, score: str, cut1: str, buchholz: str, sonneborn: str, n
     """Competition rank within event and round by the four keys, all falling: equal keys share a rank, the next skips.
     A player with several rows counts once, with the highest keys."""
     keys = F.struct(*(F.col(c).alias(n) for n, c in (("a", score), ("b", cut1), ("c", buchholz), ("d", sonneborn))))
-    best = df.groupBy(EVENT, ROUND, PLAYER).agg(F.max(keys).alias("__keys"))
-    ranked = best.select(EVENT, ROUND, PLAYER, F.rank().over(Window.partitionBy(EVENT, ROUND).orderBy(F.desc("__keys"))).cast("long").alias(name))
-    return df.join(ranked, [EVENT, ROUND, PLAYER])
+    field, own = Window.partitionBy(EVENT, ROUND), Window.partitionBy(EVENT, ROUND, PLAYER)
+    rows = df.where(F.col(EVENT).isNotNull() & F.col(ROUND).isNotNull() & F.col(PLAYER).isNotNull()).withColumn("__keys", keys)
+    rows = rows.withColumns({"__best": F.max("__keys").over(own), "__once": (F.row_number().over(own.orderBy("__keys")) == 1).cast("long")})
+    # Players with these keys or higher ones, less those with these keys, and one.
+    ahead = F.sum("__once").over(field.orderBy(F.desc("__best"))) - F.sum("__once").over(Window.partitionBy(EVENT, ROUND, "__best"))
+    return rows.withColumn(name, ahead + 1).drop("__keys", "__best", "__once")
 
 
 def status_flags(df: DataFrame, rank: str = "rank") -> DataFrame:
