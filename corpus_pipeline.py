@@ -72,7 +72,8 @@ STAGES = [
     ("byte-level BPE", tokenise),
 ]
 
-#: Scores, retrieval and merges of tokens have no SQL form; the tests hold every stage against a brute-force version.
+#: Scores, retrieval and merges of tokens have no SQL form; the tests check each stage's effect on planted documents, and
+#: those of the operators hold line dedup, Jaccard join, decontamination and BPE against brute-force versions.
 ORACLE_SQL = None
 
 
