@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from rankflow.llm.common import Memo, held
+from rankflow.llm.common import Memo, held, small_batches
 
 #: Pieces of at most so many bytes are merged directly and remembered; longer ones are cut in halves.
 LEAF = 6
@@ -219,6 +219,7 @@ def decode(ids: Column, path: str) -> Column:
 
 def encode_decode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """df with bpe_ids (binary, packed), n_tokens (long) and bpe_text (binary, decoded from the ids)."""
+    small_batches(df.sparkSession)
     out = df.withColumn("bpe_ids", encode(F.col(text), path, pattern))
     out = out.withColumn("n_tokens", F.expr("octet_length(bpe_ids) div 4"))
     return out.withColumn("bpe_text", decode(F.col("bpe_ids"), path))

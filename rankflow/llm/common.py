@@ -32,6 +32,18 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch of whole texts.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets Arrow batches of this session have BATCH_ROWS rows, unless it was given a number of its own: a batch, its
+    results and their copies are held at once, outside the heap, by every task and by its Python worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":  # Spark's default
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def same_name(df: DataFrame, name: str) -> list[str]:
     return [c for c in df.columns if c.lower() == name.lower()]
 

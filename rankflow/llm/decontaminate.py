@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from rankflow.llm.common import Memo, same_name, written
+from rankflow.llm.common import Memo, same_name, small_batches, written
 
 K1, B = 1.2, 0.75
 BLOCK, PASSAGE, SHINGLE = 8, 256, 5
@@ -248,6 +248,7 @@ def _leaks(shared):
 def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """df with leaks: array of struct<item_id, score, question_overlap, answer_overlap>, empty where nothing matches."""
     kind = f"array<struct<item_id:{benchmark.schema[item_id].dataType.simpleString()},score:double,question_overlap:double,answer_overlap:double>>"
+    small_batches(df.sparkSession)
     context, found = df.sparkSession.sparkContext, None
     key = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
     for index, shards in index_shards(benchmark, item_id, item_text, threshold):

@@ -42,7 +42,7 @@ from pyspark.sql.functions import arrow_udf
 
 from rankflow.llm import fingerprints as fp
 from rankflow.llm import sigtree
-from rankflow.llm.common import same_name, written
+from rankflow.llm.common import same_name, small_batches, written
 from rankflow.llm.graphs import components
 
 WORDS, PERCENT = 3, 90
@@ -347,6 +347,7 @@ def _row_keys(df: DataFrame, text: str, doc_id: str) -> DataFrame:
 def _results(texts: DataFrame, words: int, percent: int) -> DataFrame:
     """__doc, __key, doc, n, least, component of each distinct row of texts (doc, key, text); component is null for an
     empty set."""
+    small_batches(texts.sparkSession)
     kind = texts.schema["doc"].dataType.simpleString()
     profiles = written(texts.mapInArrow(_profile(words, percent), f"kind int, doc {kind}, key long, node long, n long, other long"))
     members = profiles.where("kind = 0").select("doc", "key", "node", "n")

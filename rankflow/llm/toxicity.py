@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from rankflow.llm.common import Memo, held, written
+from rankflow.llm.common import Memo, held, small_batches, written
 
 BITS, PREFIX = 20, 6
 #: Documents, hashed terms and factors of a fit; steps of its optimiser.
@@ -102,6 +102,7 @@ def score_text(text: str | None, model: dict, memo) -> float:
 
 def score(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """df with score (double, 0 to 1)."""
+    small_batches(df.sparkSession)
     shared, key = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # `features` places at most
 
     @arrow_udf("double")
