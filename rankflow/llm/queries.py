@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankflow.llm import bpe, decontaminate, jaccard, langid, linededup, media, pii, substrings, tokencount, toxicity
+from rankflow.llm import bpe, decontaminate, filteraudit, jaccard, langid, linededup, media, pii, substrings, tokencount, toxicity
 from rankflow.llm.common import table
 
 #: Key of the pseudonyms in op1_pii; production runs pass their own to pii.pseudonymise.
@@ -89,6 +89,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "lang")
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_substring_dedup": op2_substring_dedup,
@@ -100,6 +104,12 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_bpe": op10_bpe,
+    "op13_filter_audit": op13_filter_audit,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": substrings.ORACLE_SQL, "op7_jaccard_join": jaccard.ORACLE_SQL, "op8_line_dedup": linededup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": substrings.ORACLE_SQL,
+    "op7_jaccard_join": jaccard.ORACLE_SQL,
+    "op8_line_dedup": linededup.ORACLE_SQL,
+    "op13_filter_audit": filteraudit.ORACLE_SQL,
+}

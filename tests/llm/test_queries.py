@@ -24,7 +24,8 @@ DATA = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql_twin(spark, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    for view in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {view} AS SELECT * FROM '{DATA}/{view}.parquet'")
     twin, df = con.sql(ORACLE_SQL[name]), QUERIES[name](spark, DATA)
     columns = sorted(df.columns)
     assert columns == sorted(twin.columns)
