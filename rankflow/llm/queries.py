@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankflow.llm import bpe, decontaminate, filteraudit, jaccard, langid, linededup, media, packing, pii, substrings, tokencount, toxicity
+from rankflow.llm import bpe, decontaminate, divergence, filteraudit, jaccard, langid, linededup, media, packing, pii, substrings, tokencount, toxicity
 from rankflow.llm.common import table
 
 #: Key of the pseudonyms in op1_pii; production runs pass their own to pii.pseudonymise.
@@ -89,6 +89,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length", "step_group")
@@ -109,6 +113,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_bpe": op10_bpe,
+    "op11_source_divergence": op11_source_divergence,
     "op12_packing": op12_packing,
     "op13_filter_audit": op13_filter_audit,
 }
@@ -117,5 +122,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": substrings.ORACLE_SQL,
     "op7_jaccard_join": jaccard.ORACLE_SQL,
     "op8_line_dedup": linededup.ORACLE_SQL,
+    "op11_source_divergence": divergence.ORACLE_SQL,
     "op13_filter_audit": filteraudit.ORACLE_SQL,
 }
