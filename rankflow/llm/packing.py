@@ -40,8 +40,8 @@ TIERS = (128, 256, 512, 1024)
 STEP_TOKENS, ROUND_STEPS = 16_384, 16
 #: Remainders of documents that wait for a window in a task.
 WAITING = 4096
-#: Segments remembered by a Python worker, and encoded by one call.
-MEMO, JOINED = 300_000, 100
+#: Segments of a generation that a Python worker remembers (two of them), and segments encoded by one call.
+MEMO, JOINED = 500_000, 100
 PIECE = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_length long, step_group long"
 
 
@@ -63,6 +63,7 @@ class Encoder:
         for token, i in self.tokenizer.get_vocab().items():
             self.opens[i] = token.startswith(blank)
         self.after_blank: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # the generation of segments before
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -70,14 +71,18 @@ class Encoder:
     def _learn(self, used: set[str]) -> None:
         """Ids of the segments `blank + word` for all words used: many to a call, cut again where a token opens with the
         blank, as the first of a segment does and no other."""
-        new = list(used - self.after_blank.keys())
-        if len(self.after_blank) + len(new) > MEMO:
-            self.after_blank = {w: self.after_blank[w] for w in used if w in self.after_blank}
+        if len(self.after_blank) > MEMO:
+            self.before, self.after_blank = self.after_blank, {w: self.after_blank[w] for w in used if w in self.after_blank}
+        new = used - self.after_blank.keys()
+        again = new & self.before.keys()
+        self.after_blank.update((w, self.before[w]) for w in again)
+        new = list(new - again)
         for start in range(0, len(new), JOINED):
             words = new[start : start + JOINED]
             ids = np.array(self.tokenizer.encode(" " + " ".join(words), add_special_tokens=False).ids, "<u4")
-            for word, own in zip(words, np.split(ids, np.flatnonzero(self.opens[ids])[1:])):
-                self.after_blank[word] = own.tobytes()
+            packed, starts = ids.tobytes(), (4 * np.flatnonzero(self.opens[ids])).tolist()
+            for word, a, b in zip(words, starts, [*starts[1:], len(packed)]):
+                self.after_blank[word] = packed[a:b]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [self.cuts and not _INNER_BLANK.search(x) and not any(a in x for a in self.added) for x in texts]

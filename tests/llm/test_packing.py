@@ -36,7 +36,7 @@ def test_memo_stays_bounded(monkeypatch):
     encoder, texts = packing.Encoder(PATH), [" ".join(f"w{i * j}" for j in range(12)) for i in range(60)]
     for text, want in zip(texts, library_ids(texts)):
         assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == want
-        assert len(encoder.after_blank) <= 20 + 12
+        assert len(encoder.after_blank) <= 20 + 12 and len(encoder.before) <= 20 + 12
 
 
 def check(pieces, want, most=1024):
