@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankflow.operators.ranges import adjusted_p_values, quantiles
+
 
 def _shared(df: DataFrame) -> DataFrame:
     """Cut lineage between demeaning rounds with checkpoint() in the cluster's shared folder."""
@@ -203,12 +205,7 @@ def fixed_effects(df: DataFrame, y: str, model: dict, effect: str) -> DataFrame:
 
 def benjamini_hochberg(df: DataFrame, p: str, groups: list[str], name: str = "q") -> DataFrame:
     """Adjusted p-values within groups (null p-values stay out)."""
-    group = Window.partitionBy(*groups)
-    order = F.rank().over(group.orderBy(p)) + F.count("*").over(Window.partitionBy(*groups, p)) - 1
-    n = F.count(p).over(group)
-    scaled = df.withColumn("__s", F.when(F.col(p).isNotNull(), F.col(p) * n / F.when(F.col(p).isNotNull(), order - (F.count("*").over(group) - n))))
-    back = group.orderBy(F.desc_nulls_last(p)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return scaled.withColumn(name, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min("__s").over(back)))).drop("__s")
+    return adjusted_p_values(df, p, groups, name)
 
 
 def placebo_grid(df: DataFrame, date: str, y: str, cutoffs: DataFrame) -> DataFrame:
@@ -241,14 +238,15 @@ def welch(df: DataFrame, group: str, value: str) -> DataFrame:
 
 def rif(df: DataFrame, column: str, tau: float, name: str) -> DataFrame:
     """Recentred influence function of a quantile: q + (tau - [x <= q]) / f(q), with a Gaussian kernel density at q."""
-    q = df.agg(F.percentile(column, F.lit(tau)).alias("__q"), F.stddev_samp(column).alias("__sd"), (F.percentile(column, F.lit(0.75)) - F.percentile(column, F.lit(0.25))).alias("__iqr"), F.count(column).alias("__n"))
+    q = quantiles(df, [], column, {"__q": tau, "__q25": 0.25, "__q75": 0.75}).join(df.agg(F.stddev_samp(column).alias("__sd"), F.count(column).alias("__n")))
+    q = q.withColumn("__iqr", F.col("__q75") - F.col("__q25"))
     q = q.withColumn("__h", 0.9 * F.least("__sd", F.col("__iqr") / 1.34) * F.pow("__n", F.lit(-0.2)))
     z = (F.col(column) - F.col("__q")) / F.col("__h")
     rows = df.join(F.broadcast(q))  # one row
     density = rows.agg(F.avg(F.exp(-z * z / 2) / F.sqrt(F.lit(2 * math.pi)) / F.col("__h")).alias("__f"))
     rows = rows.join(F.broadcast(density))  # one row
     value = F.col("__q") + (F.lit(tau) - (F.col(column) <= F.col("__q")).cast("double")) / F.col("__f")
-    return rows.withColumn(name, value).drop("__q", "__sd", "__iqr", "__n", "__h", "__f")
+    return rows.withColumn(name, value).drop("__q", "__q25", "__q75", "__sd", "__iqr", "__n", "__h", "__f")
 
 
 def inverse_propensity(df: DataFrame, treated: str, features: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
@@ -279,11 +277,13 @@ def calibrate(df: DataFrame, moments: list[str], targets: list[float], cap: floa
         gradient, hessian = np.array(row[1 : k + 1]) / row[0], np.zeros((k, k))
         for (i, j), x in zip(pairs, row[k + 1 :]):
             hessian[i, j] = hessian[j, i] = x / row[0]
-        if np.abs(gradient).max() < 1e-8:
+        if not k or np.abs(gradient).max() < 1e-8:
             break
         a -= np.linalg.solve(hessian - np.outer(gradient, gradient) + 1e-12 * np.eye(k), gradient)
+    else:
+        raise ValueError(f"weights did not meet the targets within {rounds} rounds")
     out = df.withColumn("__w", F.exp(sum((F.lit(float(b)) * (F.col(m) - t) for b, m, t in zip(a, moments, targets)), F.lit(0.0))))
-    edge = out.agg(F.percentile("__w", F.lit(cap)).alias("__cap"))
+    edge = quantiles(out, [], "__w", {"__cap": cap})
     return out.join(F.broadcast(edge)).withColumn("weight", F.least("__w", "__cap")).drop("__w", "__cap")  # one row
 
 

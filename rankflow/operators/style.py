@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankflow.operators.ranges import with_row_numbers
 from rankflow.operators.windows import average_rank, row_mean, standardised
 
 
@@ -125,4 +126,4 @@ def before_after(df: DataFrame, key: str, period: str, outcome: str, least: int)
     part = lambda p: F.when(F.col(period) == p, F.col(outcome))
     out = df.groupBy(key).agg(F.avg(part(0)).alias("before"), F.avg(part(1)).alias("after"), F.count(part(0)).alias("n_before"), F.count(part(1)).alias("n_after"))
     out = out.where((F.col("n_before") >= least) & (F.col("n_after") >= least)).withColumn("change", F.col("after") - F.col("before"))
-    return out.withColumn("place", F.row_number().over(Window.orderBy(F.desc("change"), key)).cast("long"))  # a row for each key
+    return with_row_numbers(out, ["-change", key], "place")

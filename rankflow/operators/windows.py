@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankflow.operators.ranges import quantiles, with_ranks
+
 
 def average_rank(df: DataFrame, value: str, name: str, count: str) -> DataFrame:
-    """name: rank of value, ties by their mean, null values without one; count: number of values. Ranks are built from
-    counts of distinct values, so only those, not all rows, pass the one ordered window."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__n"))
-    below = F.sum("__n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    total = F.sum("__n").over(Window.partitionBy())
-    ranks = counts.select(F.col(value).alias("__value"), (below - (F.col("__n") - 1) / 2).alias(name), total.alias(count))
-    return df.join(ranks, df[value] == ranks["__value"], "left").drop("__value")
+    """name: rank of value, ties by their mean, null values without one; count: number of values (null where value is)."""
+    return with_ranks(df, value, {"average": name, "count": count})
 
 
 def row_mean(values: list[Column]) -> Column:
@@ -27,7 +24,7 @@ def standardised(df: DataFrame, column: str, name: str, winsor: float | None = N
     quantile and its complement, if there are at least `least` values."""
     x = F.col(column)
     if winsor is not None:
-        ends = df.agg(F.percentile(column, F.lit(winsor)).alias("__lo"), F.percentile(column, F.lit(1 - winsor)).alias("__hi"), F.count(column).alias("__n"))
+        ends = quantiles(df, [], column, {"__lo": winsor, "__hi": 1 - winsor}).join(df.agg(F.count(column).alias("__n")))
         df = df.join(F.broadcast(ends))  # one row
         x = F.when(F.col("__n") >= least, F.least(F.greatest(x, F.col("__lo")), F.col("__hi"))).otherwise(x)
         x = F.when(F.col(column).isNotNull(), x)

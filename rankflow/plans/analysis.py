@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankflow.operators import explorer, moves as M, stats, style
+from rankflow.operators.ranges import quantiles
 from rankflow.plans.fixtures import MOVES_SQL, PLAYER_GAME_SQL, moves, player_game, table
 from rankflow.plans.relational import r6
 
@@ -90,8 +91,9 @@ def rg14_welch(spark, d):
 
 @query("SELECT event_type, ROUND(0.5 * stddev_samp(value), 6) AS per_sd, ROUND(0.5 * (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)), 6) AS per_iqr FROM events GROUP BY 1")
 def rg15_effect_translation(spark, d):
-    p = lambda x: F.percentile("value", F.lit(x))
-    return table(spark, d, "events").groupBy("event_type").agg(r6(0.5 * F.stddev_samp("value"), "per_sd"), r6(0.5 * (p(0.75) - p(0.25)), "per_iqr"))
+    events = table(spark, d, "events")
+    ends = quantiles(events, ["event_type"], "value", {"q25": 0.25, "q75": 0.75})
+    return events.groupBy("event_type").agg(r6(0.5 * F.stddev_samp("value"), "per_sd")).join(ends, "event_type").select("event_type", "per_sd", r6(0.5 * (F.col("q75") - F.col("q25")), "per_iqr"))
 
 
 @query("""WITH q AS (SELECT quantile_cont(value, 0.5) AS q, stddev_samp(value) AS sd, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr, COUNT(*) AS n FROM events),
@@ -210,10 +212,10 @@ def ml11_cluster_profiles(spark, d):
 
 
 @query(f"""WITH {PLAYER_GAME_SQL}, g AS (SELECT player, AVG(half) FILTER (WHERE post = 0) AS b, AVG(half) FILTER (WHERE post = 1) AS a, COUNT(*) FILTER (WHERE post = 0) AS n_before, COUNT(*) FILTER (WHERE post = 1) AS n_after FROM player_game GROUP BY 1)
- SELECT player, ROUND(b, 6) AS before, ROUND(a, 6) AS after, n_before, n_after, ROUND(a - b, 6) AS change FROM g WHERE n_before >= 20 AND n_after >= 20""")
+ SELECT player, ROUND(b, 6) AS before, ROUND(a, 6) AS after, n_before, n_after, ROUND(a - b, 6) AS change, ROW_NUMBER() OVER (ORDER BY a - b DESC, player) AS place FROM g WHERE n_before >= 20 AND n_after >= 20""")
 def ml12_before_after(spark, d):
     out = style.before_after(player_game(spark, d), "player", "post", "half", 20)
-    return out.select("player", r6("before", "before"), r6("after", "after"), "n_before", "n_after", r6("change", "change"))
+    return out.select("player", r6("before", "before"), r6("after", "after"), "n_before", "n_after", r6("change", "change"), "place")
 
 
 def _visits(spark, d):

@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rankflow.functions import scalar as S
+from rankflow.operators import ordered
 from rankflow.operators import relational as R
+from rankflow.operators.ranges import quantiles
 from rankflow.plans.fixtures import MOVES_SQL, PAIRINGS_SQL, PLAYER_GAME_SQL, moves, pairings, player_game, table
 
 QUERIES, ORACLE = {}, {}
@@ -196,7 +198,7 @@ def bn10_quartile(spark, d):
 @query("SELECT c_custkey, CAST(c_acctbal >= (SELECT quantile_cont(c_acctbal, 0.75) FROM customer) AS BIGINT) AS high, CAST(c_acctbal <= (SELECT quantile_cont(c_acctbal, 0.25) FROM customer) AS BIGINT) AS low FROM customer")
 def bn11_quantile_flags(spark, d):
     customers = table(spark, d, "customer")
-    edges = customers.agg(F.percentile("c_acctbal", F.lit(0.75)).alias("q75"), F.percentile("c_acctbal", F.lit(0.25)).alias("q25"))
+    edges = quantiles(customers, [], "c_acctbal", {"q75": 0.75, "q25": 0.25})
     return customers.join(F.broadcast(edges)).select("c_custkey", S.flag(F.col("c_acctbal") >= F.col("q75")).alias("high"), S.flag(F.col("c_acctbal") <= F.col("q25")).alias("low"))  # one row
 
 
@@ -229,11 +231,26 @@ def jn10_semi_join(spark, d):
     return table(spark, d, "lineitem").join(keep, "l_orderkey", "left_semi").select(*LINE)
 
 
-@query(f"WITH {MOVES_SQL} SELECT game_id, ply, o_orderpriority FROM moves LEFT JOIN orders ON game_id = o_orderkey AND o_orderstatus <> 'P'")
+@query(f"WITH {MOVES_SQL} SELECT game_id, ply, o_orderpriority FROM moves JOIN orders ON game_id = o_orderkey")
 def jn11_merge_join(spark, d):
-    """JN11 and JN12: what the reference merges by file order, joined by key; unmatched rows stay with null."""
-    orders = table(spark, d, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("game_id"), "o_orderpriority")
-    return moves(spark, d).join(orders, "game_id", "left").select("game_id", "ply", "o_orderpriority")
+    """Moves in order meet orders in order; an absent order, or one behind the cursor, is an error."""
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("game_id"), F.col("o_orderkey").alias("line"), "o_orderpriority")
+    rows = moves(spark, d).select("game_id", "ply", F.struct("game_id", "ply").alias("place"))
+    return ordered.merge_join(rows, orders, "game_id", "place", "line").select("game_id", "ply", "o_orderpriority")
+
+
+@query("""WITH b AS (SELECT l_orderkey AS k, COUNT(*) AS n FROM lineitem WHERE l_orderkey <= (SELECT MAX(o_orderkey) * 3 // 4 FROM orders) GROUP BY 1),
+ a AS (SELECT o_orderkey AS k, o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)),
+ f AS (SELECT coalesce(MIN(k), 9223372036854775807) AS k FROM a WHERE k NOT IN (SELECT k FROM b))
+ SELECT a.k AS o_orderkey, o_custkey, n FROM a JOIN b USING (k) WHERE a.k < (SELECT k FROM f)""")
+def jn12_skip_tolerant_merge(spark, d):
+    """Orders that have lines meet groups of lines, of which the last quarter is missing: the right side's other groups
+    are skipped, and the first order that finds none ends the join."""
+    orders, lines = table(spark, d, "orders"), table(spark, d, "lineitem")
+    known = orders.join(lines.select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi").select("o_orderkey", "o_custkey", F.col("o_orderkey").alias("place"))
+    end = orders.agg(F.expr("max(o_orderkey) * 3 div 4").alias("__end"))
+    groups = lines.join(F.broadcast(end), F.col("l_orderkey") <= F.col("__end")).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))  # one row
+    return ordered.merge_join(known, groups.withColumn("line", F.col("o_orderkey")), "o_orderkey", "place", "line", absent="stop").select("o_orderkey", "o_custkey", "n")
 
 
 @query("SELECT u.user_id, y.day, coalesce(n, 0) AS n FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events) y LEFT JOIN (SELECT user_id, CAST(ts AS DATE) AS day, COUNT(*) AS n FROM events GROUP BY 1, 2) o ON o.user_id = u.user_id AND o.day = y.day")
@@ -311,8 +328,8 @@ def ag08_weighted_mean(spark, d):
 
 @query("SELECT l_returnflag, ROUND(quantile_cont(l_extendedprice, 0.1), 6) AS p10, ROUND(quantile_cont(l_extendedprice, 0.9), 6) AS p90, ROUND(quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25), 6) AS iqr FROM lineitem GROUP BY 1")
 def ag09_quantiles(spark, d):
-    p = lambda x: F.percentile("l_extendedprice", F.lit(x))
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(r6(p(0.1), "p10"), r6(p(0.9), "p90"), r6(p(0.75) - p(0.25), "iqr"))
+    out = quantiles(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", {"p10": 0.1, "p25": 0.25, "p75": 0.75, "p90": 0.9})
+    return out.select("l_returnflag", r6("p10", "p10"), r6("p90", "p90"), r6(F.col("p75") - F.col("p25"), "iqr"))
 
 
 @query(f"WITH {MOVES_SQL} SELECT game_id, mover, ROUND(AVG(cp_loss), 6) AS mean, ROUND(coalesce(stddev_samp(cp_loss), 0), 6) AS sd, ROUND(stddev_pop(time_spent), 6) AS population_sd FROM moves GROUP BY 1, 2")
@@ -364,9 +381,13 @@ def ag20_stacked_summaries(spark, d):
     return R.stacked_summaries(orders, ["status", "priority"], [F.count("*").alias("n")])
 
 
-@query(f"WITH {MOVES_SQL} SELECT game_id, COUNT(*) AS n, SUM(cp_loss)::BIGINT AS loss FROM moves GROUP BY 1")
+@query("""WITH e AS (SELECT event_type, event_id, ts, value, lag(event_type) OVER (ORDER BY ts, event_id) IS DISTINCT FROM event_type AS begins FROM events),
+ r AS (SELECT *, SUM(begins::INT) OVER (ORDER BY ts, event_id) AS run FROM e)
+ SELECT run::BIGINT AS run, event_type, COUNT(*) AS n, MIN(event_id) AS first_event, ROUND(SUM(value), 4) AS total FROM r GROUP BY ALL""")
 def ag22_runs_of_a_key(spark, d):
-    return moves(spark, d).groupBy("game_id").agg(F.count("*").alias("n"), F.sum("cp_loss").alias("loss"))
+    """Events in order of time: a type that comes back later is another group."""
+    events = table(spark, d, "events").select("event_type", "event_id", "value", F.struct("ts", "event_id").alias("place"))
+    return ordered.run_groups(events, "place", "event_type", [F.count("*").alias("n"), F.min("event_id").alias("first_event"), F.round(F.sum("value"), 4).alias("total")])
 
 
 @query("SELECT event_type, ROUND(COUNT(*) / SUM(COUNT(*)) OVER (), 6) AS share FROM events GROUP BY 1")

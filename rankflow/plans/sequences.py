@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rankflow.functions import scalar as S
 from rankflow.operators import moves as M
 from rankflow.operators import windows as W
+from rankflow.operators.ranges import with_ranks
 from rankflow.plans.fixtures import MOVES_SQL, moves, player_game
 from rankflow.plans.relational import r6
 from rankflow.plans.swiss import KEY, RANKS_SQL, SCORES_SQL, scored, standings
@@ -58,9 +59,8 @@ def wn06_ranks(spark, d):
     from rankflow.plans.fixtures import table
 
     rows = table(spark, d, "customer").select("c_custkey", F.floor(F.col("c_acctbal") / 100).alias("v"))
-    ranked = W.average_rank(rows, "v", "average_rank", "n")
-    least = ranked.groupBy("v").agg(F.count("*").alias("ties"))
-    return ranked.join(least, "v").select("c_custkey", "average_rank", (F.col("average_rank") - (F.col("ties") - 1) / 2).cast("long").alias("least_rank"), "n")
+    ranked = with_ranks(rows, "v", {"average": "average_rank", "least": "least_rank", "count": "n"})
+    return ranked.select("c_custkey", "average_rank", "least_rank", "n")
 
 
 @query(f"WITH {SCORES_SQL} SELECT tournament, round, player, COUNT(*) OVER (PARTITION BY tournament, round) AS field, MAX(round) OVER (PARTITION BY tournament) AS n_rounds, ROUND(SUM(accuracy) OVER (PARTITION BY tournament, round), 2) AS field_accuracy FROM scores")
