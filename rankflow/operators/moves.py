@@ -156,25 +156,6 @@ def hazard_rows(moves: DataFrame, edges: list[int], loss: int = 200) -> DataFram
     return ends.select(*SIDE, F.explode(at_risk).alias("phase"), "__failed").select(*SIDE, F.col("phase").cast("long").alias("phase"), flag(F.col("phase") == F.col("__failed")).alias("event"))
 
 
-def dynamics(moves: DataFrame, edge: int = 200, cap: int = 5000, following: int = 5) -> DataFrame:
-    """For each game and side: extremes and end of the evaluation from its view, what it fell to after the first +edge,
-    plies from there to the end, and the loss of the own moves that follow the first blunder."""
-    rows = moves.withColumn("__white", clip("eval_after_white", -cap, cap))
-    sides = rows.select("game_id", "ply", "is_white_move", "cp_loss", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"), "__white")
-    sides = sides.withColumn("__eval", F.when(F.col("side") == 1, F.col("__white")).otherwise(-F.col("__white"))).withColumn("__own", F.col("side") == F.col("is_white_move"))
-    per_side = Window.partitionBy("game_id", "side")
-    sides = sides.withColumn("__win", F.min(F.when(F.col("__eval") >= edge, F.col("ply"))).over(per_side))
-    sides = sides.withColumn("__n", F.when(F.col("__own"), F.sum(F.col("__own").cast("long")).over(per_side.orderBy("ply").rowsBetween(Window.unboundedPreceding, 0))))
-    sides = sides.withColumn("__fail", F.min(F.when(F.col("__own") & (F.col("cp_loss") >= 200), F.col("__n"))).over(per_side))
-    after = F.col("ply") > F.col("__win")
-    cascade = F.col("__own") & (F.col("__n") > F.col("__fail")) & (F.col("__n") <= F.col("__fail") + following)
-    return sides.groupBy("game_id", F.col("side").cast("long").alias("is_white_move")).agg(
-        F.max("__eval").alias("max_eval"), F.min("__eval").alias("min_eval"), F.max_by("__eval", "ply").alias("final_eval"), F.min("__win").alias("first_win_ply"),
-        F.min(F.when(after, F.col("__eval"))).alias("least_after_win"), (F.max("ply") - F.min("__win")).alias("conversion_plies"),
-        F.sum(F.when(cascade, F.col("cp_loss"))).alias("cascade_loss"), F.count_if(cascade & (F.col("cp_loss") >= 200)).alias("cascade_blunders"),
-    )
-
-
 def sequences(moves: DataFrame, fields: list[str], least: int, most: int) -> DataFrame:
     """For each game and mover, with at least `least` moves: the fields of its first `most` moves, in order of ply."""
     items = F.array_sort(F.collect_list(F.struct("ply", F.array(*(F.col(c).cast("long") for c in fields)).alias("token"))))

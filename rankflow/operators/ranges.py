@@ -131,21 +131,23 @@ def quantiles(df: DataFrame, keys: list[str], column: str, probabilities: dict[s
     rows = df.select(*keys, F.col(column).cast("double").alias("x"))
     names = list(probabilities)
     brackets = _brackets(rows, keys, list(probabilities.values()))
-    wide = brackets.groupBy(*keys).agg(F.max("total").alias("total"), F.array_sort(F.collect_list(F.struct("i", "low", "high"))).alias("b"))  # one for each probability
+    at = lambda i, c: F.max(F.when(F.col("i") == i, F.col(c)))
+    wide = brackets.groupBy(*keys).agg(*(at(i, c).alias(f"__{c}{i}") for i in range(len(names)) for c in ("low", "high")))
     few = wide.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
     inside = join_same(rows.where("x IS NOT NULL"), F.broadcast(wide) if few else wide, keys)
     # a value is counted as it is where some bracket holds it; below a bracket only their number matters
-    within = lambda b: (b.low.isNull() | (F.col("x") >= b.low)) & (b.high.isNull() | (F.col("x") <= b.high))
-    below = inside.groupBy(*keys).agg(*(F.count_if(F.col("x") < F.col("b")[i].low).alias(f"__below{i}") for i in range(len(names))))
-    held = inside.where(F.exists("b", within)).select(*keys, "x", F.explode(F.filter("b", within)).alias("b")).select(*keys, F.col("b.i").alias("__i"), "x")
+    low, high = ([F.col(f"__{c}{i}") for i in range(len(names))] for c in ("low", "high"))
+    within = [F.when((a.isNull() | (F.col("x") >= a)) & (b.isNull() | (F.col("x") <= b)), F.lit(i)) for i, (a, b) in enumerate(zip(low, high))]
+    below = inside.groupBy(*keys).agg(*(F.count_if(F.col("x") < a).alias(f"__below{i}") for i, a in enumerate(low)))
+    held = inside.where(F.coalesce(*within).isNotNull()).select(*keys, "x", F.explode(F.array_compact(F.array(*within))).alias("__i")).select(*keys, "__i", "x")
     counts = running_counts(held, [*keys, "__i"], "x")
     targets = join_same(brackets, below, keys, "left").withColumn("__below", F.coalesce(F.element_at(F.array(*(F.col(f"__below{i}") for i in range(len(names)))), F.col("i") + 1), F.lit(0)))
     targets = targets.select(*keys, F.col("i").alias("__i"), "fraction", (F.col("k") - F.col("__below")).alias("k"))
     found = join_same(counts.select(*keys, "__i", "x", "n", "upto"), F.broadcast(targets) if few else targets, [*keys, "__i"])
     holds = lambda k: (k > F.col("upto") - F.col("n")) & (k <= F.col("upto"))
     found = found.where(holds(F.col("k")) | holds(F.col("k") + 1))
-    low, high = F.max(F.when(holds(F.col("k")), F.col("x"))), F.max(F.when(holds(F.col("k") + 1), F.col("x")))
-    value = F.when(F.max("fraction") == 0, low).otherwise(low + (high - low) * F.max("fraction"))
+    a, b = F.max(F.when(holds(F.col("k")), F.col("x"))), F.max(F.when(holds(F.col("k") + 1), F.col("x")))
+    value = F.when(F.max("fraction") == 0, a).otherwise(a + (b - a) * F.max("fraction"))
     values = found.groupBy(*keys, "__i").agg(value.alias("__q"))
     one = lambda i, name: F.max(F.when(F.col("__i") == i, F.col("__q"))).alias(name)
     values = values.groupBy(*keys).agg(*(one(i, name) for i, name in enumerate(names)))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rankflow.functions import scalar as S
+from rankflow.operators import accumulate as A
 from rankflow.operators import moves as M
 from rankflow.operators import windows as W
 from rankflow.operators.ranges import with_ranks
@@ -128,15 +129,66 @@ def wn18_around_low_clock(spark, d):
     return out.select("game_id", "is_white_move", r6("loss_before", "loss_before"), r6("loss_after", "loss_after"), "recovered")
 
 
-@query(f"""WITH {MOVES_SQL}, s AS (SELECT game_id, ply, is_white_move, cp_loss, side, CASE WHEN side = 1 THEN eval_after_white ELSE -eval_after_white END AS e FROM moves, (VALUES (0), (1)) v(side)),
- w AS (SELECT *, MIN(CASE WHEN e >= 200 THEN ply END) OVER (PARTITION BY game_id, side) AS win, side = is_white_move AS own,
-  CASE WHEN side = is_white_move THEN SUM(CASE WHEN side = is_white_move THEN 1 ELSE 0 END) OVER (PARTITION BY game_id, side ORDER BY ply) END AS n FROM s),
- x AS (SELECT *, MIN(CASE WHEN own AND cp_loss >= 200 THEN n END) OVER (PARTITION BY game_id, side) AS fail FROM w)
- SELECT game_id, CAST(side AS BIGINT) AS is_white_move, MAX(e) AS max_eval, MIN(e) AS min_eval, arg_max(e, ply) AS final_eval, MIN(win) AS first_win_ply, MIN(CASE WHEN ply > win THEN e END) AS least_after_win, MAX(ply) - MIN(win) AS conversion_plies,
-  CAST(SUM(CASE WHEN own AND n > fail AND n <= fail + 5 THEN cp_loss END) AS BIGINT) AS cascade_loss, COUNT(*) FILTER (WHERE own AND n > fail AND n <= fail + 5 AND cp_loss >= 200) AS cascade_blunders FROM x GROUP BY 1, 2""")
+SIDES_SQL = """s AS (SELECT game_id, ply, fullmove, is_white_move, coalesce(cp_loss, 0)::DOUBLE AS loss, side, CASE WHEN side = 1 THEN v ELSE -v END AS e, side = is_white_move AS own
+  FROM (SELECT *, CASE WHEN (game_id + ply) % 13 <> 0 THEN greatest(-300, least(300, eval_after_white)) END AS v FROM moves), (VALUES (0), (1)) x(side)),
+ w AS (SELECT *, SUM(own::INT) OVER (PARTITION BY game_id, side ORDER BY ply) AS n, MIN(CASE WHEN e >= 90 THEN ply END) OVER p AS win, MIN(CASE WHEN e <= -90 THEN ply END) OVER p AS lost FROM s WINDOW p AS (PARTITION BY game_id, side)),
+ x AS (SELECT *, MIN(CASE WHEN own AND loss >= 200 THEN n END) OVER (PARTITION BY game_id, side) AS failed FROM w)"""
+NEXT = "FILTER (WHERE own AND n > failed AND n <= failed + 2)"
+
+
+@query(f"""WITH {MOVES_SQL}, {SIDES_SQL}, o AS (SELECT game_id, CAST(side AS BIGINT) AS is_white_move, COUNT(*) AS position_count, COUNT(*) FILTER (WHERE own) AS own_move_count, MAX(e) AS max_eval_player_cp, MIN(e) AS min_eval_player_cp,
+  arg_max(e, ply) AS final_eval_player_cp, MIN(win) AS first_plus2_ply, MIN(lost) AS first_minus2_ply, MAX(e) FILTER (WHERE ply >= win) AS max_after_plus2_cp, MIN(e) FILTER (WHERE ply >= win) AS min_after_plus2_cp,
+  arg_max(e, ply) FILTER (WHERE ply >= win) AS final_after_plus2_cp, MAX(e) FILTER (WHERE ply >= win) - MIN(e) FILTER (WHERE ply >= win) AS advantage_loss_after_plus2_cp,
+  bool_or(e < 0) FILTER (WHERE ply >= win)::BIGINT AS dropped_below_equal_after_plus2, bool_or(e < 40) FILTER (WHERE ply >= win)::BIGINT AS dropped_below_plus1_after_plus2, MAX(ply) - MIN(win) AS conversion_speed_plies,
+  MAX(e) FILTER (WHERE ply >= lost) AS best_after_minus2_cp, arg_max(e, ply) FILTER (WHERE ply >= lost) AS final_after_minus2_cp, bool_or(e >= -40) FILTER (WHERE ply >= lost)::BIGINT AS recovered_to_equal_after_minus2,
+  bool_or(e >= 40) FILTER (WHERE ply >= lost)::BIGINT AS recovered_to_plus1_after_minus2, MAX(e) FILTER (WHERE ply >= lost) - MAX(e) FILTER (WHERE ply = lost) AS defensive_recovery_after_minus2_cp,
+  MIN(ply) FILTER (WHERE own AND n = failed) AS first_blunder_ply_dynamic, MIN(fullmove) FILTER (WHERE own AND n = failed) AS first_blunder_move_dynamic, MIN(fullmove) FILTER (WHERE own AND loss >= 100) AS first_mistake_move_dynamic,
+  bool_or(loss >= 200) {NEXT}::BIGINT AS cascade_blunder_next5, bool_or(loss >= 100) {NEXT}::BIGINT AS cascade_mistake_next5, AVG(loss) {NEXT} AS mean_cp_loss_next5_after_blunder, MAX(loss) {NEXT} AS max_cp_loss_next5_after_blunder,
+  MAX(e) FILTER (WHERE own AND n = failed) AS eval_after_first_blunder_cp, MAX(e) {NEXT} AS best_eval_next5_after_blunder_cp, MIN(e) {NEXT} AS worst_eval_next5_after_blunder_cp FROM x GROUP BY 1, 2)
+ SELECT *, (best_eval_next5_after_blunder_cp >= -40)::BIGINT AS recovered_to_equal_next5_after_blunder, eval_after_first_blunder_cp - worst_eval_next5_after_blunder_cp AS additional_eval_drop_next5_after_blunder_cp FROM o WHERE own_move_count > 0""")
 def mv21_dynamics(spark, d):
-    """MV21, WN19 and WN20."""
-    return M.dynamics(moves(spark, d))
+    """MV21, WN19 and WN20: all 33 features, at edges that these short games reach."""
+    rows = moves(spark, d).withColumn("eval_after_white", F.when((F.col("game_id") + F.col("ply")) % 13 != 0, F.col("eval_after_white")))
+    out = A.dynamics(rows, edge=90, equal=40, cap=300, following=2)
+    return out.select(*(F.col(c).cast("long").alias(c) if c.endswith("_cp") and not c.startswith(("mean", "max_cp")) else F.col(c) for c in out.columns))
+
+
+PHASE_BOUNDS = {"opening_1_10": "fullmove <= 1", "early_middlegame_11_20": "fullmove = 2", "late_middlegame_21_35": "fullmove = 3", "endgame_36_plus": "fullmove > 3"}
+_mean = lambda x, where, name: f"ROUND(AVG({x}) FILTER (WHERE {where}), 6) AS {name}"
+_share = lambda x, where, name: f"ROUND(AVG(({x})::INT) FILTER (WHERE {where}), 6) AS {name}"
+CLOCKS_SQL = ", ".join([
+    "COUNT(*) AS n_moves, MAX(ply) AS max_ply, ROUND(AVG(c), 6) AS mean_cp_loss_cap, SUM(c)::DOUBLE AS total_cp_loss_cap, SUM(s)::BIGINT AS total_time_spent, ROUND(AVG(s), 6) AS mean_time_spent, ROUND(stddev_pop(s), 6) AS sd_time_spent, MAX(s) AS max_time_spent",
+    "ROUND(AVG(b), 6) AS mean_time_before, ROUND(AVG(a), 6) AS mean_time_after, MIN(b) AS min_time_before, MIN(a) AS min_time_after, arg_max(a, ply) AS final_time_after",
+    *(_share(f"cp_loss >= {t}", "true", f"{n}_rate") for n, t in (("blunder", 200), ("mistake", 100), ("inaccuracy", 50))), *(f"arg_max(a, ply) FILTER (WHERE fullmove = {k}) AS time_after_move_{k}" for k in (1, 2, 3)),
+    *(_share(f"{c} <= {t}", "true", f"low_{n}_{t}_share") for c, n in (("b", "before"), ("a", "after")) for t in (5, 10, 30)), *(f"coalesce(MIN(ply) FILTER (WHERE a <= {t}), 0) AS first_low_after_{t}_ply" for t in (10, 30)),
+    _share("s <= 1", "true", "fast_moves_le_1s_share"), *(_share(f"s >= {t}", "true", f"think_moves_ge_{t}s_share") for t in (10, 20, 30)),
+    _mean("c", "b <= 10", "mean_cp_low_before_10"), _mean("c", "b > 10", "mean_cp_nonlow_before_10"), _share("cp_loss >= 200", "b <= 10", "blunder_rate_low_before_10"), _share("cp_loss >= 200", "b > 10", "blunder_rate_nonlow_before_10"),
+    "ROUND(AVG(coalesce(abs(eb) <= 100, false)::INT), 6) AS critical_share", _mean("s", "abs(eb) <= 100", "mean_time_critical"), _mean("c", "abs(eb) <= 100", "mean_cp_critical"), _share("cp_loss >= 200", "abs(eb) <= 100", "blunder_rate_critical"),
+    _share("b <= 10", "abs(eb) <= 100", "critical_low_before_10_share"),
+    *(f"COUNT(*) FILTER (WHERE {w} AND {x}) > 0 AS {n}" for n, w, x in (("reached_winning_position", "ea >= 200", "true"), ("reached_losing_position", "ea <= -200", "true"), ("converted_winning_position", "ea >= 200", "r = 1"), ("escaped_losing_position", "ea <= -200", "r >= 0.5"))),
+    *(f"coalesce(MIN(ply) FILTER (WHERE {w}), 0) AS first_{n}_ply, arg_min(a, ply) FILTER (WHERE {w}) AS first_{n}_time_after, coalesce(arg_min((a <= 10)::BIGINT, ply) FILTER (WHERE {w}), 0) AS first_{n}_low_after_10" for n, w in (("winning", "ea >= 200"), ("losing", "ea <= -200"))),
+    "coalesce(MIN(ply) FILTER (WHERE cp_loss >= 200), 0) AS first_blunder_ply, coalesce(arg_min((b <= 10)::BIGINT, ply) FILTER (WHERE cp_loss >= 200), 0) AS first_blunder_low_before_10",
+    _mean("c", "ply > final_ply - 2", "last10_mean_cp"), _mean("s", "ply > final_ply - 2", "last10_mean_time_spent"), _share("b <= 10", "ply > final_ply - 2", "last10_low_before_10_share"), _share("cp_loss >= 200", "ply > final_ply - 2", "last10_blunder_rate"),
+    *(f"COUNT(*) FILTER (WHERE {w}) AS {p}_moves, " + ", ".join([_mean("s", w, f"{p}_mean_time_spent"), _mean("c", w, f"{p}_mean_cp"), _share("b <= 10", w, f"{p}_low_before_10_share"), _share("cp_loss >= 200", w, f"{p}_blunder_rate")]) for p, w in PHASE_BOUNDS.items()),
+]).replace(") > 0 AS", ")::BIGINT > 0 AS")
+
+
+@query(f"""WITH {CLOCK_SQL}, r AS (SELECT game_id, is_white_move, ply, fullmove, cp_loss, least(cp_loss, 250) AS c, time_before AS b, time_after AS a, time_spent AS s, MAX(ply) OVER (PARTITION BY game_id) AS final_ply,
+  CASE WHEN is_white_move = 1 THEN eval_before_white ELSE -eval_before_white END AS eb, CASE WHEN (game_id + ply) % 13 = 0 THEN NULL WHEN is_white_move = 1 THEN eval_after_white ELSE -eval_after_white END AS ea,
+  CASE WHEN is_white_move = 1 THEN game_id % 3 / 2 ELSE 1 - game_id % 3 / 2 END AS r FROM clocked)
+ SELECT game_id, is_white_move, {CLOCKS_SQL} FROM r WHERE (game_id + ply) % 11 <> 0 GROUP BY 1, 2""")
+def ag16_player_game_clocks(spark, d):
+    """The wide accumulator: 65 features of a side's game and five of each of four phases, one aggregation."""
+    mark = F.col("game_id") + F.col("ply")
+    score = F.col("game_id") % 3 / 2
+    rows = clocked(spark, d).withColumns({
+        "time_spent": F.when(mark % 11 != 0, F.col("time_spent")), "eval_before": M.mover_view("eval_before_white"), "eval_after": F.when(mark % 13 != 0, M.mover_view("eval_after_white")),
+        "result": F.when(F.col("is_white_move") == 1, score).otherwise(1 - score),
+    })
+    out = A.player_game_clocks(rows, A.clock_features(250.0, (1, 2, 3), 2, (1, 2, 3)))
+    yes = ("reached", "converted", "escaped")
+    kinds = dict(out.dtypes)
+    return out.select(*((F.col(c) == 1).alias(c) if c.startswith(yes) else r6(c, c) if kinds[c] == "double" else F.col(c) for c in out.columns))
 
 
 @query(f"WITH {MOVES_SQL} SELECT game_id, ply, GREATEST(0, CASE WHEN is_white_move = 1 THEN eval_before_white - eval_after_white ELSE eval_after_white - eval_before_white END) AS loss FROM moves")
