@@ -193,11 +193,25 @@ def position_key(fen) -> Column:
     return F.substring_index(col(fen), " ", 4)
 
 
+def outside_parentheses(text) -> Column:
+    """Text without what stands in parentheses, nested to any depth: one pass over the pieces between parentheses that
+    counts how deep it is. What follows a parenthesis that is never closed is inside it; one that closes nothing is left
+    out alone."""
+
+    def step(state, piece):
+        mark = F.substring(piece, 1, 1)
+        depth = F.greatest(F.lit(0), state.depth + F.when(mark == "(", 1).when(mark == ")", -1).otherwise(0))
+        own = F.when(mark.isin("(", ")"), F.substring(piece, F.lit(2), F.length(piece))).otherwise(piece)
+        return F.struct(depth.alias("depth"), F.when(depth == 0, F.concat_ws(" ", state.out, own)).otherwise(state.out).alias("out"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
+    return F.aggregate(F.split(col(text), r"(?=[()])"), start, step, lambda state: state.out)
+
+
 def bare_moves(movetext) -> Column:
-    """Movetext as an array of moves: comments, nested variations (five deep), glyphs, numbers and results removed."""
+    """Movetext as an array of moves: comments, variations nested to any depth, glyphs, numbers and results removed."""
     out = F.regexp_replace(F.regexp_replace(col(movetext), r"\{[^}]*\}", " "), r";[^\n]*", " ")
-    for _ in range(5):
-        out = F.regexp_replace(out, r"\([^()]*\)", " ")
-    out = F.regexp_replace(out, r"\$\d+|\b(?:1-0|0-1|1/2-1/2)(?!\S)|(?<!\S)\*(?!\S)", " ")
+    out = F.regexp_replace(outside_parentheses(out), r"\$\d+|\b(?:1-0|0-1|1/2-1/2)(?!\S)|(?<!\S)\*(?!\S)", " ")
     out = F.regexp_replace(out, r"\d+\.+", " ")
     return F.filter(F.split(out, r"\s+"), lambda x: x != "")
+

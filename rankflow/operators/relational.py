@@ -58,6 +58,19 @@ def prefix_matches(left: DataFrame, right: DataFrame, left_text: str, right_text
     return pairs[0].unionByName(pairs[1]).distinct()
 
 
+def band_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], left_value: str, right_value: str, width: float) -> DataFrame:
+    """Pairs of rows with equal keys (left and right names) whose values differ by at most width: values fall into buckets
+    of that width, a left row meets the rows of its own bucket and of both neighbours by equality, and the difference is
+    tested then. Work follows the pairs of neighbouring buckets, not those of a key."""
+    bucket = lambda c: F.floor(F.col(c).cast("double") / F.lit(float(width)))
+    near = left.where(F.col(left_value).isNotNull()).withColumn("__bucket", F.explode(F.transform(F.array(*(F.lit(k) for k in (-1, 0, 1))), lambda k: bucket(left_value) + k)))
+    own = right.where(F.col(right_value).isNotNull()).withColumn("__own", bucket(right_value))
+    met = F.col("__bucket") == F.col("__own")
+    for a, b in on:
+        met = met & (left[a] == right[b])
+    return near.join(own, met & (F.abs(F.col(left_value) - F.col(right_value)) <= width)).drop("__bucket", "__own")
+
+
 def fill_blanks(main: DataFrame, other: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Full outer merge of two tables of one row for each key: main's values, blanks filled from other, new keys added."""
     blank = lambda c: F.when(F.trim(c) == "", None).otherwise(F.col(c))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["swiss", "relational", "sequences", "text", "analysis", "streams"]
+MODULES = ["swiss", "relational", "sequences", "text", "analysis", "streams", "tables"]
 
 
 def _all(name: str) -> dict:

@@ -91,14 +91,18 @@ def st09_stars(spark, d):
     return mean.select("l_returnflag", F.concat(F.format_string("%.3f", "m"), S.stars("m")).alias("cell"))
 
 
-MOVETEXT = "1. e4 {[%clk 0:02:59.9]} e5 {[%clk 0:03:00]} 2. Nf3 $1 (2. f4 exf4 (2... d5 3. exd5) 3. Nf3) Nc6 {[%clk 0:02:58.1]} 3. Bb5 a6 1/2-1/2"
-
-
-@query("SELECT o_orderkey, ['e4', 'e5', 'Nf3', 'Nc6', 'Bb5', 'a6'][1:CAST(o_orderkey % 6 + 1 AS BIGINT)] AS moves, CAST(3 AS BIGINT) AS n_clocks, CAST(179.9 AS DOUBLE) AS first_clock FROM orders")
+@query("""SELECT l_orderkey, list(['e4', 'Nf3', 'O-O', 'exd5', 'Qh5+'][l_partkey % 5 + 1] ORDER BY l_linenumber, l_partkey, l_suppkey) AS moves, COUNT(*) AS n_clocks,
+ arg_min(l_suppkey % 60 / 10, (l_linenumber, l_partkey, l_suppkey))::DOUBLE AS first_clock FROM lineitem GROUP BY 1""")
 def st11_bare_moves(spark, d):
-    """ST11 and the clocks of MV04 on a movetext with comments, glyphs and nested variations."""
-    text = F.lit(MOVETEXT)
-    return table(spark, d, "orders").select("o_orderkey", F.slice(S.bare_moves(text), F.lit(1), (F.col("o_orderkey") % 6 + 1).cast("int")).alias("moves"), F.size(M.clocks_of(text)).cast("long").alias("n_clocks"), F.get(M.clocks_of(text), F.lit(0)).alias("first_clock"))
+    """ST11 and the clocks of MV04 on movetexts made of an order's lines: comments with clocks and parentheses in them,
+    glyphs, and variations as deep as the line's quantity (1 to 50)."""
+    name = F.element_at(F.array(*(F.lit(x) for x in ("e4", "Nf3", "O-O", "exd5", "Qh5+"))), (F.col("l_partkey") % 5 + 1).cast("int"))
+    deep = F.floor("l_quantity").cast("int")
+    second = F.format_number(F.col("l_suppkey") % 60 / 10, 1)
+    move = F.concat(F.col("l_linenumber"), F.lit(". "), name, F.lit(" $1 {[%clk 0:00:0"), second, F.lit("] (so) far} "), F.repeat(F.lit("(1... c5 "), deep), F.repeat(F.lit("d4) "), deep))
+    lines = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", move.alias("move"))))
+    games = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.concat(F.array_join(F.transform(lines, lambda x: x.move), " "), F.lit(" 1/2-1/2")).alias("movetext"))  # an order's lines
+    return games.select("l_orderkey", S.bare_moves("movetext").alias("moves"), F.size(M.clocks_of(F.col("movetext"))).cast("long").alias("n_clocks"), F.get(M.clocks_of(F.col("movetext")), F.lit(0)).alias("first_clock"))
 
 
 @query("SELECT event_id, ts AS parsed, CAST(hour(ts) + minute(ts) / 60 AS DOUBLE) AS decimal_hour FROM (SELECT event_id, date_trunc('minute', ts) AS ts FROM events) WHERE event_id % 4 <> 3 UNION ALL SELECT event_id, NULL, NULL FROM events WHERE event_id % 4 = 3")

@@ -8,9 +8,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankflow.sources.sinks import VersionedTable
+
 
 def read_stream(spark: SparkSession, path: str, time: str | None = None) -> DataFrame:
     """A stream of Parquet files under path (a folder, or one file), with the time column as a timestamp."""
@@ -40,6 +42,18 @@ def process_unseen(stream: DataFrame, key: str, path: str, transform: Callable[[
     return spark.read.parquet(f"{path}/data").drop("batch")
 
 
+def process_growing(games: DataFrame, key: Column, path: str, transform: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """One poll of files that grow: complete games (sources.files.read_complete_pgn) whose id is not in the table at path
+    yet are transformed and committed to it as a new version; games still half-written come with a later poll, once. Ids
+    that repeat in the input count once, games without one not at all. The table keeps the id as `game_id`."""
+    table = VersionedTable(games.sparkSession, path)
+    fresh = games.withColumn("game_id", key).where("game_id IS NOT NULL AND game_id <> ''").dropDuplicates(["game_id"])
+    if table.version() is not None:
+        fresh = fresh.join(table.read().select("game_id"), "game_id", "left_anti")
+    table.append(transform(fresh))
+    return table.read()
+
+
 def counted_windows(stream: DataFrame, time: str, keys: list[str], width: str, slide: str | None, late: str, path: str) -> DataFrame:
     """start, keys, n of tumbling (or sliding) windows; the state of windows later than the watermark is dropped."""
     windows = F.window(time, width, slide) if slide else F.window(time, width)

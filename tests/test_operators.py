@@ -182,7 +182,17 @@ def test_sinks(spark, tmp_path):
     assert [x for x in lines if x != "k,x,s"] == ["1,0.5,a", "2,,", "3,0,c"]
     sinks.replace_table(df, f"{tmp_path}/t")
     sinks.replace_table(df.limit(1), f"{tmp_path}/t")
-    assert spark.read.parquet(f"{tmp_path}/t").count() == 1
+    kept = sinks.VersionedTable(spark, f"{tmp_path}/t")
+    assert kept.read().count() == 1 and kept.read(0).count() == 3
+    kept.replace(kept.read(0).union(kept.read()))  # a version made of the table itself
+    kept.append(df)
+    assert len(kept.folders()) == 2 and kept.compact(1) == 4 and kept.read().count() == 7 and len(kept.folders()) == 1
+    half = kept._write(df)  # a writer that is lost before its commit changes nothing
+    assert half and kept.version() == 4 and kept.read().count() == 7
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        kept._commit([half], 4)
+    with pytest.raises(ValueError, match="no version 9"):
+        kept.read(9)
     assert '"rows": 3' in sinks.write_with_summary(df, f"{tmp_path}/s", {"p": 1})
     assert sinks.rewrite_columns(df, {"s": F.lit("n")}, "k").columns == ["k", "s", "x"]
     assert sinks.markdown_table(df.limit(1)).splitlines()[2] == "| 1 | 0.5000 | a |"
@@ -204,3 +214,40 @@ def test_inverse_propensity_against_numpy(spark):
     assert [rows[i].propensity for i in range(300)] == pytest.approx(p.tolist(), abs=1e-4)
     assert [rows[i].weight for i in range(300)] == pytest.approx(np.where(y == 1, 1 / p, 1 / (1 - p)).tolist(), rel=1e-3)
     assert rows[900].propensity is None and rows[900].weight is None and rows[901].propensity is not None and rows[901].weight is None
+
+
+def test_csv_set_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,v\n1,10\n")
+    (tmp_path / "b.csv").write_text("v,id\n20,2\n")
+    (tmp_path / "c.csv").write_text('\ufeffid,"tags, all",v,p\n3,"[""x"",""y""]",30,1.255\n')
+    (tmp_path / "d.csv").write_text("id\nx\n")
+    rows = files.read_csv(spark, str(tmp_path), "id long, v int, p decimal(10,2), `tags, all` array<string>", required=["id"], escape='"').collect()
+    got = sorted((r.source_file[-5:], r.id, r.v, None if r.p is None else str(r.p), r["tags, all"]) for r in rows)
+    assert got == [("a.csv", 1, 10, None, None), ("b.csv", 2, 20, None, None), ("c.csv", 3, 30, "1.26", ["x", "y"]), ("d.csv", None, None, None, None)]
+    with pytest.raises(ValueError, match="missing columns: v in .*d.csv"):
+        files.read_csv(spark, str(tmp_path), "id long, v int")
+
+
+def test_complete_games_only(spark, tmp_path):
+    whole = PGN.rstrip("\n") + "\n\n"
+    tails = {"a": "", "b": '[Event "C"]\n', "c": '[Event "C"]\n[Site "s"]\n\n', "d": '[Event "C"]\n\n1. e4 e5\n2. ', "e": '[Event "C"]\n\n1. e4 *', "f": '[Event "C"]\r\n\r\n1. e4 *\r\n\r\n', "g": '[Event "C"]\n\n1. e4\n\n[Event "D"]\n'}
+    want = {"a": 2, "b": 2, "c": 2, "d": 2, "e": 2, "f": 3, "g": 3}
+    for name, tail in tails.items():
+        (tmp_path / f"{name}.pgn").write_bytes((whole + tail).encode())
+    got = files.read_complete_pgn(spark, str(tmp_path)).groupBy("source_file").count().collect()
+    assert {r.source_file[-5]: r["count"] for r in got} == want
+
+
+def test_variations_of_any_depth(spark):
+    deep = "1. e4 " + "(a " * 50 + "b" + " c)" * 50 + " e5 (x (y) z) 2. Nf3 {( not one} Nc6 ) Bb5 (open"
+    cases = [(deep,), ("(",), ("",), (None,), ("a(b)c",)]
+    got = [r.m for r in spark.createDataFrame(cases, "t string").select(S.bare_moves("t").alias("m")).collect()]
+    assert got == [["e4", "e5", "Nf3", "Nc6", "Bb5"], [], [], None, ["a", "c"]]
+
+
+def test_band_join(spark):
+    pick = random.Random(9)
+    a = [(i, pick.choice("xy"), pick.choice([None, round(pick.uniform(-50, 50), 1)])) for i in range(150)]
+    b = [(i, pick.choice("xyz"), float(pick.randint(-50, 50))) for i in range(150)]
+    got = R.band_join(spark.createDataFrame(a, "i int, g string, v double"), spark.createDataFrame(b, "j int, h string, w double"), [("g", "h")], "v", "w", 2.5)
+    assert sorted((r.i, r.j) for r in got.collect()) == sorted((i, j) for i, g, v in a for j, h, w in b if g == h and v is not None and abs(v - w) <= 2.5)
