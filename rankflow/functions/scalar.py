@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rankflow.functions.names import folded
+
 
 def col(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -139,15 +141,6 @@ def stars(p) -> Column:
     return bins(p, [0.01, 0.05, 0.1], ["***", "**", "*", ""], right=False)
 
 
-#: Letters with accents, and what stands for them.
-ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿšžœøłđ", "aaaaaaceeeeiiiinooooouuuuyyszoold"
-
-
-def folded(text) -> Column:
-    """Lower case, accents of ACCENTED dropped, everything but letters and digits as single blanks."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(col(text)), ACCENTED, PLAIN), r"[^a-z0-9]+", " "))
-
-
 def swapped_name(text) -> Column:
     """`Last, First` as `First Last`; other names unchanged."""
     return F.when(col(text).contains(","), F.regexp_replace(col(text), r"^\s*([^,]*?)\s*,\s*(.*?)\s*$", "$2 $1")).otherwise(F.trim(col(text)))

@@ -1,8 +1,8 @@
 """Estimators on distributed panels: absorbed fixed effects, clustered errors, tests and adjustments.
 
 Spark forms the sums (group means, cross products, scores of clusters); the driver only solves systems of as many rows as
-there are regressors. Fixed effects are absorbed by alternating group demeaning until the largest change of a mean falls
-under a tolerance; means are partial aggregates joined back, so a large group is no bottleneck.
+there are regressors. Fixed effects are absorbed by group means, or, if there are several, by conjugate gradients over the
+sums of their distinct combinations; sums are partial aggregates joined back, so a large group is no bottleneck.
 """
 
 from __future__ import annotations
@@ -15,32 +15,106 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankflow.operators.ranges import adjusted_p_values, quantiles
+from rankflow.shared import written
 
 
-def _shared(df: DataFrame) -> DataFrame:
-    """Cut lineage between demeaning rounds with checkpoint() in the cluster's shared folder."""
-    context = df.sparkSession.sparkContext
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
-        context.setCheckpointDir("/tmp/checkpoints")
-    return df.checkpoint()
+#: Cells of effects that are solved in the driver's memory (some 100 bytes each); with more of them Spark solves.
+DRIVER_CELLS = 200_000
 
 
-def demean(df: DataFrame, columns: list[str], effects: list[str], weight: str | None = None, tolerance: float = 1e-9, most: int = 100) -> DataFrame:
-    """columns less the means of each effect's groups. One effect takes one round; several take rounds until every mean
-    that is taken off is under tolerance, `most` at most."""
+def demean(df: DataFrame, columns: list[str], effects: list[str], weight: str | None = None, tolerance: float = 1e-10, most: int = 1000) -> DataFrame:
+    """columns less what the effects' groups explain of them. One effect: the (weighted) means of its groups. Several: the
+    least-squares fit of a value for each level of each effect, by conjugate gradients over the sums of the distinct
+    combinations of levels (cells); rows are read once for these and once for the fit. An effect without convergence
+    within `most` steps is an error. Rows with a null effect are left out."""
+    df = df.dropna(subset=effects)
     w = F.col(weight) if weight else F.lit(1.0)
+    if len(effects) == 1:
+        means = df.groupBy(*effects).agg(*(F.try_divide(F.sum(w * F.col(c)), F.sum(w)).alias(f"__{c}") for c in columns))
+        fits = [means.withColumnRenamed(effects[0], "__level")]
+    else:
+        names = [f"__e{i}" for i in range(len(effects))]
+        cells = df.groupBy(*(F.col(e).alias(n) for e, n in zip(effects, names))).agg(F.sum(w).alias("__w"), *(F.sum(w * F.col(c)).alias(f"__{c}") for c in columns))
+        cells = written(cells.where("__w > 0"))
+        solve = _solve_here if cells.limit(DRIVER_CELLS + 1).count() <= DRIVER_CELLS else _solve_in_tables
+        fits = solve(cells, names, [f"__{c}" for c in columns], tolerance, most)
+    out = df
+    for effect, fit in zip(effects, fits):
+        out = out.join(fit, out[effect] == fit["__level"]).withColumns({c: F.col(c) - F.col(f"__{c}") for c in columns}).drop("__level", *(f"__{c}" for c in columns))
+    return out
+
+
+def _solve_here(cells: DataFrame, effects: list[str], sums: list[str], tolerance: float, most: int) -> list[DataFrame]:
+    """For each effect: __level and a fit of each sum. Of few cells, as arrays."""
+    rows = cells.toPandas()  # DRIVER_CELLS at most
+    weight, right = rows["__w"].to_numpy(float), rows[sums].to_numpy(float)
+    levels, codes = zip(*(np.unique(rows[e].to_numpy(), return_inverse=True) for e in effects))
+    starts = np.concatenate([[0], np.cumsum([len(x) for x in levels])])
+
+    def gather(x: np.ndarray) -> np.ndarray:  # sums of cells by level
+        return np.concatenate([np.column_stack([np.bincount(c, col, len(v)) for col in x.T]) for c, v in zip(codes, levels)])
+
+    def apply(p: np.ndarray) -> np.ndarray:
+        return gather(weight[:, None] * sum(p[start + c] for start, c in zip(starts, codes)))
+
+    diagonal = gather(weight[:, None])
+    r = b = gather(right)
+    a, p = np.zeros_like(b), r / diagonal
+    rz, scale = (r * p).sum(axis=0), np.sqrt((b * b / diagonal).sum(axis=0))
     for _ in range(most):
-        moved = 0.0
-        for effect in effects:
-            means = df.groupBy(effect).agg(*(F.try_divide(F.sum(w * F.col(c)), F.sum(w)).alias(f"__{c}") for c in columns))
-            df = df.join(means, effect).withColumns({c: F.col(c) - F.col(f"__{c}") for c in columns})
-            if len(effects) > 1:
-                df = _shared(df)
-                moved = max(moved, *(x or 0.0 for x in df.agg(*(F.max(F.abs(f"__{c}")) for c in columns)).first()))
-            df = df.drop(*(f"__{c}" for c in columns))
-        if moved < tolerance:
+        if (np.sqrt(rz) <= tolerance * scale).all():
             break
-    return df
+        q = apply(p)
+        step = np.divide(rz, (p * q).sum(axis=0), out=np.zeros_like(rz), where=rz > 0)
+        a, r = a + step * p, r - step * q
+        z = r / diagonal
+        new = (r * z).sum(axis=0)
+        p = z + np.divide(new, rz, out=np.zeros_like(rz), where=rz > 0) * p
+        rz = new
+    else:
+        raise ValueError(f"the effects did not converge within {most} steps")
+    out = []
+    for effect, own, start in zip(effects, levels, starts):
+        data = [(x.item() if hasattr(x, "item") else x, *map(float, a[start + i])) for i, x in enumerate(own)]
+        kind = cells.schema[effect].dataType.simpleString()
+        out.append(cells.sparkSession.createDataFrame(data, f"__level {kind}, " + ", ".join(f"{c} double" for c in sums)))
+    return out
+
+
+def _solve_in_tables(cells: DataFrame, effects: list[str], sums: list[str], tolerance: float, most: int) -> list[DataFrame]:
+    """The same of any number of cells. The state (fit, rest, direction, diagonal) of all levels is a table; a step joins
+    the directions with the cells, sums them there, and sums the cells by level."""
+    k = range(len(sums))
+    cells = written(cells.select(F.monotonically_increasing_id().alias("cell"), "*"))
+    names = F.array(*(F.struct(F.lit(i).alias("effect"), F.col(e).cast("string").alias("level")) for i, e in enumerate(effects)))
+    long = written(cells.select("cell", F.col("__w").alias("w"), *(F.col(c).alias(f"s{j}") for j, c in enumerate(sums)), F.inline(names)))
+    level = ["effect", "level"]
+    state = long.groupBy(*level).agg(F.sum("w").alias("d"), *(F.sum(f"s{j}").alias(f"r{j}") for j in k))
+    state = written(state.select(*level, "d", *(F.lit(0.0).alias(f"a{j}") for j in k), *(f"r{j}" for j in k), *((F.col(f"r{j}") / F.col("d")).alias(f"p{j}") for j in k)))
+    total = lambda df, x, y: np.array([v or 0.0 for v in df.agg(*(F.sum(x(j) * y(j)) for j in k)).first()])
+    col = lambda name: lambda j: F.col(f"{name}{j}")
+    rz = total(state, col("r"), col("p"))
+    scale = np.sqrt(rz)
+    for _ in range(most):
+        if (np.sqrt(rz) <= tolerance * scale).all():
+            break
+        of_cell = long.join(state.select(*level, *(f"p{j}" for j in k)), level).groupBy("cell").agg(F.first("w").alias("w"), *(F.sum(f"p{j}").alias(f"p{j}") for j in k))
+        of_cell = of_cell.select("cell", *((F.col("w") * F.col(f"p{j}")).alias(f"q{j}") for j in k))
+        q = long.select("cell", *level).join(of_cell, "cell").groupBy(*level).agg(*(F.sum(f"q{j}").alias(f"q{j}") for j in k))
+        state = written(state.join(q, level))
+        pq = total(state, col("p"), col("q"))
+        step = np.divide(rz, pq, out=np.zeros_like(rz), where=rz > 0)
+        moved = {f"a{j}": F.col(f"a{j}") + F.lit(float(step[j])) * F.col(f"p{j}") for j in k} | {f"r{j}": F.col(f"r{j}") - F.lit(float(step[j])) * F.col(f"q{j}") for j in k}
+        state = state.withColumns(moved)
+        new = total(state, col("r"), lambda j: F.col(f"r{j}") / F.col("d"))
+        turn = np.divide(new, rz, out=np.zeros_like(rz), where=rz > 0)
+        state = state.withColumns({f"p{j}": F.col(f"r{j}") / F.col("d") + F.lit(float(turn[j])) * F.col(f"p{j}") for j in k}).drop(*(f"q{j}" for j in k))
+        rz = new
+    else:
+        raise ValueError(f"the effects did not converge within {most} steps")
+    state = written(state)
+    kinds = [cells.schema[e].dataType for e in effects]
+    return [state.where(F.col("effect") == i).select(F.col("level").cast(kind).alias("__level"), *(F.col(f"a{j}").alias(c) for j, c in enumerate(sums))) for i, kind in enumerate(kinds)]
 
 
 def interactions(df: DataFrame, factors: list[str]) -> tuple[DataFrame, list[str]]:
@@ -88,13 +162,14 @@ def t_p_value(t: float, df: float) -> float:
     return _incomplete_beta(df / 2, 0.5, df / (df + t * t)) if df > 0 and math.isfinite(t) else float("nan")
 
 
-def _products(df: DataFrame, names: list[str], weight: Column) -> np.ndarray:
+def _products(df: DataFrame, names: list[str], weight: Column, *more: Column) -> tuple[np.ndarray, list]:
+    """Cross products of the columns, and the values of more aggregates of the same pass."""
     pairs = list(combinations_with_replacement(range(len(names)), 2))
-    row = df.agg(*(F.sum(weight * F.col(f"`{names[i]}`") * F.col(f"`{names[j]}`")).alias(f"s{k}") for k, (i, j) in enumerate(pairs))).first()
+    row = df.agg(*(F.sum(weight * F.col(f"`{names[i]}`") * F.col(f"`{names[j]}`")).alias(f"s{k}") for k, (i, j) in enumerate(pairs)), *more).first()
     out = np.zeros((len(names), len(names)))
     for (i, j), x in zip(pairs, row):
         out[i, j] = out[j, i] = x or 0.0
-    return out
+    return out, list(row[len(pairs) :])
 
 
 def _independent(xx: np.ndarray, tolerance: float = 1e-9) -> list[int]:
@@ -125,21 +200,21 @@ def regress(df: DataFrame, y: str, terms: list[str], effects: list[str] | None =
         keep = demean(keep, columns, effects, weight)
     keep = keep.cache()
     w = F.col(weight) if weight else F.lit(1.0)
-    cross = _products(keep, columns, w)
-    n = keep.count()
+    cross, (n, *groups_of) = _products(keep, columns, w, F.count("*"), *(F.count_distinct(e) for e in effects))
     kept = _independent(cross[:-1, :-1])
     xx, xy = cross[np.ix_(kept, kept)], cross[kept, -1]
     bread = np.linalg.inv(xx) if kept else np.zeros((0, 0))
     beta = bread @ xy
     rss = float(cross[-1, -1] - beta @ xy)
     used = [columns[k] for k in kept]
-    degrees = max(1, n - len(kept) - sum(keep.select(e).distinct().count() for e in effects))
+    degrees = max(1, n - len(kept) - sum(groups_of))
     residual = F.col(columns[-1]) - sum((F.lit(float(b)) * F.col(c) for b, c in zip(beta, used)), F.lit(0.0))
     scores = keep.select(*dict.fromkeys(clusters), *((w * residual * F.col(c)).alias(c) for c in used))
 
     def meat(by: list[str] | None) -> tuple[np.ndarray, int]:
         own = scores if by is None else scores.groupBy(*by).agg(*(F.sum(c).alias(c) for c in used))
-        return _products(own, used, F.lit(1.0)), own.count()
+        products, (g,) = _products(own, used, F.lit(1.0), F.count("*"))
+        return products, g
 
     if vcov == "iid":
         v = bread * rss / degrees
@@ -208,6 +283,16 @@ def benjamini_hochberg(df: DataFrame, p: str, groups: list[str], name: str = "q"
     return adjusted_p_values(df, p, groups, name)
 
 
+def adjusted(p_values: list[float | None]) -> list[float | None]:
+    """Benjamini-Hochberg for the few p-values of a results table."""
+    known = sorted((p, i) for i, p in enumerate(p_values) if p is not None and not math.isnan(p))
+    out, low = [None] * len(p_values), 1.0
+    for k in range(len(known) - 1, -1, -1):
+        low = min(low, known[k][0] * len(known) / (k + 1))
+        out[known[k][1]] = low
+    return out
+
+
 def placebo_grid(df: DataFrame, date: str, y: str, cutoffs: DataFrame) -> DataFrame:
     """cutoff, n_before, n_after, effect (difference of means) for each fake cutoff: sums by day first, so that the
     cutoffs meet days, not rows."""

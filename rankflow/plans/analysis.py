@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rankflow.operators import explorer, moves as M, stats, style
+from rankflow.operators import explorer, formula, moves as M, stats, style
 from rankflow.operators.ranges import quantiles
 from rankflow.plans.fixtures import MOVES_SQL, PLAYER_GAME_SQL, moves, player_game, table
 from rankflow.plans.relational import r6
+from rankflow.shared import written
 
 QUERIES, ORACLE = {}, {}
 
@@ -52,7 +53,7 @@ def rg02_interactions_two_way(spark, d):
 
 @query(f"WITH {PLAYER_GAME_SQL}, m AS (SELECT date_diff('day', DATE '2024-01-16', tournament) // 7 AS k, AVG(half) AS m FROM player_game GROUP BY 1) SELECT 'week=' || k AS term, ROUND(m - (SELECT m FROM m WHERE k = -1), 6) AS estimate FROM m WHERE k <> -1")
 def rg12_event_study(spark, d):
-    """RG12 and RG13: an effect for each week but the one before; without other terms these are differences of means."""
+    """An effect for each week but the one before; without other terms these are differences of means."""
     rows = player_game(spark, d).withColumn("week", (F.datediff("tournament", F.lit("2024-01-16").cast("date")) / 7).cast("int"))
     levels = sorted(r.week for r in rows.select("week").distinct().collect())  # weeks
     rows, terms = stats.dummies(rows, "week", levels, -1)
@@ -123,9 +124,36 @@ def rg16_specification_grid(spark, d):
     return spark.createDataFrame(grid, "sample string, effects string, controls string, term string, estimate double, se double, p double, n long, error string")
 
 
+def _event_days(spark, d):
+    rows = player_game(spark, d).withColumns({"gap100": (F.col("rating") - F.col("opp_rating")) / 100, "late": (F.col("round") > 2).cast("long")})
+    return rows.withColumn("day", F.datediff("tournament", F.lit("2024-01-16").cast("date")).cast("long"))
+
+
+@query()
+def rg13_pretrends(spark, d):
+    """Linear tests on the days before the event, for two outcomes and two variables; absorbed players and tournaments."""
+    rows = formula.pretrends(_event_days(spark, d), ["half", "accuracy"], ["gap100", "is_white"], "day", "late", ["player", "tournament"], ["player"])
+    return spark.createDataFrame(rows, formula.RESULT)
+
+
+@query()
+def rg20_horse_race(spark, d):
+    """Interactions of one treatment with several variables in one model; the treatment's terms are kept by name."""
+    rows = formula.horse_race(_event_days(spark, d), ["half", "accuracy"], "post", ["gap100", "is_white", "late"], "gap100 + is_white + factor(round)", ["player", "tournament"], ["player"])
+    return spark.createDataFrame(rows, formula.RESULT)
+
+
+@query()
+def rg21_result_index(spark, d):
+    """A results table written and read back, and the one row of it that a rule picks; none or several are an error."""
+    table_ = written(rg20_horse_race(spark, d))
+    one = stats.pick_one(table_, (F.col("outcome") == "half") & (F.col("variable") == "gap100"))
+    return spark.createDataFrame([(one.outcome, one.variable, one.estimate, one.n)], "outcome string, variable string, estimate double, n long")
+
+
 @query()
 def rg09_contrast(spark, d):
-    """RG09, RG17 and RG19 to RG21: a contrast and a ratio of two terms, and how many players' effects are positive."""
+    """RG09, RG17 and RG19: a contrast and a ratio of two terms, and how many players' effects are positive."""
     rows = player_game(spark, d).withColumn("gap100", (F.col("rating") - F.col("opp_rating")) / 100)
     model = stats.regress(rows, "half", ["gap100", "is_white"], ["player"], ["player"])
     estimate, se, p = stats.contrast(model, {"gap100": 1.0, "is_white": -1.0})

@@ -265,7 +265,7 @@ THINK_SQL = "CASE WHEN time_spent <= 1 THEN 'le1' WHEN time_spent <= 3 THEN 'le3
 
 @query(f"WITH {MOVES_SQL} SELECT mover, post, {THINK_SQL} AS think, COUNT(*) AS n_moves, ROUND(AVG(cp_loss), 6) AS mean_loss, ROUND(AVG((cp_loss >= 200)::INT), 6) AS blunder_rate FROM moves GROUP BY 1, 2, 3")
 def mv13_cells(spark, d):
-    """MV13, MV14, AG15 and AG16: cells of many keys; partial sums combine before the shuffle."""
+    """MV13, MV14 and AG15: cells of many keys; partial sums combine before the shuffle."""
     out = M.cells(moves(spark, d), ["mover", "post", S.thinking_bin("time_spent").alias("think")])
     return out.select("mover", "post", "think", "n_moves", r6("mean_loss", "mean_loss"), r6("blunder_rate", "blunder_rate"))
 

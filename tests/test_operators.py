@@ -83,7 +83,7 @@ def test_scalars(spark):
     assert [r.x for r in df.select(S.clock_seconds("t").alias("x")).collect()] == [3723.5, 123.0, 7.0, None]
     df = spark.createDataFrame([("Müller, José",), ("Anna Maria Lind",), (None,)], "t string")
     assert [r.x for r in df.select(S.name_forms("t").alias("x")).collect()] == [["jose muller", "j muller", "muller jose", "josemuller"], ["anna maria lind", "anna lind", "a lind", "lind anna", "annamarialind"], None]
-    assert names.variants("Юрий", 64)[:2] == ["yuriy", "yurii"] and names.unaccented("Ó Łukasz-X") == "o łukasz x"
+    assert names.variants("Юрий") == ["iurii", "iuriy", "iury", "yurii", "yuriy", "yury", "юрии"] and names.unaccented("Ó Łukasz-X") == "o łukasz x"
 
 
 def test_clip_and_flags_keep_nulls(spark):
@@ -251,3 +251,24 @@ def test_band_join(spark):
     b = [(i, pick.choice("xyz"), float(pick.randint(-50, 50))) for i in range(150)]
     got = R.band_join(spark.createDataFrame(a, "i int, g string, v double"), spark.createDataFrame(b, "j int, h string, w double"), [("g", "h")], "v", "w", 2.5)
     assert sorted((r.i, r.j) for r in got.collect()) == sorted((i, j) for i, g, v in a for j, h, w in b if g == h and v is not None and abs(v - w) <= 2.5)
+
+
+def test_names_fold_by_unicode_rules(spark):
+    cases = {
+        "Petrović Čech Kraśnicki Şahin": "petrovic cech krasnicki sahin", "Đoković, Łukasz": "đokovic łukasz", "Müller-Weiß": "muller weiss", "ÑANDÚ_x": "nandu_x", "ﬁne ½ Ⅷ": "fine 1 2 viii",
+        "İstanbul": "istanbul", "Шевченко Ї": "шевченко і", "a\u00a0b\tc": "a b c", "O’Neil": "o neil", "한국": "".join(chr(c) for c in (0x1112, 0x1161, 0x11AB, 0x1100, 0x116E, 0x11A8)), "…": "", "": "", None: None,
+    }
+    got = spark.createDataFrame([(k,) for k in cases], "t string").select("t", S.folded("t").alias("f")).collect()
+    assert {r.t: r.f for r in got} == cases
+
+
+def test_readings_of_cyrillic_names(spark):
+    assert {"shevchenko", "шевченко"} <= set(names.variants("Шевченко"))
+    assert set(names.variants("Їжак")) >= {"izhak", "yizhak"} and set(names.variants("Є")) >= {"e", "ye"}
+    assert set(names.variants("Щука")) >= {"shchuka", "schuka"} and "iu" in names.variants("Ю")
+    assert {"dmitrii", "dmitriy", "dmitry"} <= set(names.variants("Дмитрий")) and {"andrei", "andrey"} <= set(names.variants("Андрей"))
+    both = names.variants("Юлия Ivanova")
+    assert "iuliia ivanova" in both and "yuliya ivanova" in both and both == sorted(both)
+    assert names.variants("Ivanov") == ["ivanov"] and names.variants("12 -") == [] and len(names.variants("яюёйхщ " * 6)) <= 65
+    got = spark.createDataFrame([("Юрий",), (None,), ("Юрий",), ("",)], "t string").select(names.name_variants("t").alias("v")).collect()
+    assert [r.v for r in got] == [names.variants("Юрий"), None, names.variants("Юрий"), []]
