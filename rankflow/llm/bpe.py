@@ -41,11 +41,10 @@ _INNER_BLANK = re.compile(f"[{WHITE_SPACE}] ")
 class Merges:
     """Rank table of a byte-level BPE with the monoid operations on tuples of ids."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], memo: int = MEMO):
+        self.ranks, self.memo = ranks, memo
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self._fit: set[int] = set()
-        self._unfit: set[int] = set()
+        self._fits: dict[int, bool] = {}  # of two ids, packed
         self._window: dict[bytes, tuple[int, ...]] = {}
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
@@ -68,7 +67,7 @@ class Merges:
     def window(self, piece: bytes) -> tuple[int, ...]:
         found = self._window.get(piece)
         if found is None:
-            if len(self._window) > MEMO // 2:
+            if len(self._window) > self.memo // 2:
                 self._window.clear()
             found = self._window[piece] = self.merge(piece)
         return found
@@ -76,21 +75,15 @@ class Merges:
     def compatible(self, left: int, right: int) -> bool:
         """Whether the two tokens, re-encoded together, give themselves."""
         pair = left << 32 | right
-        if pair in self._fit:
-            return True
-        if pair in self._unfit:
-            return False
-        fits = self.merge(self.bytes_of[left] + self.bytes_of[right]) == (left, right)
-        known = self._fit if fits else self._unfit
-        if len(known) > MEMO // 2:
-            known.clear()
-        known.add(pair)
+        fits = self._fits.get(pair)
+        if fits is None:
+            if len(self._fits) > self.memo:
+                self._fits.clear()
+            fits = self._fits[pair] = self.merge(self.bytes_of[left] + self.bytes_of[right]) == (left, right)
         return fits
 
     def join(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[int, ...]:
-        if not a or not b:
-            return a + b
-        if self.compatible(a[-1], b[0]):
+        if not a or not b or self._fits.get(a[-1] << 32 | b[0]) or self.compatible(a[-1], b[0]):
             return a + b
         i = j = 1
         while True:
@@ -103,6 +96,9 @@ class Merges:
 
     def tree(self, piece: bytes) -> tuple[int, ...]:
         """The encoding of a piece: that of its halves, joined."""
+        known = self._window.get(piece)
+        if known is not None:
+            return known
         if len(piece) <= LEAF:
             return self.window(piece)
         half = len(piece) // 2
@@ -119,12 +115,12 @@ class _Segments:
     where white space stands only at the start of a pattern's matches, no match crosses from one to the next, and what
     matches in a segment depends on it alone. Distinct segments and matches are remembered, within bounds."""
 
-    def __init__(self, merges: Merges, pattern: str):
+    def __init__(self, merges: Merges, pattern: str, memo: int = MEMO):
         import regex
 
         matches = regex.compile(pattern).findall
         pack = [i.to_bytes(4, "little") for i in range(1 + max(merges.bytes_of, default=0))].__getitem__
-        pieces = Memo(lambda match: b"".join(map(pack, merges.piece(match.encode()))), MEMO // 4)
+        pieces = Memo(lambda match: b"".join(map(pack, merges.piece(match.encode()))), memo // 4)
 
         def packed(segment: str) -> bytes:
             found = matches(segment)
@@ -132,8 +128,8 @@ class _Segments:
                 return b"".join(map(pack, merges.piece(found[0].encode())))
             return b"".join([pieces[m] for m in found])
 
-        self.packed = Memo(packed, MEMO // 4)
-        self.after_blank = Memo(lambda rest: packed(" " + rest), MEMO // 2)
+        self.packed = Memo(packed, memo // 4)
+        self.after_blank = Memo(lambda rest: packed(" " + rest), memo // 2)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -141,13 +137,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
 
 
-def _encoder(path: str, pattern: str) -> _Segments:
-    return held(("bpe", path, pattern), lambda: _Segments(Merges(read_ranks(path)), pattern))
+def _encoder(path: str, pattern: str, memo: int = MEMO) -> _Segments:
+    return held(("bpe", path, pattern, memo), lambda: _Segments(Merges(read_ranks(path), memo), pattern, memo))
 
 
-def encode_text(text: str, path: str, pattern: str, blank_starts: bool = True) -> bytes:
+def encode_text(text: str, path: str, pattern: str, blank_starts: bool = True, memo: int = MEMO) -> bytes:
     """Packed ids of a text."""
-    encoder = _encoder(path, pattern)
+    encoder = _encoder(path, pattern, memo)
     if not blank_starts:
         return encoder.packed[text]
     if _INNER_BLANK.search(text):
@@ -195,14 +191,15 @@ def _binary(column: pa.Array, value) -> pa.Array:
     return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
 
 
-def encode(text: Column, path: str, pattern: str, blank_starts: bool = True) -> Column:
+def encode(text: Column, path: str, pattern: str, blank_starts: bool = True, memo: int = MEMO) -> Column:
     """Token ids of text as packed little-endian unsigned 32-bit integers (binary). path: a tiktoken rank file that
     every executor has; pattern: the regular expression whose matches are encoded separately; blank_starts: its matches
-    hold white space at their start only (otherwise texts are not cut into segments)."""
+    hold white space at their start only (otherwise texts are not cut into segments); memo: pieces that a worker remembers,
+    some 400 bytes each: what a text encodes to does not depend on it."""
 
     @arrow_udf("binary")
     def ids(column: pa.Array) -> pa.Array:
-        return _binary(column, lambda x: encode_text(x.as_py() or "", path, pattern, blank_starts))
+        return _binary(column, lambda x: encode_text(x.as_py() or "", path, pattern, blank_starts, memo))
 
     return ids(text)
 
@@ -217,9 +214,9 @@ def decode(ids: Column, path: str) -> Column:
     return decoded(ids)
 
 
-def encode_decode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+def encode_decode(df: DataFrame, path: str, pattern: str, text: str = "text", memo: int = MEMO) -> DataFrame:
     """df with bpe_ids (binary, packed), n_tokens (long) and bpe_text (binary, decoded from the ids)."""
     small_batches(df.sparkSession)
-    out = df.withColumn("bpe_ids", encode(F.col(text), path, pattern))
+    out = df.withColumn("bpe_ids", encode(F.col(text), path, pattern, memo=memo))
     out = out.withColumn("n_tokens", F.expr("octet_length(bpe_ids) div 4"))
     return out.withColumn("bpe_text", decode(F.col("bpe_ids"), path))

@@ -81,7 +81,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.encode_decode(documents(spark, sf_dir), path, public_tokenizers.PATTERN).select(
+    return bpe.encode_decode(documents(spark, sf_dir), path, public_tokenizers.PATTERN, memo=1_000_000).select(
         "doc_id",
         "n_tokens",
         F.sha2("bpe_ids", 256).alias("ids_sha256"),
