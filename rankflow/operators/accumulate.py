@@ -12,13 +12,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankflow.functions.scalar import bins, clip, flag
+from rankflow.operators.ranges import quantiles
+from rankflow.operators.windows import z_scores
 
 SIDE = ["game_id", "is_white_move"]
 
 
 @dataclass(frozen=True)
 class Feature:
-    """name: column; fold: `count`, `sum`, `mean`, `share` (mean of a condition), `min`, `max`, `population_sd`, `any`,
+    """name: column; fold: `count`, `sum`, `mean`, `share` (mean of a condition), `min`, `max`, `population_sd`, `sample_sd` (0 of one value), `any`,
     `first` or `last` (by ply); value; where: rows that count (all, unless given); missing: instead of null."""
 
     name: str
@@ -38,6 +40,7 @@ class Feature:
             "min": lambda: F.min(value),
             "max": lambda: F.max(value),
             "population_sd": lambda: F.stddev_pop(value),
+            "sample_sd": lambda: F.coalesce(F.stddev_samp(value), F.when(F.count(value) > 0, 0.0)),
             "any": lambda: F.max(flag(met)),
             "first": lambda: F.min_by(self.value, F.when(met, order)),
             "last": lambda: F.max_by(self.value, F.when(met, order)),
@@ -139,3 +142,86 @@ def dynamics(moves: DataFrame, edge: float = 200, equal: float = 100, cap: float
     out = out.withColumn("additional_eval_drop_next5_after_blunder_cp", F.when(F.col("worst_eval_next5_after_blunder_cp").isNotNull(), F.col("eval_after_first_blunder_cp") - F.col("worst_eval_next5_after_blunder_cp")))
     out = out.withColumn("side", F.col("side").cast("long")).withColumnRenamed("side", "is_white_move")
     return out if keep is None else out.join(keep.select("game_id", "is_white_move").distinct(), SIDE, "left_semi")
+
+
+def style_features(opening: int = 10, end: int = 10, cap: float = 1000.0, phases: tuple[int, int] = (10, 35), last: int = 20) -> list[Feature]:
+    """A player's moves after the opening and before a game's last plies. Rows: fullmove, ply, final_ply, cp_loss,
+    eval_before, eval_after (the mover's view), is_capture, gives_check, answer (the loss of the other side's next move)."""
+    loss, move = F.col("cp_loss").cast("double"), F.col("fullmove")
+    capped, inner = F.least(loss, F.lit(cap)), (move > opening) & (F.col("ply") <= F.col("final_ply") - end)
+    phase_of = [("opening", move <= phases[0]), ("middlegame", (move > phases[0]) & (move <= phases[1])), ("endgame", move > phases[1])]
+    return [
+        Feature("style_move_count", "count", where=inner), Feature("capture_rate", "share", F.col("is_capture") == 1, inner), Feature("check_rate", "share", F.col("gives_check") == 1, inner),
+        *(Feature(f"own_{n}_rate", "share", loss >= t, inner) for n, t in (("blunder", 200), ("mistake", 100), ("inaccuracy", 50))), Feature("low_cp_loss_rate", "share", loss < 50, inner),
+        Feature("mean_cp_loss", "mean", capped, inner), Feature("sd_cp_loss", "sample_sd", capped, inner),
+        *(Feature(f"{n}_cp_loss", "mean", capped, inner & own) for n, own in phase_of), Feature("last10_cp_loss", "mean", capped, inner & (F.col("ply") > F.col("final_ply") - last)),
+        *(Feature(f"opponent_next_{n}_rate", "share", F.col("answer") >= t, F.col("answer").isNotNull()) for n, t in (("blunder", 200), ("mistake", 100))),
+        Feature("eval_swing_rate", "share", F.abs(F.col("eval_after") - F.col("eval_before")) >= 200, inner),
+    ]
+
+
+def player_style(moves: DataFrame, sides: DataFrame, opening: int = 10, end: int = 10, long_game: int = 80, least_games: int = 1, phases: tuple[int, int] = (10, 35), last: int = 20, edge: float = 200) -> DataFrame:
+    """The 30 style features of each player with so many games. moves: game_id, ply, fullmove, is_white_move, mover,
+    cp_loss, eval_before, eval_after, is_capture, gives_check; sides: game_id, is_white_move, player, result (1, 0.5, 0 or
+    null). First blunders, and won and lost positions, are looked for from the first move on; the latter end before a
+    game's last plies, like the moves that rates are taken of."""
+    game, in_order = Window.partitionBy("game_id"), Window.partitionBy("game_id").orderBy("ply")
+    rows = moves.withColumn("final_ply", F.max("ply").over(game)).where("cp_loss IS NOT NULL AND eval_before IS NOT NULL AND eval_after IS NOT NULL")
+    rows = rows.withColumn("answer", F.when(F.lead("is_white_move").over(in_order) != F.col("is_white_move"), F.lead("cp_loss").over(in_order)))
+    features = style_features(opening, end, phases=phases, last=last)
+    of_moves = accumulate(rows, ["mover"], "ply", features).where("style_move_count > 0")
+    inner = rows.where((F.col("fullmove") > opening) & (F.col("ply") <= F.col("final_ply") - end))
+    high = quantiles(inner.withColumn("__loss", F.least(F.col("cp_loss").cast("double"), F.lit(1000.0))), ["mover"], "__loss", {"p90_cp_loss": 0.9})
+    before_end = F.col("ply") <= F.col("final_ply") - end
+    states = accumulate(rows, SIDE, "ply", [
+        Feature("first_blunder", "first", F.col("fullmove"), F.col("cp_loss") >= 200), Feature("won", "any", where=before_end & (F.col("eval_after") >= edge)), Feature("lost", "any", where=before_end & (F.col("eval_after") <= -edge)),
+    ])
+    lengths = moves.groupBy("game_id").agg(F.max("ply").alias("plies"))
+    games = sides.join(lengths, "game_id").join(states, SIDE, "left")
+    result, share = F.col("result"), lambda x: F.avg(F.coalesce(x, F.lit(False)).cast("int"))
+    of_games = games.groupBy("player").agg(
+        F.count("*").alias("prechange_games"), F.avg("plies").alias("avg_game_length_ply"), share(F.col("plies") >= long_game).alias("long_game_share"), share(result == 0.5).alias("draw_rate"),
+        share(result != 0.5).alias("decisive_game_rate"), (F.coalesce(F.sum(result), F.lit(0.0)) / F.count("*")).alias("prechange_result_mean"), share(F.col("first_blunder").isNull()).alias("no_blunder_game_rate"),
+        F.avg("first_blunder").alias("first_blunder_move_mean"), F.avg(F.when(F.col("won") == 1, F.coalesce(result == 1, F.lit(False)).cast("int"))).alias("conversion_rate_from_plus_2"), F.count_if(F.col("won") == 1).alias("winning_position_games"),
+        F.avg(F.when(F.col("lost") == 1, F.coalesce(result > 0, F.lit(False)).cast("int"))).alias("escape_rate_from_minus_2"), F.count_if(F.col("lost") == 1).alias("losing_position_games"),
+    )
+    out = of_games.where(F.col("prechange_games") >= least_games).join(of_moves.withColumnRenamed("mover", "player"), "player").join(high.withColumnRenamed("mover", "player"), "player", "left")
+    return out.select(*PLAYER_STYLE)
+
+
+#: The columns of player_style.
+PLAYER_STYLE = [
+    "player", "prechange_games", "style_move_count", "avg_game_length_ply", "long_game_share", "draw_rate", "decisive_game_rate", "prechange_result_mean", "capture_rate", "check_rate",
+    "own_blunder_rate", "own_mistake_rate", "own_inaccuracy_rate", "low_cp_loss_rate", "mean_cp_loss", "sd_cp_loss", "p90_cp_loss", "opening_cp_loss", "middlegame_cp_loss", "endgame_cp_loss", "last10_cp_loss",
+    "no_blunder_game_rate", "first_blunder_move_mean", "conversion_rate_from_plus_2", "winning_position_games", "escape_rate_from_minus_2", "losing_position_games", "opponent_next_blunder_rate",
+    "opponent_next_mistake_rate", "eval_swing_rate",
+]
+
+
+def complexity_features(legal: int = 35, pieces: int = 18, edge: float = 300, after_book: int = 10, cap: float = 1000.0) -> list[Feature]:
+    """How a side plays complex positions and the moves after the book. Rows: fullmove, ply, cp_loss, eval_before,
+    eval_after, legal_moves, pieces, material, balance (of the position before the move), book_exit (full move, 0: none)."""
+    loss, before = F.coalesce(F.col("cp_loss").cast("double"), F.lit(0.0)), F.coalesce("eval_before", F.lit(0))
+    capped, many = F.least(loss, F.lit(cap)), F.col("legal_moves") >= legal
+    hard = many & (F.col("pieces") >= pieces) & (F.abs(before) <= edge)
+    after = (F.col("book_exit") > 0) & (F.col("fullmove") > F.col("book_exit")) & (F.col("fullmove") <= F.col("book_exit") + after_book)
+    return [
+        Feature("move_count", "count"), Feature("mean_legal_moves", "mean", F.col("legal_moves")), Feature("high_legal_share", "share", many), Feature("mean_pieces_remaining", "mean", F.col("pieces")),
+        Feature("mean_total_material", "mean", F.col("material")), Feature("mean_abs_material_balance", "mean", F.abs("balance")), Feature("mean_eval_volatility", "mean", F.abs(F.coalesce("eval_after", before) - before)),
+        Feature("high_legal_cp_loss", "mean", capped, many), Feature("low_legal_cp_loss", "mean", capped, ~many), Feature("complex_share", "share", hard), Feature("complex_cp_loss", "mean", capped, hard),
+        Feature("quiet_cp_loss", "mean", capped, ~hard), Feature("complex_blunder_rate", "share", loss >= 200, hard), Feature("post_book_moves", "count", where=after), Feature("post_book_cp_loss", "mean", capped, after),
+    ]
+
+
+def complexity(moves: DataFrame, features: list[Feature] | None = None) -> DataFrame:
+    """One row for each game and side: complexity_features and the differences of high and low, and of complex and quiet."""
+    out = accumulate(moves, SIDE, "ply", features or complexity_features())
+    return out.withColumns({"high_minus_low_legal_cp_loss": F.col("high_legal_cp_loss") - F.col("low_legal_cp_loss"), "complex_minus_quiet_cp_loss": F.col("complex_cp_loss") - F.col("quiet_cp_loss")})
+
+
+def complexity_index(df: DataFrame, winsor: float | None = None) -> DataFrame:
+    """df with complexity_index: z-scores of legal moves, pieces and volatility, less that of the material's imbalance
+    (null where one of them is)."""
+    parts = {"mean_legal_moves": 1, "mean_pieces_remaining": 1, "mean_eval_volatility": 1, "mean_abs_material_balance": -1}
+    z = z_scores(df, list(parts), winsor)
+    return df.withColumn("complexity_index", sum((z[c] * sign for c, sign in parts.items()), F.lit(0.0)))

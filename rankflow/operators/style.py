@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankflow.functions.scalar import evaluation_token, loss_token
+from rankflow.functions.scalar import move_token as move_number_token
 from rankflow.operators.ranges import with_row_numbers
-from rankflow.operators.windows import average_rank, row_mean, standardised
+from rankflow.operators.windows import average_rank, row_mean, standardised, z_scores
+from rankflow.shared import written
 
 
 def eligible(df: DataFrame, player: str, period: str, least: int) -> DataFrame:
@@ -15,19 +18,6 @@ def eligible(df: DataFrame, player: str, period: str, least: int) -> DataFrame:
     return counts.where((F.col("n") >= least) & (F.col("n_before") > 0) & (F.col("n_after") > 0))
 
 
-def player_features(moves: DataFrame, opening: int, end: int, wins: DataFrame) -> DataFrame:
-    """Rates and means of each mover's moves after the opening and before the last `end` plies; shares of games without a
-    blunder (all moves) and of won positions converted (wins: game_id, mover, reached_win, won)."""
-    inner = moves.withColumn("__n", F.max("ply").over(Window.partitionBy("game_id"))).where((F.col("fullmove") > opening) & (F.col("ply") <= F.col("__n") - end))
-    rates = inner.groupBy("mover").agg(
-        F.count("*").alias("n_moves"), F.avg("is_capture").alias("capture_rate"), F.avg("gives_check").alias("check_rate"), F.avg("cp_loss").alias("mean_loss"),
-        F.percentile("cp_loss", F.lit(0.9)).alias("p90_loss"), F.avg((F.col("cp_loss") >= 200).cast("double")).alias("blunder_rate"), F.stddev_samp("cp_loss").alias("sd_loss"),
-    )
-    clean = moves.groupBy("mover", "game_id").agg(F.max("cp_loss").alias("m")).groupBy("mover").agg(F.avg((F.col("m") < 200).cast("double")).alias("no_blunder_share"))
-    converted = wins.where("reached_win = 1").groupBy("mover").agg(F.avg("won").alias("conversion_rate"))
-    return rates.join(clean, "mover").join(converted, "mover", "left")
-
-
 def style_index(df: DataFrame, parts: dict[str, int], name: str) -> DataFrame:
     """Mean of the z-scores of the parts, each with its sign; parts missing in a row are left out."""
     for c in parts:
@@ -40,8 +30,31 @@ def quartile(df: DataFrame, column: str, name: str) -> DataFrame:
     return ranked.withColumn(name, F.ceil(F.col("__r") / F.col("__n") * 4)).drop("__r", "__n")
 
 
-#: Numbers of pieces by the first letter of a move's name (a pawn's move begins with a file).
-PIECE_CODES = {"N": 2, "B": 3, "R": 4, "Q": 5, "K": 6, "O": 6}
+#: The parts of the style indexes, with their signs.
+CLEAN = {"no_blunder_game_rate": 1, "own_blunder_rate": -1, "own_mistake_rate": -1, "own_inaccuracy_rate": -1, "mean_cp_loss": -1, "p90_cp_loss": -1, "sd_cp_loss": -1}
+CHAOS = {"eval_swing_rate": 1, "capture_rate": 1, "check_rate": 1, "opponent_next_blunder_rate": 1, "opponent_next_mistake_rate": 1, "sd_cp_loss": 1, "decisive_game_rate": 1}
+SELF_RISK = {"own_blunder_rate": 1, "own_mistake_rate": 1, "p90_cp_loss": 1, "sd_cp_loss": 1}
+
+
+def style_scores(df: DataFrame, winsor: float | None = 0.01) -> DataFrame:
+    """df (player_style) with clean_style_index, chaos_creator_index, self_risk_index (means of the z-scores that a row has),
+    practical_chaos_index (chaos less self-risk), their z-scores, quartiles, and style_archetype."""
+    z = z_scores(df, sorted({*CLEAN, *CHAOS, *SELF_RISK}), winsor)
+    index = lambda parts: row_mean([z[c] * sign for c, sign in parts.items()])
+    df = written(df.withColumns({"clean_style_index": index(CLEAN), "chaos_creator_index": index(CHAOS), "self_risk_index": index(SELF_RISK)}))
+    df = df.withColumn("practical_chaos_index", F.col("chaos_creator_index") - F.col("self_risk_index"))
+    names = ["clean_style_index", "chaos_creator_index", "self_risk_index", "practical_chaos_index"]
+    df = written(df.withColumns({f"{c}_z": x for c, x in z_scores(df, names, winsor).items()}))
+    for name, column in (("clean_quartile", "clean_style_index_z"), ("chaos_quartile", "chaos_creator_index_z"), ("practical_chaos_quartile", "practical_chaos_index_z")):
+        df = quartile(df, column, name)
+    clean, chaos = F.col("clean_quartile"), F.col("chaos_quartile")
+    archetype = F.when((clean == 4) & (chaos == 4), "sharp_clean").when((chaos == 4) & (clean < 4), "chaos_creator").when((clean == 4) & (chaos < 4), "clean_technician").when((clean == 1) & (chaos == 1), "quiet_leaky")
+    return df.withColumn("style_archetype", archetype.otherwise("middle"))
+
+
+#: Numbers of pieces by the first letter of a move's name (a pawn's move begins with a file), and of phases.
+PIECE_CODES = {"N": 1, "B": 2, "R": 3, "Q": 4, "K": 5}
+PAWN, CASTLING, UNKNOWN_PIECE, UNKNOWN_PHASE = 0, 6, 7, 4
 
 
 def square_code(square: Column) -> Column:
@@ -50,11 +63,23 @@ def square_code(square: Column) -> Column:
     return F.when(valid, F.ascii(square) - F.ascii(F.lit("a")) + 8 * (F.ascii(F.substring(square, 2, 1)) - F.ascii(F.lit("1")))).otherwise(64).cast("long")
 
 
-def move_token(uci: Column, san: Column) -> Column:
-    """struct<piece, source, target> of a move in coordinate and in short notation."""
-    first = F.substring(san, 1, 1)
-    piece = F.coalesce(*(F.when(first == k, F.lit(v)) for k, v in PIECE_CODES.items()), F.when(first.rlike("[a-h]"), F.lit(1)), F.lit(0))
-    return F.struct(piece.cast("long").alias("piece"), square_code(F.substring(uci, 1, 2)).alias("source"), square_code(F.substring(uci, 3, 2)).alias("target"))
+def piece_code(san: Column) -> Column:
+    first = F.substring(F.regexp_replace(san, r"^[+#?!]+", ""), 1, 1)
+    named = F.coalesce(*(F.when(first == k, F.lit(v)) for k, v in PIECE_CODES.items()), F.when(first.rlike("[a-h]"), F.lit(PAWN)), F.lit(UNKNOWN_PIECE))
+    return F.when(F.startswith(san, F.lit("O-O")), CASTLING).otherwise(named).cast("long")
+
+
+def move_token(uci: Column, san: Column, is_capture: Column, gives_check: Column, phase: Column, loss: Column, evaluation: Column, fullmove: Column, phases: list[str]) -> Column:
+    """The nine numbers (array<long>) of a move: piece, source and target squares, capture, check, phase (its place in
+    phases), and bins of the loss, of the mover's evaluation before it, and of the full move."""
+    whole = F.when(F.length(uci) >= 4, uci).otherwise("")
+    place = F.array_position(F.array(*map(F.lit, phases)), phase)
+    number = lambda x: F.coalesce(x.cast("long"), F.lit(0).cast("long"))
+    fields = [
+        piece_code(F.coalesce(san, F.lit(""))), square_code(F.substring(whole, 1, 2)), square_code(F.substring(whole, 3, 2)), number(is_capture), number(gives_check),
+        F.when(place > 0, place - 1).otherwise(UNKNOWN_PHASE), loss_token(loss), evaluation_token(evaluation), move_number_token(fullmove),
+    ]
+    return F.array(*(F.coalesce(x, F.lit(64 if i == 1 or i == 2 else 0)).cast("long") for i, x in enumerate(fields)))
 
 
 def split(df: DataFrame, player: str, item: str, share: float, seed: int) -> DataFrame:

@@ -34,6 +34,21 @@ def standardised(df: DataFrame, column: str, name: str, winsor: float | None = N
     return out.drop("__x", "__mean", "__sd", "__lo", "__hi", "__n")
 
 
+def z_scores(df: DataFrame, columns: list[str], winsor: float | None = None, least: int = 5) -> dict[str, Column]:
+    """The z-score of each column over the whole table, as an expression: null where the deviation is 0 or missing. Means
+    and deviations of all columns come from one aggregate, quantiles (see `standardised`) from one more."""
+    x = {c: F.col(c).cast("double") for c in columns}
+    if winsor is not None:
+        long = df.select(*(v.alias(c) for c, v in x.items())).unpivot([], columns, "column", "value")
+        ends = quantiles(long, ["column"], "value", {"low": winsor, "high": 1 - winsor})
+        ends = ends.join(long.groupBy("column").agg(F.count("value").alias("n")), "column").collect()  # a row for each column
+        for row in ends:
+            if row.n >= least:
+                x[row["column"]] = F.when(F.col(row["column"]).isNotNull(), F.least(F.greatest(x[row["column"]], F.lit(row.low)), F.lit(row.high)))
+    moments = df.agg(*(f(v).alias(f"{c}_{n}") for c, v in x.items() for n, f in (("mean", F.avg), ("sd", F.stddev_samp)))).first()
+    return {c: (v - F.lit(moments[f"{c}_mean"])) / F.lit(moments[f"{c}_sd"]) if moments[f"{c}_sd"] else F.lit(None).cast("double") for c, v in x.items()}
+
+
 def centred(df: DataFrame, column: str, name: str) -> DataFrame:
     return df.join(F.broadcast(df.agg(F.avg(column).alias("__mean")))).withColumn(name, F.col(column) - F.col("__mean")).drop("__mean")  # one row
 

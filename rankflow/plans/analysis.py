@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rankflow.operators import explorer, formula, moves as M, stats, style
+from rankflow.operators import accumulate as A, explorer, formula, moves as M, stats, style
 from rankflow.operators.ranges import quantiles
 from rankflow.plans.fixtures import MOVES_SQL, PLAYER_GAME_SQL, moves, player_game, table
 from rankflow.plans.relational import r6
@@ -173,37 +173,69 @@ def ml01_eligible(spark, d):
 
 
 def _features(spark, d):
-    rows = moves(spark, d)
-    side = M.conversion(rows, "own").join(rows.groupBy("game_id", "is_white_move").agg(F.first("mover").alias("mover"), F.max("is_capture").alias("won")), ["game_id", "is_white_move"])
-    return style.player_features(rows, 1, 1, side)
-
-
-FEATURES_SQL = f"""{MOVES_SQL}, i AS (SELECT *, MAX(ply) OVER (PARTITION BY game_id) AS n FROM moves),
- r AS (SELECT mover, COUNT(*) AS n_moves, AVG(is_capture) AS capture_rate, AVG(gives_check) AS check_rate, AVG(cp_loss) AS mean_loss, quantile_cont(cp_loss, 0.9) AS p90_loss, AVG((cp_loss >= 200)::INT) AS blunder_rate, stddev_samp(cp_loss) AS sd_loss FROM i WHERE fullmove > 1 AND ply <= n - 1 GROUP BY 1),
- c AS (SELECT mover, AVG((m < 200)::INT) AS no_blunder_share FROM (SELECT mover, game_id, MAX(cp_loss) AS m FROM moves GROUP BY 1, 2) GROUP BY 1),
- w AS (SELECT mover, AVG(won) AS conversion_rate FROM (SELECT game_id, is_white_move, MAX(mover) AS mover, MAX(is_capture) AS won, MAX(CASE WHEN is_white_move = 1 THEN eval_after_white ELSE -eval_after_white END) AS e FROM moves GROUP BY 1, 2) WHERE e >= 200 GROUP BY 1),
- features AS (SELECT * FROM r JOIN c USING (mover) LEFT JOIN w USING (mover))"""
-RATES = ["capture_rate", "check_rate", "mean_loss", "p90_loss", "blunder_rate", "sd_loss", "no_blunder_share", "conversion_rate"]
+    """Style features of movers, at edges that these short games reach; a game's result is its number's."""
+    rows = moves(spark, d).withColumns({"eval_before": M.mover_view("eval_before_white"), "eval_after": M.mover_view("eval_after_white")})
+    half = F.col("game_id") % 3 / 2
+    side = lambda k, player, result: F.struct(F.lit(k).cast("long").alias("is_white_move"), F.col(player).alias("player"), result.alias("result"))
+    sides = rows.groupBy("game_id", "white", "black").agg(F.count("*").alias("n")).select("game_id", F.inline(F.array(side(1, "white", half), side(0, "black", 1 - half))))
+    return A.player_style(rows, sides, opening=1, end=1, long_game=5, phases=(1, 2), last=3)
+
+
+_rate = lambda c, w, n: f"AVG(({c})::INT) FILTER (WHERE {w}) AS {n}"
+INNER = "fullmove > 1 AND ply <= n - 1"
+FEATURES_SQL = f"""{MOVES_SQL}, i AS (SELECT *, MAX(ply) OVER (PARTITION BY game_id) AS n, CASE WHEN is_white_move = 1 THEN eval_before_white ELSE -eval_before_white END AS eb, CASE WHEN is_white_move = 1 THEN eval_after_white ELSE -eval_after_white END AS ea,
+  LEAD(cp_loss) OVER (PARTITION BY game_id ORDER BY ply) AS answer FROM moves),
+ rates AS (SELECT mover AS player, COUNT(*) FILTER (WHERE {INNER}) AS style_move_count, {", ".join(_rate(c, INNER, x + "_rate") for c, x in (("is_capture = 1", "capture"), ("gives_check = 1", "check"), ("cp_loss >= 200", "own_blunder"), ("cp_loss >= 100", "own_mistake"), ("cp_loss >= 50", "own_inaccuracy"), ("cp_loss < 50", "low_cp_loss"), ("abs(ea - eb) >= 200", "eval_swing")))},
+  AVG(cp_loss) FILTER (WHERE {INNER}) AS mean_cp_loss, coalesce(stddev_samp(cp_loss) FILTER (WHERE {INNER}), 0) AS sd_cp_loss, quantile_cont(cp_loss, 0.9) FILTER (WHERE {INNER}) AS p90_cp_loss,
+  AVG(cp_loss) FILTER (WHERE {INNER} AND fullmove <= 1) AS opening_cp_loss, AVG(cp_loss) FILTER (WHERE {INNER} AND fullmove = 2) AS middlegame_cp_loss, AVG(cp_loss) FILTER (WHERE {INNER} AND fullmove > 2) AS endgame_cp_loss,
+  AVG(cp_loss) FILTER (WHERE {INNER} AND ply > n - 3) AS last10_cp_loss, {_rate("answer >= 200", "answer IS NOT NULL", "opponent_next_blunder_rate")}, {_rate("answer >= 100", "answer IS NOT NULL", "opponent_next_mistake_rate")} FROM i GROUP BY 1),
+ st AS (SELECT game_id, is_white_move, arg_min(fullmove, ply) FILTER (WHERE cp_loss >= 200) AS fb, bool_or(ply <= n - 1 AND ea >= 200) AS won, bool_or(ply <= n - 1 AND ea <= -200) AS lost FROM i GROUP BY 1, 2),
+ s AS (SELECT game_id, MAX(ply) AS plies, 1 AS is_white_move, white AS player, game_id % 3 / 2 AS result FROM moves GROUP BY game_id, white UNION ALL SELECT game_id, MAX(ply), 0, black, 1 - game_id % 3 / 2 FROM moves GROUP BY game_id, black),
+ g AS (SELECT player, COUNT(*) AS prechange_games, AVG(plies) AS avg_game_length_ply, AVG((plies >= 5)::INT) AS long_game_share, AVG((result = 0.5)::INT) AS draw_rate, AVG((result <> 0.5)::INT) AS decisive_game_rate, AVG(result) AS prechange_result_mean,
+  AVG((fb IS NULL)::INT) AS no_blunder_game_rate, AVG(fb) AS first_blunder_move_mean, AVG((result = 1)::INT) FILTER (WHERE won) AS conversion_rate_from_plus_2, COUNT(*) FILTER (WHERE won) AS winning_position_games,
+  AVG((result > 0)::INT) FILTER (WHERE lost) AS escape_rate_from_minus_2, COUNT(*) FILTER (WHERE lost) AS losing_position_games FROM s LEFT JOIN st USING (game_id, is_white_move) GROUP BY 1),
+ features AS (SELECT * FROM g JOIN rates USING (player) WHERE style_move_count > 0)"""
+COUNTS = ["prechange_games", "style_move_count", "winning_position_games", "losing_position_games"]
+RATES = [c for c in A.PLAYER_STYLE[1:] if c not in COUNTS]
+
+
+@query(f"WITH {FEATURES_SQL} SELECT player, {', '.join(COUNTS)}, " + ", ".join(f"ROUND({c}, 5) AS {c}" for c in RATES) + " FROM features")
+def ml02_player_features(spark, d):
+    """All 30."""
+    return _features(spark, d).select("player", *COUNTS, *(F.round(c, 5).alias(c) for c in RATES))
 
 
-@query(f"WITH {FEATURES_SQL} SELECT mover, n_moves, " + ", ".join(f"ROUND({c}, 5) AS {c}" for c in RATES) + " FROM features")
-def ml02_player_features(spark, d):
-    return _features(spark, d).select("mover", "n_moves", *(F.round(c, 5).alias(c) for c in RATES))
+_z = lambda c, sign=1: f"{sign} * ({c} - AVG({c}) OVER ()) / nullif(stddev_samp({c}) OVER (), 0)"
+_index = lambda parts: "(" + " + ".join(f"coalesce({_z(c, s)}, 0)" for c, s in parts.items()) + ") / nullif(" + " + ".join(f"({_z(c)} IS NOT NULL)::INT" for c in parts) + ", 0)"
+_quartile = lambda c: f"ceil((RANK() OVER (ORDER BY ROUND({c}, 9)) + (COUNT(*) OVER (PARTITION BY ROUND({c}, 9)) - 1) / 2) / COUNT({c}) OVER () * 4)"
 
 
-@query(f"""WITH {FEATURES_SQL}, z AS (SELECT mover, (capture_rate - AVG(capture_rate) OVER ()) / stddev_samp(capture_rate) OVER () AS a, (mean_loss - AVG(mean_loss) OVER ()) / stddev_samp(mean_loss) OVER () AS b FROM features)
- SELECT mover, ROUND((a - b) / 2, 5) AS chaos FROM z""")
+@query(f"""WITH {FEATURES_SQL}, x AS (SELECT player, {_index(style.CLEAN)} AS clean, {_index(style.CHAOS)} AS chaos, {_index(style.SELF_RISK)} AS risk FROM features),
+ q AS (SELECT *, {_quartile("clean")} AS cq, {_quartile("chaos")} AS hq, {_quartile("chaos - risk")} AS pq FROM (SELECT * FROM x))
+ SELECT player, ROUND(clean, 5) AS clean, ROUND(chaos, 5) AS chaos, ROUND(chaos - risk, 5) AS practical, ROUND({_z("(chaos - risk)")}, 5) AS practical_z, cq::BIGINT AS clean_quartile, hq::BIGINT AS chaos_quartile, pq::BIGINT AS practical_quartile,
+  CASE WHEN cq = 4 AND hq = 4 THEN 'sharp_clean' WHEN hq = 4 THEN 'chaos_creator' WHEN cq = 4 THEN 'clean_technician' WHEN cq = 1 AND hq = 1 THEN 'quiet_leaky' ELSE 'middle' END AS style_archetype FROM q""")
 def ml03_style_index(spark, d):
-    return style.style_index(_features(spark, d), {"capture_rate": 1, "mean_loss": -1}, "chaos").select("mover", F.round("chaos", 5).alias("chaos"))
+    """Indexes, quartiles and archetypes of styles."""
+    out = style.style_scores(_features(spark, d), winsor=None)
+    names = {"clean_style_index": "clean", "chaos_creator_index": "chaos", "practical_chaos_index": "practical", "practical_chaos_index_z": "practical_z"}
+    return out.select("player", *(F.round(c, 5).alias(n) for c, n in names.items()), "clean_quartile", "chaos_quartile", F.col("practical_chaos_quartile").alias("practical_quartile"), "style_archetype")
 
 
-MOVE_NAMES = [("e2e4", "e4"), ("g1f3", "Nf3"), ("e1g1", "O-O"), ("h7h8q", "h8=Q"), ("0000", "--")]
+SANS = ["e4", "Nf3", "O-O", "Bxc4", "Rd1", "Q+", "Kf1", "", "+Nf3", "?"]
 
 
-@query("SELECT o_orderkey, [1, 2, 6, 1, 0][o_orderkey % 5 + 1]::BIGINT AS piece, [12, 6, 4, 55, 64][o_orderkey % 5 + 1]::BIGINT AS source, [28, 21, 6, 63, 64][o_orderkey % 5 + 1]::BIGINT AS target FROM orders")
+@query(f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, [[0, 1, 6, 2, 3, 4, 5, 7, 1, 7][l_suppkey % 10 + 1], CASE WHEN l_partkey % 11 = 0 THEN 64 ELSE l_partkey % 64 END, CASE WHEN l_partkey % 11 = 0 THEN 64 ELSE l_suppkey % 64 END, (l_returnflag = 'R')::BIGINT, (l_linestatus = 'O')::BIGINT,
+ CASE WHEN l_linenumber <= 4 THEN l_linenumber - 1 ELSE 4 END, CASE WHEN q < 10 THEN 0 WHEN q < 25 THEN 1 WHEN q < 50 THEN 2 WHEN q < 100 THEN 3 WHEN q < 200 THEN 4 ELSE 5 END, floor((greatest(-1000, least(1000, l_extendedprice - 30000)) + 1000) / 100), least(20, floor((q - 1) / 5))]::BIGINT[] AS token
+ FROM (SELECT *, l_quantity::BIGINT AS q FROM lineitem)""")
 def ml04_move_tokens(spark, d):
-    pick = lambda k: F.element_at(F.array(*(F.lit(x[k]) for x in MOVE_NAMES)), (F.col("o_orderkey") % 5 + 1).cast("int"))
-    return table(spark, d, "orders").select("o_orderkey", style.move_token(pick(0), pick(1)).alias("t")).select("o_orderkey", "t.*")
+    """All nine fields of a move's token, of squares, names and values made of a line's columns."""
+    phases = ["first", "second", "third", "fourth"]
+    square = lambda c: F.concat(F.char(97 + F.col(c) % 8), (1 + F.floor(F.col(c) / 8) % 8).cast("string"))
+    uci = F.when(F.col("l_partkey") % 11 == 0, "0-0").otherwise(F.concat(square("l_partkey"), square("l_suppkey")))
+    san = F.element_at(F.array(*map(F.lit, SANS)), (F.col("l_suppkey") % 10 + 1).cast("int"))
+    phase, quantity = F.element_at(F.array(*map(F.lit, [*phases, *["other"] * 3])), F.col("l_linenumber").cast("int")), F.col("l_quantity").cast("long")
+    token = style.move_token(uci, san, F.col("l_returnflag") == "R", F.col("l_linestatus") == "O", phase, quantity, F.col("l_extendedprice") - 30000, quantity, phases)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", token.alias("token"))
 
 
 @query()
@@ -227,7 +259,7 @@ def ml09_clusters(spark, d):
 @query()
 def ml10_components(spark, d):
     out = style.principal_components(_features(spark, d), RATES)
-    return out.select("mover", *(F.round(F.col("components")[k], 4).alias(f"component_{k + 1}") for k in range(2)))
+    return out.select("player", *(F.round(F.col("components")[k], 4).alias(f"component_{k + 1}") for k in range(2)))
 
 
 @query("""WITH l AS (SELECT label, 'd' || i AS feature, embedding[i + 1]::DOUBLE AS value FROM embeddings, (SELECT unnest(range(0, 64)) AS i)),

@@ -275,12 +275,33 @@ def mv16_state_at(spark, d):
     return M.state_at(moves(spark, d), 4, ["eval_after_white", "time_after"])
 
 
-@query(f"""WITH {MOVES_SQL} SELECT game_id, ROUND(AVG(cp_loss) FILTER (WHERE time_spent >= 25) - AVG(cp_loss) FILTER (WHERE time_spent < 25), 6) AS complex_gap, ROUND(AVG(cp_loss) FILTER (WHERE fullmove > 1 AND fullmove <= 2), 6) AS after_book FROM moves GROUP BY 1""")
+BOARD_SQL = MOVES_SQL + """, board AS (SELECT *, least(cp_loss, 250) AS c, time_spent AS legal, 14 + (game_id + ply) % 19 AS pieces, 10 + ply AS material, (eval_before_white / 100)::DOUBLE AS balance, game_id % 3 AS book,
+  CASE WHEN is_white_move = 1 THEN eval_before_white ELSE -eval_before_white END AS eb, CASE WHEN is_white_move = 1 THEN eval_after_white ELSE -eval_after_white END AS ea FROM moves),
+ hard AS (SELECT *, legal >= 25 AND pieces >= 18 AND abs(eb) <= 200 AS hard, book > 0 AND fullmove > book AND fullmove <= book + 2 AS after_book FROM board)"""
+
+
+def _complexity(spark, d):
+    """Boards made of a move's columns: time spent stands for legal moves."""
+    rows = moves(spark, d).withColumns({
+        "eval_before": M.mover_view("eval_before_white"), "eval_after": M.mover_view("eval_after_white"), "legal_moves": F.col("time_spent"), "pieces": 14 + (F.col("game_id") + F.col("ply")) % 19,
+        "material": 10 + F.col("ply"), "balance": F.col("eval_before_white") / 100, "book_exit": F.col("game_id") % 3,
+    })
+    return A.complexity(rows, A.complexity_features(legal=25, edge=200, after_book=2, cap=250.0))
+
+
+COMPLEX_SQL = ", ".join([
+    "COUNT(*) AS move_count, AVG(legal) AS mean_legal_moves, AVG((legal >= 25)::INT) AS high_legal_share, AVG(pieces) AS mean_pieces_remaining, AVG(material) AS mean_total_material, AVG(abs(balance)) AS mean_abs_material_balance, AVG(abs(ea - eb)) AS mean_eval_volatility",
+    "AVG(c) FILTER (WHERE legal >= 25) AS high_legal_cp_loss, AVG(c) FILTER (WHERE legal < 25) AS low_legal_cp_loss, AVG(hard::INT) AS complex_share, AVG(c) FILTER (WHERE hard) AS complex_cp_loss, AVG(c) FILTER (WHERE NOT hard) AS quiet_cp_loss",
+    "AVG((cp_loss >= 200)::INT) FILTER (WHERE hard) AS complex_blunder_rate, COUNT(*) FILTER (WHERE after_book) AS post_book_moves, AVG(c) FILTER (WHERE after_book) AS post_book_cp_loss",
+    "AVG(c) FILTER (WHERE legal >= 25) - AVG(c) FILTER (WHERE legal < 25) AS high_minus_low_legal_cp_loss, AVG(c) FILTER (WHERE hard) - AVG(c) FILTER (WHERE NOT hard) AS complex_minus_quiet_cp_loss",
+])
+COMPLEX = "mean_legal_moves high_legal_share mean_pieces_remaining mean_total_material mean_abs_material_balance mean_eval_volatility high_legal_cp_loss low_legal_cp_loss complex_share complex_cp_loss quiet_cp_loss complex_blunder_rate post_book_cp_loss high_minus_low_legal_cp_loss complex_minus_quiet_cp_loss".split()
+
+
+@query(f"WITH {BOARD_SQL}, f AS (SELECT game_id, is_white_move, {COMPLEX_SQL} FROM hard GROUP BY 1, 2) SELECT game_id, is_white_move, move_count, post_book_moves, " + ", ".join(f"ROUND({c}, 6) AS {c}" for c in COMPLEX) + " FROM f")
 def mv18_complexity(spark, d):
-    """MV18 and MV19: loss in complex less in quiet positions; loss in the moves after the book."""
-    loss = F.col("cp_loss")
-    part = lambda c: F.avg(F.when(c, loss))
-    return moves(spark, d).groupBy("game_id").agg(r6(part(F.col("time_spent") >= 25) - part(F.col("time_spent") < 25), "complex_gap"), r6(part((F.col("fullmove") > 1) & (F.col("fullmove") <= 2)), "after_book"))
+    """MV18 and MV19: play in complex and in quiet positions, and in the moves after the book."""
+    return _complexity(spark, d).select("game_id", "is_white_move", "move_count", "post_book_moves", *(r6(c, c) for c in COMPLEX))
 
 
 @query(f"""WITH {MOVES_SQL}, p AS (SELECT *, CASE WHEN fullmove <= 1 THEN 0 WHEN fullmove <= 2 THEN 1 ELSE 2 END AS phase FROM moves),
@@ -290,11 +311,13 @@ def mv20_hazard(spark, d):
     return M.hazard_rows(moves(spark, d), [1, 2])
 
 
-@query(f"""WITH {MOVES_SQL}, z AS (SELECT game_id, ply, (time_spent - AVG(time_spent) OVER ()) / stddev_samp(time_spent) OVER () AS a, (eval_after_white - AVG(eval_after_white) OVER ()) / stddev_samp(eval_after_white) OVER () AS b FROM moves)
- SELECT game_id, ply, ROUND(a - b, 5) AS complexity FROM z""")
+_z = lambda c: f"({c} - AVG({c}) OVER ()) / stddev_samp({c}) OVER ()"
+
+
+@query(f"WITH {BOARD_SQL}, f AS (SELECT game_id, is_white_move, {COMPLEX_SQL} FROM hard GROUP BY 1, 2) SELECT game_id, is_white_move, ROUND({_z('mean_legal_moves')} + {_z('mean_pieces_remaining')} + {_z('mean_eval_volatility')} - {_z('mean_abs_material_balance')}, 5) AS complexity FROM f")
 def mv22_complexity_index(spark, d):
-    rows = W.standardised(W.standardised(moves(spark, d), "time_spent", "a"), "eval_after_white", "b")
-    return rows.select("game_id", "ply", F.round(F.col("a") - F.col("b"), 5).alias("complexity"))
+    """All four z-terms."""
+    return A.complexity_index(_complexity(spark, d)).select("game_id", "is_white_move", F.round("complexity_index", 5).alias("complexity"))
 
 
 @query(f"WITH {MOVES_SQL} SELECT game_id, mover, list_slice(list([is_capture, gives_check, cp_loss] ORDER BY ply), 1, 3) AS tokens FROM moves GROUP BY 1, 2 HAVING COUNT(*) >= 2")
