@@ -178,6 +178,12 @@ def board_features(fen: Column) -> Column:
     return F.struct(pieces.alias("pieces"), white.alias("white_material"), black.alias("black_material"), (white - black).alias("balance"), queens.alias("queens"), flag((queens == 0) | (pieces <= 22)).alias("simplified"))
 
 
+def with_piece_drop(positions: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """positions with piece_drop: pieces fewer than in the position before (0 in the first, and where none fell)."""
+    before = F.lag("pieces").over(Window.partitionBy(*keys).orderBy(order))
+    return positions.withColumn("piece_drop", F.coalesce(F.greatest(before - F.col("pieces"), F.lit(0)), F.lit(0)).cast("long"))
+
+
 def opening_of(url: Column) -> Column:
     """struct<name, depth> of an opening's URL: words of the last part up to `...`, and the highest move number in it."""
     slug = F.element_at(F.split(F.regexp_replace(url, r"[?#].*$", ""), "/"), -1)

@@ -326,22 +326,27 @@ def ml05_sequences(spark, d):
     return M.sequences(moves(spark, d), ["is_capture", "gives_check", "cp_loss"], 2, 3)
 
 
-#: Positions to show the board features on; move text and opening links to show the text ones on.
-POSITIONS = ["rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1", "r1bqk2r/ppp2ppp/2n2n2/3pp3/8/2N2N2/PPPPPPPP/R1BQK2R b - - 3 9", "8/5k2/8/3R4/8/2K5/8/8 w - - 0 60"]
-
-
-@query(
-    "WITH p(k, f) AS (VALUES "
-    + ", ".join(f"({k}, '{x}')" for k, x in enumerate(POSITIONS))
-    + """), o AS (SELECT o_orderkey, split_part(f, ' ', 1) AS b, f FROM orders JOIN p ON k = o_orderkey % 3),
- c AS (SELECT *, len(regexp_replace(b, '[^A-Za-z]', '', 'g')) AS pieces, len(regexp_replace(b, '[^Qq]', '', 'g')) AS queens,
-  len(regexp_replace(b, '[^P]', '', 'g')) + 3 * len(regexp_replace(b, '[^NB]', '', 'g')) + 5 * len(regexp_replace(b, '[^R]', '', 'g')) + 9 * len(regexp_replace(b, '[^Q]', '', 'g')) AS w,
-  len(regexp_replace(b, '[^p]', '', 'g')) + 3 * len(regexp_replace(b, '[^nb]', '', 'g')) + 5 * len(regexp_replace(b, '[^r]', '', 'g')) + 9 * len(regexp_replace(b, '[^q]', '', 'g')) AS l FROM o)
- SELECT o_orderkey, pieces, w AS white_material, l AS black_material, w - l AS balance, queens, CAST(queens = 0 OR pieces <= 22 AS BIGINT) AS simplified, array_to_string(split(f, ' ')[1:4], ' ') AS position_key FROM c"""
-)
+#: A board of each line: squares by a number made of the line's columns, a third of them empty.
+SQUARES = "PNBRQKpnbrqk111111"
+
+
+@query(f"""WITH l AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS ply FROM lineitem),
+ s AS (SELECT l_orderkey, ply, (l_partkey + sq * l_suppkey) % 18 AS c FROM (SELECT *, unnest(range(64)) AS sq FROM l)),
+ f AS (SELECT l_orderkey, ply, COUNT(*) FILTER (WHERE c < 12) AS pieces, SUM(CASE WHEN c < 6 THEN [1, 3, 3, 5, 9, 0][c + 1] ELSE 0 END)::BIGINT AS white_material, SUM(CASE WHEN c BETWEEN 6 AND 11 THEN [1, 3, 3, 5, 9, 0][c - 5] ELSE 0 END)::BIGINT AS black_material,
+  COUNT(*) FILTER (WHERE c IN (4, 10)) AS queens FROM s GROUP BY 1, 2),
+ k AS (SELECT l_orderkey, ply, array_to_string(list_transform(range(8), lambda r: array_to_string(list_transform(range(8), lambda x: substr('{SQUARES}', CAST((l_partkey + (8 * r + x) * l_suppkey) % 18 + 1 AS INTEGER), 1)), '')), '/') || ' w KQ e3' AS position_key FROM l)
+ SELECT l_orderkey, ply, pieces, white_material, black_material, white_material - black_material AS balance, queens, CAST(queens = 0 OR pieces <= 22 AS BIGINT) AS simplified, position_key,
+  coalesce(greatest(0, lag(pieces) OVER (PARTITION BY l_orderkey ORDER BY ply) - pieces), 0) AS piece_drop FROM f JOIN k USING (l_orderkey, ply)""")
 def mv15_board_features(spark, d):
-    """MV15 and ST10 over positions."""
+    """MV15 and ST10 over a board for each line, and the pieces that fell since the line before."""
     from rankflow.plans.fixtures import table
 
-    fen = F.element_at(F.array(*map(F.lit, POSITIONS)), (F.col("o_orderkey") % 3 + 1).cast("int"))
-    return table(spark, d, "orders").select("o_orderkey", M.board_features(fen).alias("b"), S.position_key(fen).alias("position_key")).select("o_orderkey", "b.*", "position_key").withColumns({c: F.col(c).cast("long") for c in ("white_material", "black_material", "balance")})
+    own = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    square = lambda i: F.substring(F.lit(SQUARES), ((F.col("l_partkey") + i * F.col("l_suppkey")) % 18 + 1).cast("int"), F.lit(1))
+    rank = lambda r: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda x: square(8 * r + x)), "")
+    fen = F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), rank), "/"), F.lit(" w KQ e3 0 "), F.col("l_linenumber").cast("string"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", F.row_number().over(own).cast("long").alias("ply"), fen.alias("fen"))
+    out = rows.select("l_orderkey", "ply", M.board_features(F.col("fen")).alias("b"), S.position_key("fen").alias("position_key")).select("l_orderkey", "ply", "b.*", "position_key")
+    out = out.withColumns({c: F.col(c).cast("long") for c in ("white_material", "black_material", "balance")})
+    return M.with_piece_drop(out, ["l_orderkey"], "ply")
+

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from rankflow.plans.fixtures import table
+from rankflow.shared import shared_dir
 from rankflow.streaming import incremental as I
 
 QUERIES, ORACLE = {}, {}
@@ -20,22 +19,18 @@ def query(sql: str):
     return register
 
 
-def _shared(spark) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/rankflow-{uuid.uuid4().hex}"
-
-
 @query("SELECT user_id FROM events GROUP BY 1")
 def ss01_unseen_ids(spark, d):
     """SS01 to SS03: each user once, however often they come."""
     stream = I.read_stream(spark, f"{d}/events.parquet").select("user_id")
-    return I.process_unseen(stream, "user_id", _shared(spark), lambda df: df)
+    return I.process_unseen(stream, "user_id", shared_dir(spark), lambda df: df)
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, COUNT(*) AS n FROM events GROUP BY 1, 2")
 def ss04_hourly_windows(spark, d):
     """Extension: tumbling windows over event time with a watermark."""
     stream = I.read_stream(spark, f"{d}/events.parquet", "ts").select("ts", "event_type")
-    return I.counted_windows(stream, "ts", ["event_type"], "1 hour", None, "2 hours", _shared(spark)).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return I.counted_windows(stream, "ts", ["event_type"], "1 hour", None, "2 hours", shared_dir(spark)).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - LAG(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),

@@ -143,13 +143,14 @@ def mp01_lookup_default(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.coalesce(F.try_element_at(levels, "o_orderpriority"), F.lit(0)).cast("long").alias("level"))
 
 
-OPENINGS = ["https://x.org/openings/Kings-Pawn-Opening-1...e5-2.Nf3-Nc6-3.Bb5", "https://x.org/openings/Sicilian-Defense-2.Nf3?ref=1", "https://x.org/openings/"]
-
-
-@query("SELECT o_orderkey, ['Kings Pawn Opening 1', 'Sicilian Defense', NULL][o_orderkey % 3 + 1] AS name, [3, 2, NULL][o_orderkey % 3 + 1]::BIGINT AS depth FROM orders")
+@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name || ' ' || p_size WHEN 1 THEN p_name END AS name, CASE p_partkey % 3 WHEN 0 THEN p_size + 1 WHEN 1 THEN p_size END::BIGINT AS depth FROM part""")
 def mv17_openings(spark, d):
-    opening = M.opening_of(F.element_at(F.array(*map(F.lit, OPENINGS)), (F.col("o_orderkey") % 3 + 1).cast("int")))
-    return table(spark, d, "orders").select("o_orderkey", opening["name"].alias("name"), opening["depth"].alias("depth"))
+    """Opening links made of parts' names and sizes: with and without a black move, with a query, and without a name."""
+    slug, size = F.replace("p_name", F.lit(" "), F.lit("-")), F.col("p_size").cast("string")
+    after = (F.col("p_size") + 1).cast("string")
+    link = F.when(F.col("p_partkey") % 3 == 0, F.concat(slug, F.lit("-"), size, F.lit("...e5-"), after, F.lit(".Nf3-Nc6"))).when(F.col("p_partkey") % 3 == 1, F.concat(slug, F.lit("-"), size, F.lit(".Nf3?ref=99.")))
+    opening = M.opening_of(F.concat(F.lit("https://x.org/openings/"), F.coalesce(link, F.lit(""))))
+    return table(spark, d, "part").select("p_partkey", opening["name"].alias("name"), opening["depth"].alias("depth"))
 
 
 @query("""WITH a AS (SELECT c_custkey, lower(regexp_extract(c_name, '([0-9]+)$', 1)) AS f FROM customer), b AS (SELECT s_suppkey, lower(regexp_extract(s_name, '([0-9]+)$', 1)) AS f FROM supplier)
