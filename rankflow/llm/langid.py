@@ -25,11 +25,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from rankflow.llm.common import held, written
+from rankflow.llm.radix import top_k
 from rankflow.llm.tokencount import BLANK, read_scores
 
 #: Documents that a fit reads at most, and rounds of expectation-maximisation.
@@ -231,9 +232,10 @@ def fit(labelled: DataFrame, path: str, text: str = "text", lang: str = "lang",
     """Model {languages, probabilities by piece, floor} from rows with text and lang (nulls are left out)."""
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
     rows = rows.where(F.col("text").rlike(LETTER)).withColumn("h", F.xxhash64("text", "lang"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # cut in every task before the exchange
-    placed = rows.select("lang", "h").distinct().withColumn("place", place).where(F.col("place") <= max_train_docs)
-    placed = written(placed)
+    # The least hashes of each language, by histograms of their bits: no task holds the rows of a language.
+    order = 2**63 - 1 - F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(-(2**63))), 1)
+    hashes = written(rows.select("lang", "h", order.alias("order"), F.col("h").cast("string").alias("digits")).distinct())
+    placed = written(top_k(hashes, ["lang"], "order", "digits", max_train_docs).select("lang", "h", F.col("rank").alias("place")))
     picked = placed.orderBy("place", "h").limit(max_train_docs).union(placed.where("place = 1"))
     edges = picked.groupBy("lang").agg(F.max("h").alias("edge"))
     if not edges.head(1):
