@@ -5,6 +5,7 @@ Each distinct value of a batch is worked on once.
 
 from __future__ import annotations
 
+import html
 import re
 import unicodedata
 from collections.abc import Callable
@@ -99,3 +100,13 @@ def name_variants(text: str | Column) -> Column:
         return _of_distinct(variants, pa.list_(pa.string()), column)
 
     return read(F.col(text) if isinstance(text, str) else text)
+
+
+def unescaped(text: Column) -> Column:
+    """Text with HTML's character references decoded; null stays null."""
+
+    @arrow_udf("string")
+    def decode(column: pa.Array) -> pa.Array:
+        return pa.array([x if x is None or "&" not in x else html.unescape(x) for x in column.to_pylist()], pa.string())
+
+    return decode(text)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rankflow.functions.names import folded
+from rankflow.functions.names import folded, unescaped
 
 
 def col(x: str | Column) -> Column:
@@ -155,19 +155,44 @@ def name_forms(text) -> Column:
     return F.when(name.isNotNull(), F.array_distinct(F.filter(forms, lambda x: x != "")))
 
 
-def camel_words(text) -> Column:
-    """Words of a user name: capitals and non-letters begin a new one; lower case, of two letters or more."""
-    spaced = F.regexp_replace(F.regexp_replace(col(text), r"([a-z])([A-Z])", "$1 $2"), r"[^A-Za-z]+", " ")
-    return F.filter(F.split(F.lower(F.trim(spaced)), " "), lambda w: F.length(w) >= 2)
+#: Words of user names and lists that are no names.
+STOP_WORDS = ["gm", "im", "fm", "cm", "wgm", "wim", "wfm", "wcm", "nm", "wnm", "chess", "jr", "sr", "ii", "iii"]
+
+
+def camel_words(text, stop: list[str] | None = None) -> Column:
+    """Words of a user name: capitals, the last capital of several before a small letter, and non-letters begin a new one;
+    lower case, of two letters or more, without stop words (STOP_WORDS, unless given)."""
+    spaced = F.regexp_replace(F.regexp_replace(col(text), r"([a-z])([A-Z])", "$1 $2"), r"([A-Z]+)([A-Z][a-z])", "$1 $2")
+    words = F.split(F.lower(F.trim(F.regexp_replace(spaced, r"[^A-Za-z]+", " "))), " ")
+    stops = STOP_WORDS if stop is None else stop
+    return F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(stops) if stops else F.length(w) >= 2)
 
 
 def plain_text(html) -> Column:
-    """HTML without script and style blocks and tags; the five named entities and no-break spaces decoded."""
+    """HTML without script and style blocks and tags, all character references decoded, white space as single blanks."""
     out = F.regexp_replace(col(html), r"(?is)<(script|style)\b.*?</\1\s*>", " ")
-    out = F.regexp_replace(out, r"(?s)<[^>]*>", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(out, r"[ \t\n\r\f\x0B]+", " "))
+    out = unescaped(F.regexp_replace(out, r"(?s)<[^>]+>", " "))
+    return F.trim(F.regexp_replace(out, r"[ \t\n\r\f\x0B\x1C-\x1F\x85\p{Z}]+", " "))
+
+
+#: Countries by climate.
+SOUTHERN = [
+    "Argentina", "Australia", "Bolivia", "Botswana", "Brazil", "Chile", "Fiji", "Indonesia", "Lesotho", "Madagascar", "Malawi", "Mauritius", "Mozambique", "Namibia", "New Zealand", "Paraguay",
+    "Peru", "South Africa", "Tanzania", "Uruguay", "Zambia", "Zimbabwe",
+]
+TROPICAL = [
+    "Bangladesh", "Barbados", "Belize", "Cambodia", "Colombia", "Costa Rica", "Cuba", "Dominican Republic", "Ecuador", "El Salvador", "Ghana", "Guam", "Guyana", "Honduras", "Hong Kong", "India",
+    "Indonesia", "Jamaica", "Kenya", "Malaysia", "Mexico", "Myanmar", "Nicaragua", "Nigeria", "Panama", "Peru", "Philippines", "Puerto Rico", "Singapore", "Sri Lanka", "Thailand",
+    "Trinidad and Tobago", "Vietnam", "Venezuela",
+]
+
+
+def climate(country, month) -> Column:
+    """struct<southern, tropical, northern_temperate, winter> (0 or 1) of a country and a month: winter is June to August in
+    the south, never in the tropics, else December to February. A country of both lists is southern for its winter."""
+    south, tropics = flag(col(country).isin(SOUTHERN)), flag(col(country).isin(TROPICAL))
+    winter = F.when(south == 1, flag(month.isin(6, 7, 8))).when(tropics == 1, 0).otherwise(flag(month.isin(12, 1, 2)))
+    return F.struct(south.alias("southern"), tropics.alias("tropical"), flag((south == 0) & (tropics == 0)).alias("northern_temperate"), winter.alias("winter"))
 
 
 def last_segment(url) -> Column:

@@ -60,14 +60,16 @@ def st05_name_forms(spark, d):
     )
 
 
-@query("SELECT c_custkey, [lower(regexp_extract(c_name, '^([A-Za-z]+)', 1))] AS words FROM customer")
+@query("SELECT p_partkey, list_filter(split(lower(p_name), ' '), lambda w: len(w) >= 2) AS words FROM part")
 def st06_camel_words(spark, d):
-    return table(spark, d, "customer").select("c_custkey", S.camel_words("c_name").alias("words"))
+    """User names made of parts' names, with titles and numbers in them."""
+    name = F.concat(F.lit("GM"), F.replace(F.initcap("p_name"), F.lit(" "), F.lit("")), F.lit("_"), F.col("p_partkey").cast("string"), F.lit("chess"))
+    return table(spark, d, "part").select("p_partkey", S.camel_words(name).alias("words"))
 
 
 @query("""WITH a AS (SELECT page_id, regexp_replace(html, '<(script|style)\\b[^>]*>.*?</(script|style)\\s*>', ' ', 'gis') AS t FROM pages),
  b AS (SELECT page_id, regexp_replace(t, '<[^>]*>', ' ', 'gs') AS t FROM a),
- c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS t FROM b)
+ c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS t FROM b)
  SELECT page_id, trim(regexp_replace(t, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS text FROM c""")
 def st07_plain_text(spark, d):
     """ST07 and SC15."""
@@ -110,6 +112,16 @@ def dt01_timestamps(spark, d):
     return table(spark, d, "events").select("event_id", parsed.cast("timestamp_ntz").alias("parsed"), (F.hour(parsed) + F.minute(parsed) / 60).cast("double").alias("decimal_hour"))
 
 
+@query("""SELECT o_orderkey, (k IN (0, 1))::BIGINT AS southern, (k IN (1, 2))::BIGINT AS tropical, (k = 3)::BIGINT AS northern_temperate, CASE WHEN k IN (0, 1) THEN m IN (6, 7, 8) WHEN k = 2 THEN false ELSE m IN (12, 1, 2) END::BIGINT AS winter
+ FROM (SELECT o_orderkey, c_nationkey % 4 AS k, month(o_orderdate) AS m FROM orders JOIN customer ON o_custkey = c_custkey)""")
+def dt03_climate(spark, d):
+    """Hemisphere, tropics and winter of an order's month and of a country by its customer's nation."""
+    orders, customers = table(spark, d, "orders"), table(spark, d, "customer")
+    country = F.element_at(F.array(*(F.lit(x) for x in ("Chile", "Peru", "Kenya", "Norway"))), (F.col("c_nationkey") % 4 + 1).cast("int"))
+    rows = orders.join(customers, orders.o_custkey == customers.c_custkey)
+    return rows.select("o_orderkey", S.climate(country, F.month("o_orderdate")).alias("c")).select("o_orderkey", "c.*")
+
+
 @query("SELECT event_id, CAST((hour(ts) - 8 + 24) % 24 AS BIGINT) AS local_hour, least((hour(ts) - 20 + 24) % 24, 24 - (hour(ts) - 20 + 24) % 24) AS from_evening, CASE WHEN month(ts) IN (12, 1, 2) THEN (CASE WHEN user_id % 2 = 0 THEN 'winter' ELSE 'summer' END) ELSE 'other' END AS season, ROUND(date_diff('day', DATE '2024-01-16', CAST(ts AS DATE)) / 7, 6) AS weeks FROM events")
 def dt02_hours_and_seasons(spark, d):
     """DT02 to DT04 and MT01: hours on the clock, hemisphere's season, weeks since a date."""

@@ -272,3 +272,12 @@ def test_readings_of_cyrillic_names(spark):
     assert names.variants("Ivanov") == ["ivanov"] and names.variants("12 -") == [] and len(names.variants("яюёйхщ " * 6)) <= 65
     got = spark.createDataFrame([("Юрий",), (None,), ("Юрий",), ("",)], "t string").select(names.name_variants("t").alias("v")).collect()
     assert [r.v for r in got] == [names.variants("Юрий"), None, names.variants("Юрий"), []]
+
+
+def test_text_of_pages_and_user_names(spark):
+    cases = {"a&eacute;&#233;&#xe9;&amp;lt;<b>x</b><script>no</script>\u00a0&nbsp;&thinsp;y<style a>z</style >": "aééé&lt; x y", "&notin;&unknown; <>": "∉&unknown; <>", None: None, "": ""}
+    got = spark.createDataFrame([(k,) for k in cases], "t string").select("t", S.plain_text("t").alias("p")).collect()
+    assert {r.t: r.p for r in got} == cases
+    users = {"GMJohnDoe_99chess": ["john", "doe"], "xIMSmithJr": ["smith"], "": [], "ABCDef": ["abc", "def"]}
+    got = spark.createDataFrame([(k,) for k in users], "t string").select("t", S.camel_words("t").alias("w"), S.camel_words("t", []).alias("all")).collect()
+    assert {r.t: r.w for r in got} == users and {r.t: r["all"] for r in got}["xIMSmithJr"] == ["im", "smith", "jr"]
