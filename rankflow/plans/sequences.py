@@ -178,7 +178,7 @@ CLOCKS_SQL = ", ".join([
   CASE WHEN is_white_move = 1 THEN game_id % 3 / 2 ELSE 1 - game_id % 3 / 2 END AS r FROM clocked)
  SELECT game_id, is_white_move, {CLOCKS_SQL} FROM r WHERE (game_id + ply) % 11 <> 0 GROUP BY 1, 2""")
 def ag16_player_game_clocks(spark, d):
-    """The wide accumulator: 65 features of a side's game and five of each of four phases, one aggregation."""
+    """The wide accumulator: 56 features of a side's game and five of each of four phases, one aggregation."""
     mark = F.col("game_id") + F.col("ply")
     score = F.col("game_id") % 3 / 2
     rows = clocked(spark, d).withColumns({
