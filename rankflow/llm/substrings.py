@@ -13,7 +13,8 @@ Block probes use hashes of 40 bits or more, by the size of the corpus, and only
 
 Cases: null texts have no words and give an empty kept text, as do empty ones; rows with equal doc_id and text are one
 document and get the same result; equal doc_ids with different texts are ordered by text hash; a null doc_id comes
-first; documents of any length are read whole; documents shorter than a window stay, words joined by one blank.
+first; ids of other types than whole numbers are an error; documents of any length are read whole; documents shorter than
+a window stay, words joined by one blank.
 """
 
 from __future__ import annotations
@@ -57,6 +58,8 @@ def _blocks(texts: list, block: int, bits: int):
 
 def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW) -> DataFrame:
     """df with kept_text (string), n_words and n_removed (long)."""
+    if not isinstance(df.schema[doc_id].dataType, T.IntegralType):
+        raise TypeError(f"{doc_id} is {df.schema[doc_id].dataType.simpleString()}: documents need whole numbers, in whose order a window is earlier")
     block, size = max(1, window // 2), fp.plan(df, text)
     bits, buckets = size["bits"], size["buckets"]
     added = ["kept_text", "n_words", "n_removed"]

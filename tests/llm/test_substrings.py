@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from rankflow.llm import substrings
 from rankflow.llm.common import WORD
 
@@ -60,3 +62,8 @@ def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b", "x", 5)], "doc_id long, text string, Kept_Text string, bucket int")
     row = substrings.remove_repeats(df).first()
     assert row["kept_text"] == "a b" and row["bucket"] == 5 and row["n_removed"] == 0
+
+
+def test_ids_must_be_whole_numbers(spark):
+    with pytest.raises(TypeError, match="doc_id is string"):
+        substrings.remove_repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
