@@ -42,12 +42,14 @@ def dense_panel(observed: DataFrame, left: DataFrame, right: DataFrame, value: s
 
 
 def prefix_matches(left: DataFrame, right: DataFrame, left_text: str, right_text: str, on: list[str], least: int = 3) -> DataFrame:
-    """Pairs of rows, equal in on, one of whose texts' words is a prefix of at least so many letters of a word of the
-    other side: the prefixes of each side's words, up to the whole word, are joined with the other side's words."""
+    """Distinct pairs of texts, equal in on, one of whose words is a prefix of at least so many letters of a word of the
+    other side: the prefixes of each side's words, up to the whole word, are joined with the other side's words. Each text
+    enters once, so that rows that repeat it do not multiply the pairs."""
 
     def words(df: DataFrame, column: str, name: str) -> DataFrame:
-        own = F.filter(F.split(F.lower(column), r"[^a-z]+"), lambda w: F.length(w) >= least)
-        return df.select(*on, F.col(column).alias(name), F.explode(F.array_distinct(own)).alias("w"))
+        own = F.filter(F.split(F.lower(name), r"[^a-z]+"), lambda w: F.length(w) >= least)
+        texts = df.select(*on, F.col(column).alias(name)).distinct()
+        return texts.select(*on, name, F.explode(F.array_distinct(own)).alias("w"))
 
     def prefixes(word: DataFrame, name: str) -> DataFrame:
         ends = F.sequence(F.lit(least), F.length("w"))

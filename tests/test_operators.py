@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import time
 
 import numpy as np
 import pytest
@@ -175,6 +176,14 @@ def test_prefix_matches_of_long_words(spark):
     assert got == want and (0, "Nepomniachtchi", "nepomniachtchi ian") in got
 
 
+def test_prefix_matches_of_texts_that_repeat(spark):
+    """40,000 rows of one text on each side are one pair, not 1.6 billion on the way to it."""
+    start = time.monotonic()
+    copies = spark.range(40_000).select((F.col("id") * 0).alias("g"), F.lit("Nepomniachtchi Ian").alias("name"))
+    assert [tuple(r) for r in R.prefix_matches(copies, copies, "name", "name", ["g"]).collect()] == [(0, "Nepomniachtchi Ian", "Nepomniachtchi Ian")]
+    assert time.monotonic() - start < 60
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, 0.5, "a"), (2, float("nan"), None), (3, -0.0000001, "c")], "k long, x double, s string")
     sinks.write_csv(df, f"{tmp_path}/out", ["k", "x", "s"])
