@@ -168,10 +168,11 @@ def camel_words(text, stop: list[str] | None = None) -> Column:
     return F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(stops) if stops else F.length(w) >= 2)
 
 
-def plain_text(html) -> Column:
-    """HTML without script and style blocks and tags, all character references decoded, white space as single blanks."""
+def plain_text(html, closed: bool = False) -> Column:
+    """HTML without script and style blocks and tags, all character references decoded (closed: only those that a semicolon
+    ends), white space as single blanks."""
     out = F.regexp_replace(col(html), r"(?is)<(script|style)\b.*?</\1\s*>", " ")
-    out = unescaped(F.regexp_replace(out, r"(?s)<[^>]+>", " "))
+    out = unescaped(F.regexp_replace(out, r"(?s)<[^>]+>", " "), closed)
     return F.trim(F.regexp_replace(out, r"[ \t\n\r\f\x0B\x1C-\x1F\x85\p{Z}]+", " "))
 
 

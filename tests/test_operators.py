@@ -4,6 +4,7 @@ import datetime
 import random
 import time
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from rankflow.operators import relational as R
 from rankflow.operators import resolve as E
 from rankflow.operators import stats, swiss
 from rankflow.operators import windows as W
+from rankflow.plans import text
 from rankflow.sources import files, sinks
 
 PANEL = "tournament int, round int, player string, opponent string, half long"
@@ -283,6 +285,18 @@ def test_readings_of_cyrillic_names(spark):
     assert [r.v for r in got] == [names.variants("Юрий"), None, names.variants("Юрий"), []]
 
 
+def test_plain_text_query_keeps_references_without_semicolon(spark, tmp_path):
+    """Equal to the twin where `&amp` has no semicolon; the operator alone decodes it, as HTML does."""
+    pages = ["<p>und&&&amp Ist</p>", "a&amp;lt;b &lt;c&gt; &copy; d", "&ampx; &amp", "&amp;amp; &#39;x&#39; &quot;&middot;"]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.text for r in text.QUERIES["st07_plain_text"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == dict(con.execute(text.ORACLE["st07_plain_text"]).fetchall()) and got[0] == "und&&&amp Ist"
+    decoded = spark.createDataFrame([(pages[0],)], "t string").select(S.plain_text("t").alias("a"), S.plain_text(F.concat("t", F.lit("&#xe9;&eacute;&bad;")), closed=True).alias("b")).first()
+    assert (decoded.a, decoded.b) == ("und&&& Ist", "und&&&amp Ist éé&bad;")
+
+
 def test_text_of_pages_and_user_names(spark):
     cases = {"a&eacute;&#233;&#xe9;&amp;lt;<b>x</b><script>no</script>\u00a0&nbsp;&thinsp;y<style a>z</style >": "aééé&lt; x y", "&notin;&unknown; <>": "∉&unknown; <>", None: None, "": ""}
     got = spark.createDataFrame([(k,) for k in cases], "t string").select("t", S.plain_text("t").alias("p")).collect()
