@@ -6,8 +6,16 @@ entity; ties are left unresolved with their number, not broken by chance.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+
+from rankflow.functions.scalar import flag
+from rankflow.operators.ranges import carried, cut_by_range
 
 
 def blank_to_null(x: str | Column) -> Column:
@@ -67,6 +75,70 @@ def select_with_margin(candidates: DataFrame, left_id: str, right_id: str, score
     return out.withColumn("confidence", label).withColumn("chosen", F.when(F.col("confidence") != "unsure", F.col("chosen"))).drop("__n")
 
 
+def _last_double(holds: Callable[[np.ndarray], np.ndarray], n: int) -> np.ndarray:
+    """The greatest double for which holds is true, for each of n elements, found by halves; holds is true up to some
+    double and false beyond it (-inf if it is never true)."""
+
+    def double(at: np.ndarray) -> np.ndarray:  # whole numbers in the order of the doubles
+        return np.where(at >= 0, at, at ^ np.int64(0x7FFFFFFFFFFFFFFF)).view(np.float64)
+
+    top = np.array([np.inf]).view(np.int64)[0]
+    low, high = np.full(n, -top - 1), np.full(n, top)
+    while (low < high).any():
+        middle = (low | high) - ((low ^ high) >> 1)  # half of the sum, rounded up
+        true = holds(double(middle))
+        low, high = np.where(true, middle, low), np.where(true, high, np.maximum(middle - 1, low))
+    return double(low)
+
+
+def _last_below(value: Column, width: float, inside: bool) -> Column:
+    """The greatest double x with x - value <= width (inside) or x - value < -width, by the very subtraction of doubles."""
+
+    @arrow_udf("double")
+    def last(column: pa.Array) -> pa.Array:
+        own = column.to_numpy(zero_copy_only=False)
+        holds = (lambda x: x - own <= width) if inside else (lambda x: x - own < -width)
+        with np.errstate(all="ignore"):
+            return pa.array(_last_double(holds, len(own)), mask=np.array(column.is_null()))
+
+    return last(value)
+
+
+def leading_in_bands(left: DataFrame, right: DataFrame, left_id: str, right_id: str, on: tuple[str, str], left_value: str, right_value: str, width: float, evidence: Column) -> DataFrame:
+    """left_id, left_value, right_id, right_value, evidence: of all pairs with equal keys (on: left and right name), those
+    that can be among the two best of a left row when the score depends on evidence (a condition on right's row) and on
+    whether the values differ by at most width, and ties go to the greater right value, then the lesser right_id (a whole
+    number). These are the two greatest right values above the band, inside it and below it, with and without evidence:
+    twelve at most for a left row, found by one order of right's values and the bands' ends, never by pairing. left_id is
+    a key of left; null values are below every band, NaN above."""
+    keys, value = ["__key", "__kind"], F.col(left_value)
+    wide = lambda x: x.cast("double")
+    here = right.where(F.col(on[1]).isNotNull()).select(
+        F.col(on[1]).alias("__key"), flag(evidence).alias("__kind"), F.struct(wide(F.col(right_value)).alias("v"), (-F.col(right_id)).alias("id"), F.lit(0).alias("end")).alias("__at"),
+        F.lit(None).cast(left.schema[left_id].dataType).alias(left_id), F.lit(None).cast("double").alias(left_value), F.lit(None).cast("string").alias("__band"),
+    )
+    end = lambda name, at: F.struct(F.lit(name).alias("__band"), at.alias("v"))
+    ends = left.where(F.col(on[0]).isNotNull()).select(F.col(on[0]).alias("__key"), left_id, wide(value).alias(left_value)).select(
+        "*", _last_below(value, width, True).alias("__inside"), _last_below(value, width, False).alias("__below")
+    )
+    ends = ends.select("__key", left_id, left_value, F.inline(F.array(end("above", F.lit(float("nan"))), end("inside", F.col("__inside")), end("below", F.col("__below")))))
+    ends = ends.withColumn("__kind", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))))
+    ends = ends.withColumn("__at", F.struct(F.col("v"), F.lit(2**63 - 1).alias("id"), F.lit(1).alias("end"))).drop("v")
+    cut = cut_by_range(here.unionByName(ends), keys, "__at").withColumn("__own", F.when(F.col("__band").isNull(), F.col("__at")))
+    before = Window.partitionBy("part", *keys).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+
+    def greatest_before(rows: DataFrame, column: str, name: str) -> DataFrame:
+        earlier = carried(rows, keys, F.max(column), "__earlier", None, F.max)
+        return rows.withColumn(name, F.max(column).over(before)).join(earlier, ["part", *keys]).withColumn(name, F.coalesce(name, "__earlier")).drop("__earlier")
+
+    first = greatest_before(cut, "__own", "__next").withColumn("__two", F.when(F.col("__own").isNotNull(), F.struct(F.col("__own").alias("a"), F.col("__next").alias("b"))))
+    found = greatest_before(first, "__two", "__found").where("__band IS NOT NULL")
+    pairs = found.select(left_id, left_value, "__band", (F.col("__kind") == 1).alias("evidence"), F.explode(F.array("__found.a", "__found.b")).alias("__r")).where("__r IS NOT NULL")
+    gap = F.col("__r.v") - F.col(left_value)
+    band = F.when(F.coalesce(F.abs(gap) <= width, F.lit(False)), "inside").when(F.coalesce(gap < -width, F.lit(False)) | F.col("__r.v").isNull(), "below").otherwise("above")
+    return pairs.where(band == F.col("__band")).select(left_id, left_value, (-F.col("__r.id")).alias(right_id), F.col("__r.v").alias(right_value), "evidence")
+
+
 def support_score(evidence: list[tuple[Column, int]]) -> Column:
     """Sum of the weights of the conditions that hold; unknown ones count nothing."""
     return sum((F.when(c, F.lit(w)).otherwise(0) for c, w in evidence), F.lit(0)).cast("long")

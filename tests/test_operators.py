@@ -186,6 +186,23 @@ def test_prefix_matches_of_texts_that_repeat(spark):
     assert time.monotonic() - start < 60
 
 
+def test_leading_in_bands_finds_the_two_best_of_all_pairs(spark):
+    """Against all pairs: ties, null, NaN and infinite values, missing keys, values at the very ends of a band."""
+    rnd = random.Random(5)
+    odd = [None, float("nan"), float("inf"), -float("inf"), 0.1 + 0.2, 0.3, -0.0, 1.1, 2.1, 2.1000000000000001, 3.3000000000000003]
+    value = lambda: rnd.choice(odd) if rnd.random() < 0.4 else round(rnd.uniform(-3, 4), 1)
+    c = spark.createDataFrame([(i, rnd.choice([None, 1, 2, 2, 3]), value(), rnd.choice([None, "m", "m", "x"])) for i in range(160)], "c long, ck int, cv double, seg string")
+    s = spark.createDataFrame([(i, rnd.choice([None, 1, 2, 3, 4]), value()) for i in range(60)], "s long, sk int, sv double")
+    near, machinery = F.abs(F.col("cv") - F.col("sv")) <= 1.0, F.col("seg") == "m"
+    every = s.join(c, s.sk == c.ck).select("s", "c", "cv", E.support_score([(machinery, 2), (near, 1)]).alias("score"))
+    pairs = E.leading_in_bands(s, c, "s", "c", ("sk", "ck"), "sv", "cv", 1.0, machinery)
+    few = pairs.select("s", "c", "cv", E.support_score([(F.col("evidence"), 2), (near, 1)]).alias("score"))
+    best = lambda df: sorted(str(tuple(r)) for r in E.select_with_margin(df, "s", "c", "score", "cv", 0.5, 0.3).collect())
+    assert best(few) == best(every) and len(best(every)) > 20
+    most = few.groupBy("s").count().agg(F.max("count")).first()[0]
+    assert most <= 12 and few.exceptAll(every).isEmpty()
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, 0.5, "a"), (2, float("nan"), None), (3, -0.0000001, "c")], "k long, x double, s string")
     sinks.write_csv(df, f"{tmp_path}/out", ["k", "x", "s"])
