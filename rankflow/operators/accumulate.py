@@ -109,9 +109,10 @@ def dynamics(moves: DataFrame, edge: float = 200, equal: float = 100, cap: float
     +edge and the first -edge from its view, and in the own moves that follow its first blunder. keep: game_id and
     is_white_move of the rows wanted.
 
-    The state of a row is where it stands to the first crossings: two windows over one sort by game, side and ply."""
+    The state of a row is where it stands to the first crossings: two windows over one sort by game, side and ply. Moves
+    that are partitioned by game are not shuffled again."""
     rows = moves.select("game_id", "ply", "fullmove", "is_white_move", F.coalesce(F.col("cp_loss").cast("double"), F.lit(0.0)).alias("loss"), clip("eval_after_white", -cap, cap).cast("double").alias("white"))
-    sides = rows.repartition("game_id").select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
+    sides = rows.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
     sides = sides.withColumns({"e": F.when(F.col("side") == 1, F.col("white")).otherwise(-F.col("white")), "own": F.col("side") == F.col("is_white_move")})
     all_rows = Window.partitionBy("game_id", "side")
     sides = sides.withColumn("n", F.sum(F.col("own").cast("long")).over(all_rows.orderBy("ply").rowsBetween(Window.unboundedPreceding, 0)))

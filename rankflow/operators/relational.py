@@ -5,6 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a part: sorts and aggregates of some columns over them take some hundred MB of a task.
+PART_ROWS = 200_000
+
+
+def in_parts(df: DataFrame, rows: int, keys: list[str], part_rows: int | None = None) -> DataFrame:
+    """df, of so many rows, in parts of about part_rows rows (PART_ROWS, unless given), hash-partitioned by keys: what follows on these keys (joins,
+    windows, aggregates) uses these parts, so that a task's memory does not grow with the table. Left to themselves,
+    shuffles have a set number of partitions, and those are merged up to a size in bytes that sorted rows exceed many
+    times. Tables so small that the cores' equal shares are no larger are left as they are."""
+    session = df.sparkSession
+    n = -(-rows // (part_rows or PART_ROWS))
+    if n <= session.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(max(n, int(session.conf.get("spark.sql.shuffle.partitions"))), *keys)
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:

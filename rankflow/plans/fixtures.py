@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankflow.operators import swiss
+from rankflow.operators.relational import in_parts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,8 +38,11 @@ def player_game(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One move per row: an order's lines in order, with evaluations and clocks that run through the game."""
+    """One move per row: an order's lines in order, with evaluations and clocks that run through the game. The parts of
+    games have a bounded number of rows, and all that follows by game stays in them."""
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    columns = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag", "l_linestatus"]
+    lines = in_parts(lines.select(*columns), lines.count(), ["l_orderkey"])  # a count reads the files' footers
     own = Window.partitionBy("game_id").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     base = lines.join(orders.select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("l_orderkey").alias("game_id"), "l_linenumber", "l_partkey", "l_suppkey",

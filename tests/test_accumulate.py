@@ -1,6 +1,13 @@
 """Declared accumulators on hand-made games: missing clocks, first crossings, what follows a blunder, ties and nulls."""
 
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
 from rankflow.operators import accumulate as A
+from rankflow.operators import relational as R
+from rankflow.plans import fixtures
 
 MOVES = "game_id long, ply long, fullmove long, is_white_move long, cp_loss double, eval_before double, eval_after double, time_before double, time_after double, time_spent double, result double"
 
@@ -35,3 +42,13 @@ def test_dynamics_of_a_game(spark):
     assert (white.eval_after_first_blunder_cp, white.best_eval_next5_after_blunder_cp, white.additional_eval_drop_next5_after_blunder_cp, white.recovered_to_equal_next5_after_blunder) == (-10.0, 5000.0, 190.0, 1)
     assert (black.first_plus2_ply, black.first_minus2_ply, black.first_blunder_ply_dynamic, black.cascade_blunder_next5, black.recovered_to_equal_next5_after_blunder) == (6, 2, None, None, None)
     assert len(white) == 33 and A.dynamics(df, keep=df.where("ply = 1")).count() == 1 and A.dynamics(df.where("ply = 1")).count() == 1
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_parts_of_games_have_bounded_rows(spark, monkeypatch):
+    """The rows of a part of moves do not grow with the table, and what follows by game stays in these parts."""
+    monkeypatch.setattr(R, "PART_ROWS", 300)
+    rows = fixtures.moves(spark, "/root/testdata/sf0.001")
+    parts = rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()
+    assert len(parts) == 20 and max(r.n for r in parts) < 600 and sum(r.n for r in parts) == 6000
+    assert A.dynamics(rows).rdd.getNumPartitions() == 20
