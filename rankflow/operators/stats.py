@@ -11,6 +11,7 @@ import math
 from itertools import combinations_with_replacement
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ from rankflow.shared import written
 
 #: Cells of effects that are solved in the driver's memory (some 100 bytes each); with more of them Spark solves.
 DRIVER_CELLS = 200_000
+#: Levels of an effect whose equations are solved on the driver after the other effect is put into them.
+FEW_LEVELS = 200
 
 
 def demean(df: DataFrame, columns: list[str], effects: list[str], weight: str | None = None, tolerance: float = 1e-10, most: int = 1000) -> DataFrame:
@@ -36,8 +39,13 @@ def demean(df: DataFrame, columns: list[str], effects: list[str], weight: str |
         names = [f"__e{i}" for i in range(len(effects))]
         cells = df.groupBy(*(F.col(e).alias(n) for e, n in zip(effects, names))).agg(F.sum(w).alias("__w"), *(F.sum(w * F.col(c)).alias(f"__{c}") for c in columns))
         cells = written(cells.where("__w > 0"))
-        solve = _solve_here if cells.limit(DRIVER_CELLS + 1).count() <= DRIVER_CELLS else _solve_in_tables
-        fits = solve(cells, names, [f"__{c}" for c in columns], tolerance, most)
+        sums = [f"__{c}" for c in columns]
+        if cells.limit(DRIVER_CELLS + 1).count() <= DRIVER_CELLS:
+            fits = _solve_here(cells, names, sums, tolerance, most)
+        elif len(names) == 2 and (few := _with_few_levels(cells, names)):
+            fits = _solve_by_the_few(cells, names, sums, *few)
+        else:
+            fits = _solve_in_tables(cells, names, sums, tolerance, most)
     out = df
     for effect, fit in zip(effects, fits):
         out = out.join(fit, out[effect] == fit["__level"]).withColumns({c: F.col(c) - F.col(f"__{c}") for c in columns}).drop("__level", *(f"__{c}" for c in columns))
@@ -81,6 +89,61 @@ def _solve_here(cells: DataFrame, effects: list[str], sums: list[str], tolerance
     return out
 
 
+def _with_few_levels(cells: DataFrame, effects: list[str]) -> tuple[str, list] | None:
+    """The effect that has FEW_LEVELS levels at most, where the other has more, and its levels."""
+    levels = {e: [r[0] for r in cells.select(e).distinct().limit(FEW_LEVELS + 1).collect()] for e in effects}  # bounded by the limit
+    few = [e for e in effects if len(levels[e]) <= FEW_LEVELS]
+    return (few[0], sorted(levels[few[0]])) if len(few) == 1 else None
+
+
+def _solve_by_the_few(cells: DataFrame, effects: list[str], sums: list[str], few: str, levels: list) -> list[DataFrame]:
+    """The same of two effects, one of few levels: a value of the other effect is what its own cells leave to it, so it is
+    put into the equations of the few, which are solved as they are. Cells are grouped once, by the level of the large effect;
+    what leaves the tasks is a matrix of the few levels."""
+    spark, k, size = cells.sparkSession, range(len(sums)), len(levels)
+    many = next(e for e in effects if e != few)
+    kind = cells.schema[few].dataType.simpleString()
+    number = F.broadcast(spark.createDataFrame(list(zip(levels, range(size))), f"{few} {kind}, __i int"))
+    totals = [F.sum(c).alias(f"r{j}") for j, c in enumerate(sums)]
+    grouped = cells.join(number, few).groupBy(many).agg(F.sum("__w").alias("d"), *totals, F.collect_list(F.struct(F.col("__i").alias("i"), F.col("__w").alias("w"))).alias("c"))  # FEW_LEVELS at most
+    grouped = written(grouped.select(many, "d", *(f"r{j}" for j in k), F.col("c.i").alias("i"), F.col("c.w").alias("w")))
+
+    def products(batches):
+        """i, column (a level, or size + number of a sum), value: what the large effect's levels take from the equations."""
+        taken = np.zeros((size, size + len(sums)))
+        for batch in batches:
+            of = [batch.column(c) for c in ("i", "w")]
+            i, w = (x.flatten().to_numpy(zero_copy_only=False) for x in of)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(of[0].offsets.to_numpy()))
+            d = batch.column("d").to_numpy(zero_copy_only=False)
+            r = np.column_stack([batch.column(f"r{j}").to_numpy(zero_copy_only=False) for j in range(len(sums))])
+            for start in range(0, batch.num_rows, 4096):  # a matrix of some MB
+                stop = min(start + 4096, batch.num_rows)
+                own = np.zeros((stop - start, size))
+                here = (row >= start) & (row < stop)
+                own[row[here] - start, i[here]] = w[here]
+                taken += own.T @ (np.hstack([own, r[start:stop]]) / d[start:stop, None])
+        a, b = np.nonzero(taken)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(taken[a, b])], names=["i", "c", "v"])
+
+    sent = grouped.mapInArrow(products, "i int, c int, v double").groupBy("i", "c").agg(F.sum("v").alias("v"))
+    taken = np.zeros((size, size + len(sums)))
+    for x in sent.collect():  # FEW_LEVELS rows and columns, and the sums
+        taken[x.i, x.c] = x.v
+    own = cells.groupBy(few).agg(F.sum("__w").alias("d"), *totals).collect()  # few levels
+    place = {x: n for n, x in enumerate(levels)}
+    weight, right = np.zeros(size), np.zeros((size, len(sums)))
+    for x in own:
+        weight[place[x[few]]], right[place[x[few]]] = x.d, [x[f"r{j}"] for j in k]
+    # one level of each connected part is free; the least-norm solution leaves fits as they are
+    values = np.linalg.lstsq(np.diag(weight) - taken[:, :size], right - taken[:, size:], rcond=1e-11)[0]
+    data = [(x, *map(float, values[n])) for n, x in enumerate(levels)]
+    of_few = spark.createDataFrame(data, f"__level {kind}, " + ", ".join(f"{c} double" for c in sums))
+    fit = lambda j: F.aggregate(F.arrays_zip("i", "w"), F.lit(0.0), lambda t, x: t + x.w * F.element_at(F.array(*(F.lit(float(v)) for v in values[:, j])), x.i + 1))
+    of_many = grouped.select(F.col(many).alias("__level"), *(((F.col(f"r{j}") - fit(j)) / F.col("d")).alias(c) for j, c in enumerate(sums)))
+    return [of_few if e == few else of_many for e in effects]
+
+
 def _solve_in_tables(cells: DataFrame, effects: list[str], sums: list[str], tolerance: float, most: int) -> list[DataFrame]:
     """The same of any number of cells. The state (fit, rest, direction, diagonal) of all levels is a table; a step joins
     the directions with the cells, sums them there, and sums the cells by level."""

@@ -44,6 +44,24 @@ def test_several_effects(spark, monkeypatch, cells, weight):
     assert model["beta"] == pytest.approx(want, rel=1e-6, abs=1e-8) and model["n"] == len(rows)
 
 
+@pytest.mark.parametrize("effects", [["i", "c"], ["c", "i"], ["a", "c"]])
+@pytest.mark.parametrize("weight", [None, "w"])
+def test_many_and_few_levels(spark, monkeypatch, effects, weight):
+    """Two effects of which one has few levels are solved without steps, as in the driver's memory; parts without a common
+    level, and levels of one row, too."""
+    rows = [(i // 3, *r[1:]) for i, r in enumerate(panel(240))]
+    rows += [(1000 + i // 4, f"own{i // 4}", r[2], "apart" if i < 20 else "alone", *r[4:]) for i, r in enumerate(panel(21))]
+    df = spark.createDataFrame(rows, COLUMNS)
+    fit = lambda: sorted(tuple(round(v, 7) if isinstance(v, float) else v for v in r) for r in stats.demean(df, ["x", "z", "y"], effects, weight).collect())
+    want = fit()
+    few = len({r[3] for r in rows})
+    monkeypatch.setattr(stats, "DRIVER_CELLS", 0)
+    monkeypatch.setattr(stats, "FEW_LEVELS", few)
+    monkeypatch.setattr(stats, "_solve_in_tables", None)
+    got = fit()
+    assert len(got) == len(want) and all(a[:4] == b[:4] and a[4:] == pytest.approx(b[4:], abs=1e-6) for a, b in zip(got, want))
+
+
 @pytest.mark.parametrize("cells", [10**6, 0])
 def test_no_convergence_is_an_error(spark, monkeypatch, cells):
     monkeypatch.setattr(stats, "DRIVER_CELLS", cells)
