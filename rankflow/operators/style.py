@@ -39,6 +39,7 @@ SELF_RISK = {"own_blunder_rate": 1, "own_mistake_rate": 1, "p90_cp_loss": 1, "sd
 def style_scores(df: DataFrame, winsor: float | None = 0.01) -> DataFrame:
     """df (player_style) with clean_style_index, chaos_creator_index, self_risk_index (means of the z-scores that a row has),
     practical_chaos_index (chaos less self-risk), their z-scores, quartiles, and style_archetype."""
+    df = written(df)  # read for moments and for scores
     z = z_scores(df, sorted({*CLEAN, *CHAOS, *SELF_RISK}), winsor)
     index = lambda parts: row_mean([z[c] * sign for c, sign in parts.items()])
     df = written(df.withColumns({"clean_style_index": index(CLEAN), "chaos_creator_index": index(CHAOS), "self_risk_index": index(SELF_RISK)}))
@@ -119,11 +120,13 @@ def cluster(df: DataFrame, vector: str, ks: list[int], seed: int = 7) -> tuple[D
 
 def principal_components(df: DataFrame, columns: list[str], k: int = 2) -> DataFrame:
     """components (array) of the columns, medians for missing values, standardised; each component's sign makes its
-    largest loading positive. Columns without spread are left out."""
+    largest loading positive, the first of those that are equal but for rounding (as a share and its complement are).
+    Columns without spread are left out."""
     import numpy as np
     from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
+    df = written(df)  # read by each of the fits below
     spread = df.agg(*(F.stddev_samp(c).alias(c) for c in columns)).first()
     columns = [c for c in columns if (spread[c] or 0) > 1e-12]
     filled = Imputer(strategy="median", inputCols=columns, outputCols=[f"__{c}" for c in columns]).fit(df).transform(df)
@@ -131,7 +134,8 @@ def principal_components(df: DataFrame, columns: list[str], k: int = 2) -> DataF
     rows = StandardScaler(withMean=True, inputCol="__v", outputCol="__s").fit(rows).transform(rows)
     model = PCA(k=k, inputCol="__s", outputCol="__p").fit(rows)
     loadings = model.pc.toArray()
-    signs = np.sign(loadings[np.abs(loadings).argmax(axis=0), range(k)])
+    size = np.abs(loadings)
+    signs = np.sign(loadings[(size >= size.max(axis=0) * (1 - 1e-9)).argmax(axis=0), range(k)])
     out = model.transform(rows).withColumn("components", F.zip_with(vector_to_array("__p"), F.array(*(F.lit(float(s)) for s in signs)), lambda a, b: a * b))
     return out.drop("__v", "__s", "__p", *(f"__{c}" for c in columns))
 

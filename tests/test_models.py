@@ -4,8 +4,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from rankflow.operators import formula, stats
+from rankflow.operators import formula, stats, style
 
 
 def panel(n=400, seed=1):
@@ -120,3 +121,19 @@ def test_pick_one(spark):
     for key, found in (("b", "several"), ("c", "none")):
         with pytest.raises(ValueError, match=f"expected one row, found {found}"):
             stats.pick_one(df, df.k == key)
+
+
+def test_style_tables_are_computed_once(spark):
+    """Scores and components read a written table: what computes their input runs once, not once for each fit."""
+    runs = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def seen(x):
+        runs.add(1)
+        return float(x)
+
+    df = spark.range(40).select("id", *(seen(F.col("id") % (k + 3)).alias(c) for k, c in enumerate(sorted({*style.CLEAN, *style.CHAOS, *style.SELF_RISK}))))
+    columns = df.columns[1:]
+    assert style.principal_components(df, columns).count() == 40 and runs.value == 40 * len(columns)
+    runs.value = 0
+    assert style.style_scores(df, None).count() == 40 and runs.value == 40 * len(columns)
