@@ -122,11 +122,23 @@ def dotted_date(text) -> Column:
 
 def clock_seconds(text) -> Column:
     """h:m:s, m:s or s as seconds."""
-    parts = F.reverse(F.split(F.trim(col(text)), ":"))
+    return _seconds(_clock_parts(text))
+
+
+def _clock_parts(text) -> Column:
+    return F.reverse(F.split(F.trim(col(text)), ":"))
+
+
+def _seconds(parts: Column) -> Column:
     part = lambda i: F.get(parts, F.lit(i)).try_cast("double")
     return part(0) + F.coalesce(part(1), F.lit(0.0)) * 60 + F.coalesce(part(2), F.lit(0.0)) * 3600
 
 
+def clocks_seconds(texts: Column) -> Column:
+    """clock_seconds of an array; each text is split once."""
+    return F.transform(F.transform(texts, _clock_parts), _seconds)
+
+
 def wrap24(hour) -> Column:
     return F.pmod(col(hour), F.lit(24))
 
@@ -212,10 +224,23 @@ def position_key(fen) -> Column:
     return F.substring_index(col(fen), " ", 4)
 
 
+#: Depth of parentheses that one regular expression takes out; what is nested deeper is counted piece by piece.
+NESTED = 64
+
+
+def _balanced(depth: int) -> str:
+    """Pattern of parentheses that are all closed, nested so deep. Every repeat is possessive: nothing is tried twice, and
+    Java's matcher recurses by depth only, not by length."""
+    inside = r"[^()]*+"
+    for _ in range(depth - 1):
+        inside = rf"[^()]*+(?:\({inside}\)[^()]*+)*+"
+    return rf"\({inside}\)"
+
+
 def outside_parentheses(text) -> Column:
-    """Text without what stands in parentheses, nested to any depth: one pass over the pieces between parentheses that
-    counts how deep it is. What follows a parenthesis that is never closed is inside it; one that closes nothing is left
-    out alone."""
+    """Text without what stands in parentheses, nested to any depth. What follows a parenthesis that is never closed is
+    inside it; one that closes nothing is left out alone. Closed ones of up to NESTED levels go by one regular expression;
+    only where one that opens is left, the pieces between parentheses are gone through, counting how deep each is."""
 
     def step(state, piece):
         mark = F.substring(piece, 1, 1)
@@ -224,12 +249,15 @@ def outside_parentheses(text) -> Column:
         return F.struct(depth.alias("depth"), F.when(depth == 0, F.concat_ws(" ", state.out, own)).otherwise(state.out).alias("out"))
 
     start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
-    return F.aggregate(F.split(col(text), r"(?=[()])"), start, step, lambda state: state.out)
+    counted = lambda left: F.aggregate(F.split(left, r"(?=[()])"), start, step, lambda state: state.out)
+    rest = lambda left: F.when(F.contains(left, F.lit("(")), counted(left)).otherwise(F.replace(left, F.lit(")"), F.lit(" ")))
+    return F.get(F.transform(F.array(F.regexp_replace(col(text), _balanced(NESTED), " ")), rest), F.lit(0))  # named by the lambda: evaluated once
 
 
 def bare_moves(movetext) -> Column:
     """Movetext as an array of moves: comments, variations nested to any depth, glyphs, numbers and results removed."""
-    out = F.regexp_replace(F.regexp_replace(col(movetext), r"\{[^}]*\}", " "), r";[^\n]*", " ")
+    out = F.regexp_replace(col(movetext), r"\{[^}]*\}", " ")
+    out = F.when(F.contains(col(movetext), F.lit(";")), F.regexp_replace(out, r";[^\n]*", " ")).otherwise(out)  # a search for a byte is cheaper
     out = F.regexp_replace(outside_parentheses(out), r"\$\d+|\b(?:1-0|0-1|1/2-1/2)(?!\S)|(?<!\S)\*(?!\S)", " ")
     out = F.regexp_replace(out, r"\d+\.+", " ")
     return F.filter(F.split(out, r"\s+"), lambda x: x != "")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankflow.functions.scalar import clip, clock_seconds, flag
+from rankflow.functions.scalar import clip, clocks_seconds, flag
 
 SIDE = ["game_id", "is_white_move"]
 
@@ -50,7 +50,7 @@ def time_spent(before: Column, increment: Column, after: Column) -> Column:
 
 def clocks_of(movetext: Column) -> Column:
     """Array of the clock comments of a movetext, in seconds."""
-    return F.transform(F.regexp_extract_all(movetext, F.lit(r"\[%clk\s+([0-9:.]+)\]"), F.lit(1)), clock_seconds)
+    return clocks_seconds(F.regexp_extract_all(movetext, F.lit(r"\[%clk\s+([0-9:.]+)\]"), F.lit(1)))
 
 
 def time_control(text: Column, date: Column, cutoff: str = "2025-09-02") -> Column:

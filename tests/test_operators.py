@@ -321,3 +321,27 @@ def test_text_of_pages_and_user_names(spark):
     users = {"GMJohnDoe_99chess": ["john", "doe"], "xIMSmithJr": ["smith"], "": [], "ABCDef": ["abc", "def"]}
     got = spark.createDataFrame([(k,) for k in users], "t string").select("t", S.camel_words("t").alias("w"), S.camel_words("t", []).alias("all")).collect()
     assert {r.t: r.w for r in got} == users and {r.t: r["all"] for r in got}["xIMSmithJr"] == ["im", "smith", "jr"]
+
+
+def _bare(text: str) -> list[str]:
+    """Moves by a stack, character by character, of texts without other marks."""
+    out, depth = [], 0
+    for x in text:
+        depth = max(0, depth + (x == "(") - (x == ")"))
+        out.append(" " if x in "()" else x if depth == 0 else "")
+    return "".join(out).split()
+
+
+def test_variations_at_random_and_deeper_than_one_expression(spark):
+    pick = random.Random(4)
+    texts = ["".join(pick.choice("(()) ab\n") for _ in range(pick.randint(0, 120))) for _ in range(300)]
+    texts += [f"a {'(b ' * n}{') c' * m} d" for n in (63, 64, 65, 130, 400) for m in (n - 1, n, n + 1)] + ["(x (y) z) e " * 20_000, "(x " * 2_000 + "y"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", S.bare_moves("t").alias("m")).collect()
+    assert {r.i: r.m for r in got} == {i: _bare(t) for i, t in enumerate(texts)}
+    rows = spark.createDataFrame([("a ; {x\ny} b\nc {;} d ; (e\nf",)], "t string").select(S.bare_moves("t").alias("m")).first()
+    assert rows.m == ["a", "c", "d", "f"]
+
+
+def test_movetexts_are_made_after_the_shuffle(spark):
+    plan = text.st11_bare_moves(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "repeat(" not in plan.split("Exchange", 1)[1]  # what comes before it
