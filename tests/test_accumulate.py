@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankflow.operators import accumulate as A
 from rankflow.operators import relational as R
-from rankflow.plans import fixtures
+from rankflow.plans import analysis, fixtures
 
 MOVES = "game_id long, ply long, fullmove long, is_white_move long, cp_loss double, eval_before double, eval_after double, time_before double, time_after double, time_spent double, result double"
 
@@ -52,3 +52,16 @@ def test_parts_of_games_have_bounded_rows(spark, monkeypatch):
     parts = rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()
     assert len(parts) == 20 and max(r.n for r in parts) < 600 and sum(r.n for r in parts) == 6000
     assert A.dynamics(rows).rdd.getNumPartitions() == 20
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+@pytest.mark.parametrize("name", ["tk04_top_moves"])
+def test_queries_of_moves_use_the_parts(spark, monkeypatch, name):
+    """Every reading of the lines goes into parts of bounded rows, and the result is that of the table in one part."""
+    query, d = analysis.QUERIES[name], "/root/testdata/sf0.001"
+    whole = query(spark, d).collect()
+    monkeypatch.setattr(R, "PART_ROWS", 300)
+    df = query(spark, d)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet [l_orderkey") == plan.count(", 20), REPARTITION_BY_NUM") > 0
+    assert sorted(df.collect(), key=str) == sorted(whole, key=str)
