@@ -55,7 +55,7 @@ def test_parts_of_games_have_bounded_rows(spark, monkeypatch):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
-@pytest.mark.parametrize("name", ["tk04_top_moves", "tk07_continuations", "tk03_top_games"])
+@pytest.mark.parametrize("name", ["tk04_top_moves", "tk07_continuations", "tk03_top_games", "ml02_player_features"])
 def test_queries_of_moves_use_the_parts(spark, monkeypatch, name):
     """Every reading of the lines goes into parts of bounded rows, and the result is that of the table in one part."""
     query, d = analysis.QUERIES[name], "/root/testdata/sf0.001"
