@@ -167,18 +167,21 @@ def player_style(moves: DataFrame, sides: DataFrame, opening: int = 10, end: int
     null). First blunders, and won and lost positions, are looked for from the first move on; the latter end before a
     game's last plies, like the moves that rates are taken of."""
     game, in_order = Window.partitionBy("game_id"), Window.partitionBy("game_id").orderBy("ply")
-    rows = moves.withColumn("final_ply", F.max("ply").over(game)).where("cp_loss IS NOT NULL AND eval_before IS NOT NULL AND eval_after IS NOT NULL")
+    whole, known = moves.withColumn("final_ply", F.max("ply").over(game)), F.expr("cp_loss IS NOT NULL AND eval_before IS NOT NULL AND eval_after IS NOT NULL")
+    rows = whole.where(known)
     rows = rows.withColumn("answer", F.when(F.lead("is_white_move").over(in_order) != F.col("is_white_move"), F.lead("cp_loss").over(in_order)))
     features = style_features(opening, end, phases=phases, last=last)
     of_moves = accumulate(rows, ["mover"], "ply", features).where("style_move_count > 0")
     inner = rows.where((F.col("fullmove") > opening) & (F.col("ply") <= F.col("final_ply") - end))
     high = quantiles(inner.withColumn("__loss", F.least(F.col("cp_loss").cast("double"), F.lit(1000.0))), ["mover"], "__loss", {"p90_cp_loss": 0.9})
     before_end = F.col("ply") <= F.col("final_ply") - end
-    states = accumulate(rows, SIDE, "ply", [
-        Feature("first_blunder", "first", F.col("fullmove"), F.col("cp_loss") >= 200), Feature("won", "any", where=before_end & (F.col("eval_after") >= edge)), Feature("lost", "any", where=before_end & (F.col("eval_after") <= -edge)),
-    ])
-    lengths = moves.groupBy("game_id").agg(F.max("ply").alias("plies"))
-    games = sides.join(lengths, "game_id").join(states, SIDE, "left")
+    # both sides' states are one row of the game, so that they meet sides by game alone, where moves are already together
+    own = {k: known & (F.col("is_white_move") == k) for k in (0, 1)}
+    states = accumulate(whole, ["game_id"], "ply", [Feature("plies", "max", F.col("ply")), *(f for k, of_side in own.items() for f in (
+        Feature(f"first_blunder_{k}", "first", F.col("fullmove"), of_side & (F.col("cp_loss") >= 200)), Feature(f"won_{k}", "any", where=of_side & before_end & (F.col("eval_after") >= edge)), Feature(f"lost_{k}", "any", where=of_side & before_end & (F.col("eval_after") <= -edge)),
+    ))])
+    of_side = lambda c: F.when(F.col("is_white_move") == 1, F.col(f"{c}_1")).when(F.col("is_white_move") == 0, F.col(f"{c}_0")).alias(c)
+    games = sides.join(states, "game_id").select("player", "result", "plies", *map(of_side, ("first_blunder", "won", "lost")))
     result, share = F.col("result"), lambda x: F.avg(F.coalesce(x, F.lit(False)).cast("int"))
     of_games = games.groupBy("player").agg(
         F.count("*").alias("prechange_games"), F.avg("plies").alias("avg_game_length_ply"), share(F.col("plies") >= long_game).alias("long_game_share"), share(result == 0.5).alias("draw_rate"),

@@ -1,6 +1,7 @@
 """Declared accumulators on hand-made games: missing clocks, first crossings, what follows a blunder, ties and nulls."""
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,3 +66,33 @@ def test_queries_of_moves_use_the_parts(spark, monkeypatch, name):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet [l_orderkey") == plan.count(", 20), REPARTITION_BY_NUM") > 0
     assert sorted(df.collect(), key=str) == sorted(whole, key=str)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_player_features_meet_by_game(spark, monkeypatch):
+    """What is known of a game's sides joins in the parts of games: no shuffle of all sides into a set number of tasks."""
+    monkeypatch.setattr(R, "PART_ROWS", 300)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = analysis.QUERIES["ml02_player_features"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert ", 20), REPARTITION_BY_NUM" in plan
+    assert not re.search(r"hashpartitioning\([^)]*(game_id|is_white_move)#", plan)
+
+
+def test_states_of_both_sides_of_a_game(spark):
+    """First blunders, won and lost positions by side; a side without known moves has none, a game without moves no row."""
+    rows = [
+        (1, 1, 1, 1, "a", 0, 0, 250), (1, 2, 1, 0, "b", 300, -250, -300), (1, 3, 2, 1, "a", 250, 300, 50), (1, 4, 2, 0, "b", None, -50, -60),
+        (2, 1, 1, 1, "a", 0, 0, -200), (2, 2, 1, 0, "b", None, None, None), (2, 3, 2, 1, "a", 0, 0, 0),
+    ]
+    moves = spark.createDataFrame(rows, "game_id long, ply long, fullmove long, is_white_move long, mover string, cp_loss long, eval_before long, eval_after long").withColumns({"is_capture": F.lit(0), "gives_check": F.lit(0)})
+    sides = spark.createDataFrame([(1, 1, "a", 1.0), (1, 0, "b", 0.0), (2, 1, "a", 0.5), (2, 0, "b", 0.5), (3, 1, "a", 1.0)], "game_id long, is_white_move long, player string, result double")
+    got = {r.player: r for r in A.player_style(moves, sides, opening=0, end=0, long_game=4, phases=(1, 2), last=2).collect()}
+    a, b = got["a"], got["b"]
+    assert (a.prechange_games, a.avg_game_length_ply, a.long_game_share, a.no_blunder_game_rate, a.first_blunder_move_mean) == (2, 3.5, 0.5, 0.5, 2.0)
+    assert (a.winning_position_games, a.conversion_rate_from_plus_2, a.losing_position_games, a.escape_rate_from_minus_2) == (1, 1.0, 1, 1.0)
+    assert (b.prechange_games, b.no_blunder_game_rate, b.first_blunder_move_mean, b.winning_position_games, b.conversion_rate_from_plus_2) == (2, 0.5, 1.0, 0, None)
+    assert (b.losing_position_games, b.escape_rate_from_minus_2) == (1, 0.0)
